@@ -49,7 +49,7 @@ def interpolate_inside(
     Each observed bin emits itself and the gap up to the next observed one, so no dense grid is joined. Values are
     held in single precision as stored tensors are; the line itself is computed in double precision.
     """
-    w = W.partitionBy(*key).orderBy(bin_col)
+    w = W.partitionBy(*key).orderBy("_b")
     rows = bins.filter(F.col(value).isNotNull()).select(
         *key, F.col(bin_col).alias("_b"), F.col(value).cast("float").cast("double").alias("_v")
     )

@@ -132,7 +132,8 @@ def gradient(
     w = W.partitionBy(*key).orderBy(date)
     before, after = F.lag(y).over(w), F.lead(y).over(w)
     value = F.coalesce((after - before) / 2, after - F.col(y), F.col(y) - before)
-    return series.withColumn(out, F.round(value, ROUND))
+    # Halving a nine-decimal difference gives ten decimals at most.
+    return series.withColumn(out, F.round(value, ROUND + 1))
 
 
 def _first_min(value: Column, condition: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldtide import constants as C, schemas
 from fieldtide.functions.dates import parse_date
@@ -56,7 +56,7 @@ def read_tile_bounds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 def read_scene_manifest(spark: SparkSession, glob: str) -> DataFrame:
     """Scenes from ``*_metadata.json`` documents; unreadable documents and bad polygons are left out."""
-    schema = T.StructType(list(schemas.SCENE_DOCUMENT.fields) + [T.StructField("_corrupt", T.StringType())])
+    schema = schemas.SCENE_DOCUMENT + ", _corrupt string"
     docs = (
         spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt").json(glob)
@@ -126,6 +126,6 @@ def read_model_metrics(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_jobs(spark: SparkSession, glob: str) -> DataFrame:
     """Job documents; unreadable ones are dropped."""
-    schema = T.StructType(list(schemas.JOBS.fields) + [T.StructField("_corrupt", T.StringType())])
+    schema = schemas.JOBS + ", _corrupt string"
     docs = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(glob)
     return docs.filter(F.col("_corrupt").isNull() & F.col("job_id").isNotNull()).drop("_corrupt")
