@@ -122,5 +122,6 @@ def chunk_arrays(chunks: DataFrame, bands: Sequence[str], key: Sequence[str] = (
         F.array_sort(F.collect_list(F.struct("r", "c", *bands))).alias("_p"),
         F.max("h").alias("h"), F.max("w").alias("w"),
     )
-    flat = F.concat(*[F.transform("_p", lambda p, b=b: p[b].cast("float")) for b in bands])
+    layer = lambda b: F.transform("_p", lambda p: p[b].cast("float"))
+    flat = F.concat(*[layer(b) for b in bands])
     return packed.select(*k, "h", "w", flat.alias("x"))

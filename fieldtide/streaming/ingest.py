@@ -29,7 +29,7 @@ def rolling_coverage(scenes: DataFrame, late_days: int = 5, time: str = "ts", ti
     Exact distinct counts are not available on streams, so the count is approximate.
     """
     return (
-        scenes.withWatermark(time, f"{late_days} days").groupBy(F.window(time, "1 day").alias("day"))
+        scenes.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, f"{late_days} days").groupBy(F.window(time, "1 day").alias("day"))
         .agg(F.approx_count_distinct(tile).alias("tiles"), F.count(F.lit(1)).alias("scenes"))
         .select(F.col("day.start").cast("date").alias("date"), "tiles", "scenes")
     )
@@ -37,7 +37,7 @@ def rolling_coverage(scenes: DataFrame, late_days: int = 5, time: str = "ts", ti
 
 def exact_coverage(scenes: DataFrame, late_days: int = 5, time: str = "ts", tile: str = "tile") -> DataFrame:
     """The first sighting of each tile per day, duplicates dropped within the watermark: count its rows downstream."""
-    day = F.date_trunc("day", F.col(time))
+    day = F.date_trunc("day", F.col(time).cast("timestamp"))
     return (
         scenes.select(day.alias("day"), F.col(tile).alias("tile")).withWatermark("day", f"{late_days} days")
         .dropDuplicates(["day", "tile"])
