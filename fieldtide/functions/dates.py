@@ -10,7 +10,7 @@ from fieldtide import constants as C
 def parse_date(text: Column) -> Column:
     """Strict ``yyyy-MM-dd``; anything else is null."""
     trimmed = F.trim(text)
-    return F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(trimmed, "yyyy-MM-dd"))
+    return F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}$"), trimmed.try_cast("date"))
 
 
 def doy(date_or_text: Column, is_text: bool = False) -> Column:
@@ -44,7 +44,7 @@ def in_month_day_window(date: Column, start_md: Column, end_md: Column) -> Colum
 
 
 def month_day_in_year(year: Column, md: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), md), "yyyy-MM-dd")
+    return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), md).try_cast("date")
 
 
 def decode_doy(start01: Column, end01: Column) -> Column:

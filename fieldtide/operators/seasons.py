@@ -4,19 +4,19 @@ A series is all rows of one key, one row per date. Everything works on the posit
 elapsed days. A series holds at most one row per calendar day (``unique_dates`` enforces it with a map-side partial
 aggregate), so a window partition is bounded by the days of a season, however skewed the raw pixels were.
 
-All windows of one operator share the same partitioning, so a whole chain costs one shuffle.
+The row operators share one window partitioning, so a chain of them costs one shuffle. Operators that reduce a season
+to dates gather it into arrays once and go on without windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldtide import constants as C
-from fieldtide.functions.dates import month_day_in_year
+from fieldtide.functions import series as A
+from fieldtide.functions.dates import month_day_number
+from fieldtide.functions.series import savgol_weights, snap, window_length, window_lengths
 
 ROUND = 9  # positions of extremes are picked on values rounded here, so last-bit noise cannot move them
 
@@ -74,24 +74,6 @@ def fill_gaps(
     return rows.withColumn(out, value).drop("_prev", "_next")
 
 
-@lru_cache(maxsize=None)
-def savgol_weights(window: int, poly: int) -> tuple[tuple[float, ...], ...]:
-    """Row ``e`` holds the weights that evaluate the window's least-squares polynomial at position ``e``."""
-    poly = min(poly, window - 1)
-    x = np.arange(window, dtype=float) - (window - 1) / 2
-    a = np.vander(x, poly + 1, increasing=True)
-    return tuple(tuple(float(v) for v in row) for row in a @ np.linalg.pinv(a))
-
-
-def savgol_length(n: int, window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_POLY) -> int:
-    """Window length used for a series of ``n`` points; below 3 the series is copied."""
-    odd_down = lambda v: v if v % 2 else v - 1
-    w = odd_down(min(window, n))
-    if w <= poly:
-        w = poly + 2 if (poly + 2) % 2 else poly + 3
-    return odd_down(n) if w > n else w
-
-
 def savgol(
     series: DataFrame, key: Sequence[str], y: str = "filled", date: str = "date", out: str = "smooth",
     window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_POLY,
@@ -101,10 +83,8 @@ def savgol(
     Inside, a centred window; near an end, the polynomial of the first or last full window off its centre.
     The weights are a constant of the plan (one small matrix per window length), so nothing is joined.
     """
-    lengths = sorted({savgol_length(n, window, poly) for n in range(1, window + 1)} | {savgol_length(window, window, poly)})
-    lengths = [w for w in lengths if w >= 3]
-    per_n = [savgol_length(n, window, poly) for n in range(window + 1)]
-    used = F.element_at(F.array(*[F.lit(v) for v in per_n]), F.least(F.col("n"), F.lit(window)) + 1)
+    lengths = window_lengths(window, poly)
+    used = window_length(F.col("n"), window, poly)
     reach = max(lengths) - 1
     near = W.partitionBy(*key).orderBy(date).rowsBetween(-reach, reach)
     rows = series.withColumn("_near", F.collect_list(y).over(near)).withColumn("_w", used)
@@ -122,7 +102,7 @@ def savgol(
         F.zip_with("_weights", "_part", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
     )
     value = F.when(F.col("_w") < 3, F.col(y)).otherwise(dot)
-    return rows.withColumn(out, F.round(value, ROUND)).drop("_near", "_w", "_weights", "_part")
+    return rows.withColumn(out, snap(value, ROUND)).drop("_near", "_w", "_weights", "_part")
 
 
 def gradient(
@@ -133,7 +113,7 @@ def gradient(
     before, after = F.lag(y).over(w), F.lead(y).over(w)
     value = F.coalesce((after - before) / 2, after - F.col(y), F.col(y) - before)
     # Halving a nine-decimal difference gives ten decimals at most.
-    return series.withColumn(out, F.round(value, ROUND + 1))
+    return series.withColumn(out, snap(value, ROUND + 1))
 
 
 def _first_min(value: Column, condition: Column) -> Column:
@@ -206,45 +186,62 @@ def detect_rows(
     return persistent_below(rows, key, date=date)
 
 
-def start_choice() -> tuple[Column, Column]:
-    """Position and rule of the harvest start from the columns of ``detect_rows``."""
-    peak, start, end = F.col("peak_i"), F.col("start_i"), F.col("end_i")
-    found = F.coalesce(F.col("run_i"), F.col("steep_i"), peak)
-    retried = F.greatest(peak + 1, F.least(found, end - 1))
-    position = F.when(F.col("retry"), retried).otherwise(start)
-    rule = (
-        F.when(~F.col("retry"), "steepest_decline_after_peak")
-        .when(F.col("run_i").isNotNull(), f"threshold_{C.PERSIST_ALPHA}_p{C.PERSIST_K}")
-        .when(F.col("steep_i").isNotNull(), "steepest_decline_after_peak_retry")
-        .otherwise("no_derivative_after_peak_retry")
-    )
-    return position, rule
-
-
-def detect_harvest(
-    series: DataFrame, key: Sequence[str], y: str = "y", date: str = "date", min_points: int = C.MIN_POINTS,
-    window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_POLY, extra: Sequence[Column] = (),
+def season_arrays(
+    obs: DataFrame, key: Sequence[str], values: Sequence[str], date: str = "date", window: int = C.SAVGOL_WINDOW,
+    poly: int = C.SAVGOL_POLY, min_points: int = C.MIN_POINTS,
 ) -> DataFrame:
-    """One row per series: ``start``, ``end`` (null when not detected), ``start_rule`` and positions.
+    """One row per key: ``dates``, ``n``, and per value column its count, smoothed array and usable flag.
 
-    ``extra`` adds aggregates over the position rows, which saves a second pass for callers that need more.
+    Requires one row per key and date, so a group holds at most the days of a season; the group is gathered once and
+    no window pass follows. Columns added per value ``v``: ``v_valid``, ``v_smooth`` (null when there are too few
+    points).
     """
-    rows = detect_rows(series, key, y, date, window, poly)
-    enough = (F.col("n") >= 3) & (F.col("n_valid") >= min_points)
-    usable = enough & ~F.col("boundary")
-    position, rule = start_choice()
+    gathered = obs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(date, *values))).alias("_p"))
+    pick = lambda c: F.transform("_p", lambda p: p[c])
+    rows = gathered.select(*key, pick(date).alias("dates"), F.size("_p").alias("n"), *[pick(v).alias(f"_{v}") for v in values])
+    rows = rows.withColumns({
+        "_w": window_length(F.col("n"), window, poly),
+        **{f"{v}_valid": F.size(F.filter(f"_{v}", lambda y: y.isNotNull())) for v in values},
+    })
+    matrix = A.weight_matrix(F.col("_w"), window, poly)
+    rows = rows.withColumns({
+        "_m": matrix,
+        **{f"_f_{v}": F.when((F.col("n") >= 3) & (F.col(f"{v}_valid") >= min_points), A.fill(F.col(f"_{v}"))) for v in values},
+    })
+    rows = rows.withColumns({f"{v}_smooth": A.smooth(F.col(f"_f_{v}"), F.col("_m"), F.col("_w")) for v in values})
+    return rows.select(*key, "dates", "n", *[f"{v}_valid" for v in values], *[f"{v}_smooth" for v in values])
+
+
+def with_detection(rows: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Adds per value ``v`` to the rows of ``season_arrays``: ``v_start``, ``v_end`` (dates) and ``v_rule``."""
     rows = rows.withColumns({
-        "_start": F.when(usable, position), "_end": F.when(usable, F.col("end_i")),
-        "_rule": F.when(~enough, "insufficient_data").when(F.col("boundary"), "boundary_fallback").otherwise(rule),
-        "smooth": F.when(enough, F.col("smooth")),
+        **{f"_d_{v}": A.slopes(F.col(f"{v}_smooth")) for v in values},
+        **{f"_k_{v}": A.first_maximum(F.col(f"{v}_smooth")) for v in values},
     })
-    at = lambda pos: F.max(F.when(F.col("i") == F.col(pos), F.col(date)))
-    return rows.groupBy(*key).agg(
-        at("_start").alias("start"), at("_end").alias("end"), F.first("_rule").alias("start_rule"),
-        F.first(F.when(enough, F.col("peak_i"))).alias("peak_i"),
-        F.first("_start").alias("start_i"), F.first("_end").alias("end_i"),
-        F.first("n").alias("n"), F.first("n_valid").alias("n_valid"),
-        F.min(date).alias("first_date"), F.max(date).alias("last_date"), *extra,
+    inside = lambda v: (F.col(f"_k_{v}") > 0) & (F.col(f"_k_{v}") < F.col("n") - 1)
+    rows = rows.withColumns({
+        f"_h_{v}": F.when(inside(v), A.harvest_positions(F.col(f"{v}_smooth"), F.col(f"_d_{v}"), F.col(f"_k_{v}")))
+        for v in values
+    })
+    added = {}
+    for v in values:
+        rule = F.when(F.col(f"{v}_smooth").isNull(), "insufficient_data").when(~inside(v), "boundary_fallback")
+        added[f"{v}_start"] = F.get("dates", F.col(f"_h_{v}.start_i"))
+        added[f"{v}_end"] = F.get("dates", F.col(f"_h_{v}.end_i"))
+        added[f"{v}_rule"] = rule.otherwise(F.col(f"_h_{v}.rule"))
+    return rows.withColumns(added).drop(*[f"_{x}_{v}" for v in values for x in ("d", "k", "h")])
+
+
+def detect_harvest(
+    series: DataFrame, key: Sequence[str], y: str = "y", date: str = "date", min_points: int = C.MIN_POINTS,
+    window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_POLY,
+) -> DataFrame:
+    """One row per series: ``start``, ``end`` (null when not detected), ``start_rule`` and counts."""
+    rows = with_detection(season_arrays(series, key, [y], date, window, poly, min_points), [y])
+    return rows.select(
+        *key, F.col(f"{y}_start").alias("start"), F.col(f"{y}_end").alias("end"), F.col(f"{y}_rule").alias("start_rule"),
+        "n", F.col(f"{y}_valid").alias("n_valid"), F.array_min("dates").alias("first_date"),
+        F.array_max("dates").alias("last_date"),
     )
 
 
@@ -256,9 +253,9 @@ def greenup_marks(series: DataFrame, key: Sequence[str], y: str = "smooth", date
     w = W.partitionBy(*key).orderBy(date)
     ahead = [F.col(y)] + [F.lead(y, s).over(w) for s in range(1, C.GREENUP_AHEAD + 1)]
     ups = sum(
-        (F.when(F.round(b - a, ROUND) > C.GREENUP_STEP, 1).otherwise(0) for a, b in zip(ahead, ahead[1:])), F.lit(0)
+        (F.when(snap(b - a, ROUND) > C.GREENUP_STEP, 1).otherwise(0) for a, b in zip(ahead, ahead[1:])), F.lit(0)
     )
-    total = F.round(ahead[-1] - ahead[0], ROUND)
+    total = snap(ahead[-1] - ahead[0], ROUND)
     ok = ahead[-1].isNotNull() & (ups >= C.GREENUP_MIN_STEPS) & (total >= C.GREENUP_TOTAL)
     return series.withColumn("rising", F.coalesce(ok, F.lit(False)))
 
@@ -283,6 +280,22 @@ def seeding_from_greenup(ndvi_greenup: Column, evi_greenup: Column, offset: Colu
     )
 
 
+def sowing_window(settings: DataFrame) -> DataFrame:
+    """The settings dimension with its window as month-day numbers ``_ws`` and ``_we``."""
+    return settings.withColumns({"_ws": month_day_number(F.col("window_start")), "_we": month_day_number(F.col("window_end"))})
+
+
+def first_greenup(smoothed: Column) -> Column:
+    """First rising date inside the sowing window, which lies in the year of the first date."""
+    dates = F.col("dates")
+    year = F.year(F.get(dates, F.lit(0)))
+
+    def inside(d: Column) -> Column:
+        return (F.year(d) == year) & (F.month(d) * 100 + F.dayofmonth(d)).between(F.col("_ws"), F.col("_we"))
+
+    return F.when(F.col("_ws").isNotNull(), F.get(A.rising_dates(dates, smoothed, inside), F.lit(0)))
+
+
 def estimate_seeding(
     obs: DataFrame, key: Sequence[str], seeding: DataFrame, crop: str = "crop", date: str = "date",
     min_points: int = C.MIN_POINTS, window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_POLY,
@@ -291,25 +304,12 @@ def estimate_seeding(
 
     ``seeding`` is the settings dimension (one row per crop). Crops without a window keep blank results.
     """
-    long = long_indices(obs, key, ("ndvi", "evi"), date)
-    skey = [*key, "index_name"]
-    rows = savgol(fill_gaps(long, skey, "y", date), skey, "filled", date, window=window, poly=poly)
-    enough = (F.col("n") >= 3) & (F.col("n_valid") >= min_points)
-    rows = greenup_marks(rows.withColumn("smooth", F.when(enough, F.col("smooth"))), skey, "smooth", date)
-    rows = rows.withColumn("_year", F.year(F.min(date).over(W.partitionBy(*skey))))
-    rows = rows.join(F.broadcast(seeding), crop, "left")
-    inside = F.col(date).between(
-        month_day_in_year(F.col("_year"), F.col("window_start")), month_day_in_year(F.col("_year"), F.col("window_end"))
-    )
-    hit = F.col("rising") & inside
-    first_hit = lambda name: F.min(F.when(hit & (F.col("index_name") == name), F.col(date)))
-    grouped = rows.groupBy(*key).agg(
-        first_hit("NDVI").alias("_ndvi"), first_hit("EVI").alias("_evi"), F.first("_year").alias("_year"),
-        F.first("window_start").alias("window_start"), F.first("window_end").alias("window_end"),
-        F.first("offset_days").alias("offset_days"),
-    )
-    found = seeding_from_greenup(F.col("_ndvi"), F.col("_evi"), F.col("offset_days"), F.col("_year"))
-    return grouped.withColumn("_f", found).select(
+    rows = season_arrays(obs, key, ("ndvi", "evi"), date, window, poly, min_points)
+    rows = rows.join(F.broadcast(sowing_window(seeding)), crop, "left")
+    rows = rows.withColumns({"_n": first_greenup(F.col("ndvi_smooth")), "_year": F.year(F.get("dates", F.lit(0)))})
+    rows = rows.withColumn("_e", F.when(F.col("_n").isNull(), first_greenup(F.col("evi_smooth"))))
+    found = seeding_from_greenup(F.col("_n"), F.col("_e"), F.col("offset_days"), F.col("_year"))
+    return rows.withColumn("_f", found).select(
         *key, F.col("_f.greenup").alias("greenup"), F.col("_f.seeding").alias("seeding"),
         F.col("_f.source").alias("greenup_source"), F.col("_f.rule").alias("greenup_rule"),
         "offset_days", "window_start", "window_end",

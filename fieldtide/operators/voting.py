@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldtide import constants as C
 from fieldtide.functions.dates import harvest_iou, month_day_in_year
@@ -129,49 +129,25 @@ def season_events(
     """Harvest start and end, sowing estimate and overlap with the target window: one row per series.
 
     ``obs`` holds ``ndvi``, ``ndwi``, ``evi`` with one row per key and date. ``gt_year`` fixes the year of the target
-    window in the overlap score; by default the year of the data is used. One shuffle on the key feeds all three
-    indices, the detection, the votes and the green-up search.
+    window in the overlap score; by default the year of the data is used. Each season is gathered once; detection on
+    all three indices, the votes and the green-up search are projections of that row.
     """
+    indices = ("ndvi", "ndwi", "evi")
     n_min = C.MIN_POINTS if min_points is None else min_points
-    long = seasons.long_indices(obs, key, ("ndvi", "ndwi", "evi"), date)
-    skey = [*key, "index_name"]
-    rows = seasons.detect_rows(long, skey, "y", date)
-    enough = (F.col("n") >= 3) & (F.col("n_valid") >= n_min)
-    usable = enough & ~F.col("boundary")
-    position, rule = seasons.start_choice()
+    rows = seasons.season_arrays(obs, key, indices, date, min_points=n_min).filter(F.col("ndvi_valid") >= n_min)
+    rows = seasons.with_detection(rows, indices)
+    rows = rows.join(F.broadcast(windows), crop, "left").join(F.broadcast(seasons.sowing_window(seeding)), crop, "left")
     rows = rows.withColumns({
-        "_start": F.when(usable, position), "_end": F.when(usable, F.col("end_i")),
-        "_rule": F.when(~enough, "insufficient_data").when(F.col("boundary"), "boundary_fallback").otherwise(rule),
-        "smooth": F.when(enough, F.col("smooth")), "_year": F.year(F.min(date).over(W.partitionBy(*skey))),
+        "first_date": F.array_min("dates"), "last_date": F.array_max("dates"),
+        "_gn": seasons.first_greenup(F.col("ndvi_smooth")),
     })
-    rows = seasons.greenup_marks(rows, skey, "smooth", date)
-    rows = rows.join(F.broadcast(windows), crop, "left").join(F.broadcast(seeding), crop, "left")
-
-    in_window = F.col(date).between(
-        month_day_in_year(F.col("_year"), F.col("window_start")), month_day_in_year(F.col("_year"), F.col("window_end"))
-    )
-    hit = F.when(F.col("rising") & in_window, F.col(date))
-    name = F.col("index_name")
-    at = lambda pos, idx: F.max(F.when((F.col("i") == F.col(pos)) & (name == idx), F.col(date)))
-    aggs = []
-    for idx in ("NDVI", "NDWI", "EVI"):
-        aggs += [
-            at("_start", idx).alias(f"_s_{idx}"), at("_end", idx).alias(f"_e_{idx}"),
-            F.max(F.when(name == idx, F.col("_rule"))).alias(f"_r_{idx}"),
-        ]
-    grouped = rows.groupBy(*key).agg(
-        *aggs,
-        F.min(F.when(name == "NDVI", hit)).alias("_gn"), F.min(F.when(name == "EVI", hit)).alias("_ge"),
-        F.max(F.when(name == "NDVI", F.col("n_valid"))).alias("n_ndvi"),
-        F.min(date).alias("first_date"), F.max(date).alias("last_date"),
-        *[F.first(c).alias(c) for c in ("start_md", "end_md", "window_start", "window_end", "offset_days")],
-    ).filter(F.col("n_ndvi") >= n_min)
+    grouped = rows.withColumn("_ge", F.when(F.col("_gn").isNull(), seasons.first_greenup(F.col("evi_smooth"))))
 
     year = F.year("first_date")
-    ends = F.array(*[F.col(f"_e_{x}") for x in ("NDVI", "NDWI", "EVI")])
+    ends = F.array(*[F.col(f"{x}_end") for x in indices])
     sources = F.array(*[
-        F.struct(F.lit(x).alias("source"), F.col(f"_s_{x}").alias("date"), F.col(f"_r_{x}").alias("rule"))
-        for x in ("NDVI", "NDWI", "EVI")
+        F.struct(F.lit(x.upper()).alias("source"), F.col(f"{x}_start").alias("date"), F.col(f"{x}_rule").alias("rule"))
+        for x in indices
     ])
     t_start, t_end = month_day_in_year(year, F.col("start_md")), month_day_in_year(year, F.col("end_md"))
     picked = grouped.withColumns({

@@ -30,7 +30,10 @@ def day(c: Column | str) -> Column:
 
 
 def r6(c: Column | str) -> Column:
-    return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), 6)
+    """Six decimals, halves away from zero, in binary arithmetic."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    half_up = lambda v: F.floor(v * 1e6 + 0.5) / F.lit(1e6)
+    return F.when(x >= 0, half_up(x)).when(x < 0, -half_up(-x)).otherwise(x)
 
 
 def bit(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fieldtide import constants as C
 from fieldtide.functions.geometry import grid_edge
 from fieldtide.functions.text import tile_name
-from fieldtide.operators.seasons import savgol_length, savgol_weights
+from fieldtide.functions.series import savgol_length, savgol_weights
 from fieldtide.sources import dimensions
 
 WINDOWS = {"Corn": ["07-31", "10-15"], "Rice": {"start": "08-15", "end": "11-01"}}
