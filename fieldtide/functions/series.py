@@ -39,19 +39,25 @@ def savgol_length(n: int, window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_PO
 
 
 def window_length(n: Column, window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_POLY) -> Column:
-    per_n = [savgol_length(k, window, poly) for k in range(window + 1)]
-    return F.element_at(F.array(*[F.lit(v) for v in per_n]), F.least(n, F.lit(window)).cast("int") + 1)
+    per_n = ", ".join(str(savgol_length(k, window, poly)) for k in range(window + 1))
+    return F.get(F.expr(f"array({per_n})"), F.least(n, F.lit(window)).cast("int"))
 
 
 def window_lengths(window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_POLY) -> list[int]:
     return sorted({w for n in range(window + 1) if (w := savgol_length(n, window, poly)) >= 3})
 
 
+def matrix_constant(length: int, poly: int = C.SAVGOL_POLY) -> Column:
+    """The weight matrix of one window length as a constant, parsed from text in one step."""
+    rows = ", ".join("array(" + ", ".join(f"{v!r}D" for v in r) + ")" for r in savgol_weights(length, poly))
+    return F.expr(f"array({rows})")
+
+
 def weight_matrix(length: Column, window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_POLY) -> Column:
     """The weight matrix of a window length; a constant of the plan."""
     out = None
     for w in window_lengths(window, poly):
-        matrix = F.array(*[F.array(*[F.lit(v) for v in r]) for r in savgol_weights(w, poly)])
+        matrix = matrix_constant(w, poly)
         out = F.when(length == w, matrix) if out is None else out.when(length == w, matrix)
     return out
 

@@ -47,7 +47,7 @@ def tile_name(i: Column, j: Column) -> Column:
 
 def _json_text(value: Column) -> Column:
     """A JSON string literal with ASCII escapes left to plain text (names here are ASCII)."""
-    escaped = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), '"', r'\\\\"')
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fieldtide import constants as C
 from fieldtide.functions import series as A
 from fieldtide.functions.dates import month_day_number
-from fieldtide.functions.series import savgol_weights, snap, window_length, window_lengths
+from fieldtide.functions.series import snap, window_length, window_lengths
 
 ROUND = 9  # positions of extremes are picked on values rounded here, so last-bit noise cannot move them
 
@@ -92,12 +92,8 @@ def savgol(
     half = F.floor(F.col("_w") / 2).cast("int")
     start = F.greatest(F.least(F.col("i") - half, F.col("n") - F.col("_w")), F.lit(0))
     offset = start - F.greatest(F.col("i") - reach, F.lit(0))
-    cases = None
-    for w in lengths:
-        matrix = F.array(*[F.array(*[F.lit(v) for v in r]) for r in savgol_weights(w, poly)])
-        row = F.element_at(matrix, (F.col("i") - start + 1).cast("int"))
-        cases = F.when(F.col("_w") == w, row) if cases is None else cases.when(F.col("_w") == w, row)
-    rows = rows.withColumn("_weights", cases).withColumn("_part", F.slice(F.col("_near"), (offset + 1).cast("int"), F.col("_w")))
+    weights = F.get(A.weight_matrix(F.col("_w"), window, poly), (F.col("i") - start).cast("int"))
+    rows = rows.withColumn("_weights", weights).withColumn("_part", F.slice(F.col("_near"), (offset + 1).cast("int"), F.col("_w")))
     dot = F.aggregate(
         F.zip_with("_weights", "_part", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
     )

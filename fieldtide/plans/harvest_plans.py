@@ -374,12 +374,20 @@ def limit_tiles(spark, sf):
     return first.select("tile", F.row_number().over(w).cast("bigint").alias("position"))
 
 
-@plan("resolution_check", R.sql("headers", f"""
-SELECT round(median(dx), 6) AS res_x, round(median(dy), 6) AS res_y, 1 AS crs_count, count(*) AS tiles,
-  ceil((max(lon_max) - min(lon_min)) / {R.lit(R.CHIP_RES)})::BIGINT AS width, ceil((max(lat_max) - min(lat_min)) / {R.lit(R.CHIP_RES_LAT)})::BIGINT AS height
-FROM headers"""))
+@plan("resolution_check", R.sql("headers", """
+SELECT round(median(dx), 6) AS res_x, round(median(dy), 6) AS res_y, 1 AS crs_count, count(*) AS tiles, '' AS violation FROM headers"""))
 def resolution_check(spark, sf):
-    h = R.headers(spark, sf)
-    a = spatial.resolution_check(h)
-    b = spatial.mosaic_size(h, F.col("dx"), -F.col("dy"))
-    return a.join(b).select(r6("res_x").alias("res_x"), r6("res_y").alias("res_y"), F.col("crs_count").cast("int").alias("crs_count"), "tiles", "width", "height")
+    out = spatial.resolution_check(R.headers(spark, sf))
+    return out.select(r6("res_x").alias("res_x"), r6("res_y").alias("res_y"), F.col("crs_count").cast("int").alias("crs_count"),
+                      "tiles", F.coalesce("violation", F.lit("")).alias("violation"))
+
+
+@plan("mosaic_size", R.sql("headers", f"""
+SELECT split_part(tile, '_', 1)::INT % 4 AS part, ceil((max(lon_max) - min(lon_min)) / {R.lit(R.CHIP_RES)})::BIGINT AS width,
+  ceil((max(lat_max) - min(lat_min)) / {R.lit(R.CHIP_RES_LAT)})::BIGINT AS height, 0 AS large FROM headers GROUP BY 1"""))
+def mosaic_size(spark, sf):
+    from fieldtide.functions.text import tile_i
+
+    h = R.headers(spark, sf).withColumn("part", tile_i(F.col("tile")) % 4)
+    out = spatial.mosaic_size(h, F.col("dx"), -F.col("dy"), key=("part",))
+    return out.select("part", "width", "height", bit("large").alias("large"))
