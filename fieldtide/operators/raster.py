@@ -307,18 +307,17 @@ def overlay_scenes(
     """Scenes on one grid over a box, later scenes on top: (pixels, skipped scenes with a reason).
 
     ``scenes`` holds one header per scene plus ``order`` and ``crs``. The grid takes the finest scene resolution, or
-    coarser when a side would exceed ``max_side``. Values are bilinear, validity is the nearest source pixel. The
-    finest resolution is one small aggregate over the headers; it is joined as a single row.
+    coarser when a side would exceed ``max_side``. Values are bilinear, validity is the nearest source pixel.
     """
     hit = scenes.filter(
         (F.col("lon_min") <= box["lon_max"]) & (F.col("lon_max") >= box["lon_min"])
         & (F.col("lat_min") <= box["lat_max"]) & (F.col("lat_max") >= box["lat_min"])
-    ).withColumn("_g", F.lit(1))
+    )
     wide, tall = box["lon_max"] - box["lon_min"], box["lat_max"] - box["lat_min"]
-    best = hit.groupBy("_g").agg(F.min(F.abs("dx")).alias("_rx"), F.min(F.abs("dy")).alias("_ry"))
-    size = lambda extent, r: F.greatest(F.least(F.ceil(F.round(F.lit(extent) / F.col(r), 6)), F.lit(max_side)), F.lit(1)).cast("int")
-    best = best.withColumns({"_W": size(wide, "_rx"), "_H": size(tall, "_ry")})
-    heads = hit.join(F.broadcast(best), "_g")
+    # Scalar subqueries over the headers: one number each, shared by all rows without a join.
+    finest = lambda c: hit.agg(F.min(F.abs(c))).scalar()
+    size = lambda extent, r: F.greatest(F.least(F.ceil(F.round(F.lit(extent) / r, 6)), F.lit(max_side)), F.lit(1)).cast("int")
+    heads = hit.withColumns({"_W": size(wide, finest("dx")), "_H": size(tall, finest("dy"))})
     rows = pixels.join(heads.select(key, "x0", "y0", "dx", "dy", "order", "_W", "_H"), key)
 
     tx, ty = F.lit(wide) / F.col("_W"), F.lit(tall) / F.col("_H")
@@ -370,7 +369,7 @@ def preview(
         *key, (F.col("row1") - F.col("row0")).alias("height"), (F.col("col1") - F.col("col0")).alias("width")
     )
     small = block_average(cropped, size, bands, max_side, key)
-    small = small.select(*key, "row", "col", *[F.rint(b).cast("int").alias(b) for b in bands])
+    small = small.select(*key, "row", "col", *[F.rint(F.round(b, 9)).cast("int").alias(b) for b in bands])
     shown = stretch.display_stretch(small, bands, key)
     stage = lambda df, name: quality.channel_stats(df, bands, key).withColumn("stage", F.lit(name))
     stats = stage(whole, "mosaic").unionByName(stage(cropped, "cropped")).unionByName(

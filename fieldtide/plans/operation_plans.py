@@ -45,17 +45,18 @@ def anchor_plan(spark, sf):
 h AS (SELECT month, string_agg(gap_days || ':' || n, ',' ORDER BY gap_days::VARCHAR) AS hist FROM g GROUP BY month),
 t AS (SELECT month, date, tiles FROM coverage QUALIFY row_number() OVER (PARTITION BY month ORDER BY tiles DESC, date DESC) <= 10),
 tt AS (SELECT month, string_agg(date || ':' || tiles, ',' ORDER BY tiles DESC, date DESC) AS top, max(tiles) AS cov FROM t GROUP BY month)
-SELECT p.month, max(anchor_date)::VARCHAR AS anchor_date, any_value(cov) AS anchor_coverage_tiles, count(p.date) AS planned_tiles, count(*) FILTER (WHERE gap_days = 0) AS anchor_assigned_tiles,
+SELECT p.month, coalesce(max(anchor_date)::VARCHAR, '') AS anchor_date, coalesce(any_value(cov), 0) AS anchor_coverage_tiles, count(p.date) AS planned_tiles, count(*) FILTER (WHERE gap_days = 0) AS anchor_assigned_tiles,
   count(*) FILTER (WHERE gap_days > 0) AS fallback_assigned_tiles, count(*) FILTER (WHERE status = 'meta_patch_missing') AS meta_patch_missing,
   count(*) FILTER (WHERE status = 'no_dates_in_month') AS no_dates_in_month, count(*) FILTER (WHERE status = 'no_valid_observation') AS no_valid_observation,
-  count(*) FILTER (WHERE status = 'valid_tiles') AS valid_tiles, any_value(hist) AS hist, any_value(top) AS top
+  count(*) FILTER (WHERE status = 'valid_tiles') AS valid_tiles, coalesce(any_value(hist), '') AS hist, coalesce(any_value(top), '') AS top
 FROM planned p LEFT JOIN h USING (month) LEFT JOIN tt USING (month) GROUP BY p.month"""))
 def plan_summary(spark, sf):
     coverage = P.date_coverage(P.valid_dates(R.acquisitions(spark, sf)))
     out = P.plan_summary(_planned(spark, sf), coverage)
     hist = F.array_join(F.transform(F.map_entries("gap_days_hist"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
     top = F.array_join(F.transform("top_dates", lambda e: F.concat_ws(":", e["date"].cast("string"), e["tiles"].cast("string"))), ",")
-    return out.withColumns({"hist": hist, "top": top, "anchor_date": day("anchor_date")}).drop("gap_days_hist", "top_dates")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return out.withColumns({"hist": text(hist), "top": text(top), "anchor_date": day("anchor_date")}).drop("gap_days_hist", "top_dates")
 
 
 @plan("nearest_date", R.sql("acq", """

@@ -9,7 +9,7 @@ from fieldtide.functions import indices as X, text as T
 from fieldtide.operators import (
     chunks, components, observations as O, quality as Q, raster as Z, scoring, spatial, stretch,
 )
-from fieldtide.plans import relations as R
+from fieldtide.plans import relations as R, season_plans  # noqa: F401 - its common tables are used here
 from fieldtide.plans.registry import bit, day, plan, r6
 
 RGB = ("B4", "B3", "B2")
@@ -371,17 +371,67 @@ def preview_stats(spark, sf):
     return out.select("stage", "request_id", "channel", "pixels", "min", "max", r6("mean").alias("mean"), "nonzero")
 
 
-@plan("preview_pixels")
+def _cover(p: str, n: str, new: str) -> str:
+    """Overlap of source position ``p`` of ``n`` with target cell ``t`` of ``new``."""
+    lo, hi = f"{p} * {new}::DOUBLE / {n}", f"({p} + 1) * {new}::DOUBLE / {n}"
+    return f"(least({hi}, t.t + 1::DOUBLE) - greatest({lo}, t.t::DOUBLE))"
+
+
+R.cte("cropped", "mosaic1", """
+SELECT m.request_id, m.row - r0 AS row, m.col - c0 AS col, m.B4, m.B3, m.B2, r1 - r0 + 1 AS h, c1 - c0 + 1 AS w
+FROM mosaic1 m JOIN (SELECT request_id, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM mosaic1 WHERE B4 > 0 OR B3 > 0 OR B2 > 0 GROUP BY ALL) e USING (request_id)
+WHERE m.row BETWEEN r0 AND r1 AND m.col BETWEEN c0 AND c1""")
+R.cte("resized", "cropped", """
+SELECT *, CASE WHEN greatest(h, w) <= 20 THEN h ELSE greatest(round_even(h * (20::DOUBLE / greatest(h, w)), 0), 1) END AS nh,
+  CASE WHEN greatest(h, w) <= 20 THEN w ELSE greatest(round_even(w * (20::DOUBLE / greatest(h, w)), 0), 1) END AS nw FROM cropped""")
+R.cte("by_row", "resized", f"SELECT r.*, t.t AS tr, {_cover('row', 'h', 'nh')} AS wr FROM resized r, range(20) t(t) WHERE t.t < nh AND {_cover('row', 'h', 'nh')} > 1e-9")
+R.cte("by_cell", "by_row", f"SELECT r.*, t.t AS tc, wr * {_cover('col', 'w', 'nw')} AS wt FROM by_row r, range(20) t(t) WHERE t.t < nw AND {_cover('col', 'w', 'nw')} > 1e-9")
+R.cte("reduced", "by_cell", "SELECT request_id, tr::INT AS row, tc::INT AS col, "
+      + ", ".join(f"round_even(round(sum(wt * {b}) / sum(wt), 9), 0)::INT AS {b}" for b in RGB) + " FROM by_cell GROUP BY request_id, tr, tc")
+R.cte("small_cuts", "reduced", f"""
+SELECT request_id, count(*) FILTER (WHERE B4 > 0 OR B3 > 0 OR B2 > 0) AS n, {_stretch_sql('FILTER (WHERE B4 > 0 OR B3 > 0 OR B2 > 0)')} FROM reduced GROUP BY request_id""")
+
+
+@plan("preview_pixels", R.sql("reduced small_cuts", "SELECT request_id, row, col, " + ", ".join(
+    f"CASE WHEN n < 16 OR hi_{b} <= lo_{b} + 1e-6 THEN {b} WHEN B4 > 0 OR B3 > 0 OR B2 > 0 THEN floor(greatest(least(({b} - lo_{b}) / (lo_{b} + (hi_{b} - lo_{b}) - lo_{b}), 1), 0) * 255)::INT ELSE 0 END AS {b}" for b in RGB)
+    + " FROM reduced JOIN small_cuts USING (request_id)"))
 def preview_pixels(spark, sf):
     return Z.preview(R.first_scene(spark, sf), R.headers(spark, sf), R.boxes(spark, sf), RGB, RES_X, RES_Y, 20)[0]
 
 
-@plan("overlay_scenes")
+_BOX = {"lon_min": -94.5, "lat_min": 33.0, "lon_max": -91.0, "lat_max": 34.2}
+
+
+def _near(centre: str, step: str, limit: str) -> str:
+    return f"t.t BETWEEN greatest(floor({centre} - {step} - 0.5), 0) AND least(ceil({centre} + {step} - 0.5), {limit} - 1)"
+
+
+R.cte("hits", "headers", f"""
+SELECT * FROM headers WHERE lon_min <= {L(_BOX['lon_max'])} AND lon_max >= {L(_BOX['lon_min'])} AND lat_min <= {L(_BOX['lat_max'])} AND lat_max >= {L(_BOX['lat_min'])}""")
+R.cte("frame", "hits", f"""
+SELECT least(ceil(round({L(_BOX['lon_max'] - _BOX['lon_min'])} / min(abs(dx)), 6)), 60)::INT AS W, least(ceil(round({L(_BOX['lat_max'] - _BOX['lat_min'])} / min(abs(dy)), 6)), 60)::INT AS H FROM hits""")
+R.cte("source", "px hits frame", f"""
+SELECT p.tile || '@' || p.date AS scene, date_diff('day', DATE '2024-06-01', p.date) AS ord, p.B4, p.B3, p.B2, W, H,
+  (x0 + (col + 0.5::DOUBLE) * dx - {L(_BOX['lon_min'])}) / ({L(_BOX['lon_max'] - _BOX['lon_min'])} / W) AS cx, dx / ({L(_BOX['lon_max'] - _BOX['lon_min'])} / W) AS sx,
+  ({L(_BOX['lat_max'])} - (y0 + (row + 0.5::DOUBLE) * dy)) / ({L(_BOX['lat_max'] - _BOX['lat_min'])} / H) AS cy, -dy / ({L(_BOX['lat_max'] - _BOX['lat_min'])} / H) AS sy
+FROM px p JOIN hits h USING (tile), frame""")
+R.cte("spread_c", "source", f"""
+SELECT s.*, t.t::INT AS col, 1 - abs(t.t + 0.5::DOUBLE - cx) / sx AS wc, t.t + 0.5::DOUBLE - cx >= -sx / 2 AND t.t + 0.5::DOUBLE - cx < sx / 2 AS oc FROM source s, range(60) t(t) WHERE {_near('cx', 'sx', 'W')}""")
+R.cte("spread_r", "spread_c", f"""
+SELECT s.*, t.t::INT AS row, 1 - abs(t.t + 0.5::DOUBLE - cy) / sy AS wr, t.t + 0.5::DOUBLE - cy >= -sy / 2 AND t.t + 0.5::DOUBLE - cy < sy / 2 AS o_r FROM spread_c s, range(60) t(t)
+WHERE {_near('cy', 'sy', 'H')} AND (wc > 1e-9 OR oc)""")
+R.cte("per_scene", "spread_r", "SELECT scene, ord, row, col, max(CASE WHEN oc AND o_r THEN 1 ELSE 0 END) AS ok, " + ", ".join(
+    f"sum(greatest(wc, 0) * greatest(wr, 0) * {b}) / nullif(sum(greatest(wc, 0) * greatest(wr, 0)), 0) AS {b}" for b in RGB)
+    + " FROM spread_r WHERE (wr > 1e-9 OR o_r) AND (B4 > 0 OR B3 > 0 OR B2 > 0) GROUP BY scene, ord, row, col")
+
+
+@plan("overlay_scenes", R.sql("per_scene", "SELECT row, col, " + ", ".join(f"round({b}, 4) AS {b}" for b in RGB) + """
+FROM per_scene WHERE ok = 1 QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY ord DESC, scene DESC) = 1"""))
 def overlay_scenes(spark, sf):
     px = R.pixels(spark, sf, RGB).select(F.concat_ws("@", "tile", "date").alias("scene"), "tile", "date", "row", "col", *RGB)
     heads = px.filter("row = 0 and col = 0").select("scene", "tile", F.datediff("date", F.lit("2024-06-01")).alias("order")).join(R.headers(spark, sf), "tile")
-    box = {"lon_min": -94.5, "lat_min": 33.0, "lon_max": -91.0, "lat_max": 34.2}
-    return Z.overlay_scenes(px.drop("tile", "date"), heads, RGB, box, 60)[0]
+    out = Z.overlay_scenes(px.drop("tile", "date"), heads, RGB, _BOX, 60)[0]
+    return out.select("row", "col", *[F.round(b, 4).alias(b) for b in RGB])
 
 
 # ---------------------------------------------------------------- chunks
@@ -508,12 +558,21 @@ def _mean_predict(model, x):
     return np.stack([model + m / 4, model + m / 2], axis=1)
 
 
-@plan("score_records")
+@plan("score_records", R.sql("recs rbins", """
+, grid AS (SELECT r.*, bin FROM recs r, range(73) x(bin)),
+v AS (SELECT g.year, g.tile, g.crop, g.num_observations,
+    (CASE WHEN o.v IS NOT NULL THEN o.v WHEN l.bin IS NULL OR n.bin IS NULL THEN 0 ELSE (n.v - l.v) / (n.bin - l.bin) * (g.bin - l.bin) + l.v END::FLOAT)::DOUBLE AS y
+  FROM grid g LEFT JOIN rbins o ON g.year = o.year AND g.tile = o.tile AND g.crop = o.crop AND g.bin = o.bin
+  ASOF LEFT JOIN rbins l ON g.year = l.year AND g.tile = l.tile AND g.crop = l.crop AND g.bin >= l.bin
+  ASOF LEFT JOIN rbins n ON g.year = n.year AND g.tile = n.tile AND g.crop = n.crop AND g.bin <= n.bin),
+m AS (SELECT year, tile, crop, any_value(num_observations) AS n, avg(y) AS m, CASE crop WHEN 'Corn' THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS base FROM v WHERE crop IN ('Corn', 'Rice') GROUP BY ALL),
+d AS (SELECT *, least(greatest(round_even((base + m / 4) * 366, 0), 1), 366)::INT AS s, least(greatest(round_even((base + m / 2) * 366, 0), 1), 366)::INT AS e FROM m)
+SELECT year, tile, crop, s AS pred_start_doy, greatest(s, e) AS pred_end_doy, n::INT AS num_observations, CASE crop WHEN 'Corn' THEN 12.5::DOUBLE ELSE 14::DOUBLE END AS model_test_mae_days FROM d"""))
 def score_records(spark, sf):
     from fieldtide.operators import features
     from fieldtide.plans.season_plans import _flagged
 
-    records = features.build_records(_flagged(spark, sf), "all_indices", R.windows(spark))
+    records = features.build_records(_flagged(spark, sf), "ndvi_only", R.windows(spark), round4=True)
     registry = spark.createDataFrame([("Corn", 12.5), ("Rice", 14.0)], "crop string, test_mae_days double")
     registry = registry.withColumn("model_path", F.concat(F.lit("models/"), T.safe_model_name(F.col("crop"))))
     ready, _ = scoring.score_ready(records, registry)

@@ -416,12 +416,13 @@ def requested_tiles(spark: SparkSession, sf: str) -> DataFrame:
     """Tiles of a plan, one per customer, with a flag for those that have a data folder."""
     c = table(spark, sf, "customer").select("c_custkey")
     return c.select(
-        F.lit("2024-01").alias("month"), _tile_of(F.col("c_custkey")).alias("tile"), (F.col("c_custkey") % 10 != 9).alias("known")
+        F.when(F.floor(F.col("c_custkey") / 20) % 10 == 9, "2024-02").otherwise("2024-01").alias("month"),
+        _tile_of(F.col("c_custkey")).alias("tile"), (F.col("c_custkey") % 10 != 9).alias("known"),
     )
 
 
 cte("wanted", "", """
-SELECT '2024-01' AS month, (c_custkey % 20)::VARCHAR || '_' || (c_custkey // 20)::VARCHAR AS tile,
+SELECT CASE WHEN (c_custkey // 20) % 10 = 9 THEN '2024-02' ELSE '2024-01' END AS month, (c_custkey % 20)::VARCHAR || '_' || (c_custkey // 20)::VARCHAR AS tile,
   c_custkey % 10 <> 9 AS known FROM customer""")
 cte("coverage", "acq", "SELECT month, date, count(*) AS tiles FROM acq WHERE valid GROUP BY ALL")
 cte("anchor", "coverage", "SELECT month, (list(date ORDER BY tiles DESC, date DESC))[1] AS anchor_date, max(tiles) AS anchor_tiles FROM coverage GROUP BY month")
