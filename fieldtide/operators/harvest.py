@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldtide import constants as C
 from fieldtide.functions.dates import doy_to_date
 from fieldtide.operators import spatial, stats
 
@@ -72,10 +73,10 @@ def predictions_for_tiles(predictions: DataFrame, selected: DataFrame) -> DataFr
 def artifact_metadata(
     predictions: DataFrame, records: DataFrame, tiles: DataFrame, crop_years: DataFrame, key: Sequence[str] = ("year",)
 ) -> DataFrame:
-    """One document per year: counts, crops, training years, note, region and the map of tile bounds.
+    """One document per year: counts, crops, training years, note and region.
 
-    ``crop_years`` has ``crop, train_years, test_years``. Distinct tiles and crops are reduced before any list is
-    built; the bounds map is the document itself and has one entry per tile.
+    ``crop_years`` has ``crop, train_years, test_years``. Lists hold crops and years only; tile bounds stay rows, see
+    :func:`artifact_bounds`.
     """
     k = list(key)
     per_tile = predictions.groupBy(*k, "tile", "crop").agg(F.count(F.lit(1)).alias("_n"))
@@ -86,17 +87,12 @@ def artifact_metadata(
         F.array_sort(F.collect_list("crop")).alias("crops"),
         union("train_years").alias("trained_years"), union("test_years").alias("evaluated_years"),
     )
-    have = per_tile.select(*k, "tile").distinct().join(tiles, "tile", "left")
-    box = F.array("lon_min", "lat_min", "lon_max", "lat_max")
-    by_tile = have.groupBy(*k).agg(
+    by_tile = artifact_bounds(per_tile, tiles, key).groupBy(*k).agg(
         F.count(F.lit(1)).alias("tile_count"),
         F.struct(
             F.min("lon_min").alias("lon_min"), F.min("lat_min").alias("lat_min"),
             F.max("lon_max").alias("lon_max"), F.max("lat_max").alias("lat_max"),
         ).alias("supported_region"),
-        F.map_from_entries(F.array_sort(F.collect_list(
-            F.when(F.col("lon_min").isNotNull(), F.struct(F.col("tile").alias("tile"), box.alias("bounds")))
-        ))).alias("tile_bounds_wgs84"),
     )
     inputs = records.groupBy(*k).agg(F.count(F.lit(1)).alias("input_record_count"))
     note = F.concat(
@@ -106,6 +102,25 @@ def artifact_metadata(
     return by_crop.join(by_tile, k).join(inputs, k, "left").withColumn("training_note", note)
 
 
+def artifact_bounds(predictions: DataFrame, tiles: DataFrame, key: Sequence[str] = ("year",)) -> DataFrame:
+    """Bounds of every tile that has a prediction, one row per key and tile."""
+    have = predictions.select(*key, "tile").distinct()
+    return have.join(tiles, "tile", "left").select(*key, "tile", "lon_min", "lat_min", "lon_max", "lat_max")
+
+
+def fold_bounds(doc: DataFrame, bounds: DataFrame, limit: int = C.GRID_N * C.GRID_N, key: Sequence[str] = ("year",)) -> DataFrame:
+    """The document with its bounds as one map, as small services read it.
+
+    One document serves one canonical grid; a year with more tiles than that is refused and stays in rows.
+    """
+    if not bounds.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).isEmpty():
+        raise ValueError(f"more than {limit} tiles in one document; keep the bounds as rows")
+    box = F.array("lon_min", "lat_min", "lon_max", "lat_max")
+    entry = F.when(F.col("lon_min").isNotNull(), F.struct(F.col("tile").alias("tile"), box.alias("bounds")))
+    maps = bounds.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("tile_bounds_wgs84"))
+    return doc.join(maps, list(key), "left")
+
+
 def require_rows(metadata: DataFrame, year: int) -> DataFrame:
     """The document of one year; raises when no prediction exists for it."""
     doc = metadata.filter(F.col("year") == year)

@@ -73,13 +73,16 @@ def mosaic(
     grids = box_grid(boxes, F.lit(res_x), F.lit(res_y)).select(
         request, F.col("lon_min").alias("_bx"), F.col("lat_max").alias("_by"), "width", "height"
     )
-    targets = pairs.join(grids, request)
-    placed = with_xy(pixels, headers).join(targets, "tile")
+    # Everything small is joined first; the pixels meet it once, and pixels of tiles outside all boxes stop there.
+    targets = pairs.join(grids, request).join(headers.select("tile", "x0", "y0", "dx", "dy"), "tile")
+    placed = pixels.join(targets, "tile").withColumn(
+        "_xy", pixel_to_xy(*[F.col(c) for c in ("row", "col", "x0", "y0", "dx", "dy")])
+    )
     snap = lambda c: F.floor(F.round(c, 6)).cast("int")
     placed = placed.select(
         request, *dict.fromkeys([*order, *bands]), "width", "height",
-        snap((F.col("x") - F.col("_bx")) / F.lit(res_x)).alias("row_c"),
-        snap((F.col("_by") - F.col("y")) / F.lit(res_y)).alias("row_r"),
+        snap((F.col("_xy.x") - F.col("_bx")) / F.lit(res_x)).alias("row_c"),
+        snap((F.col("_by") - F.col("_xy.y")) / F.lit(res_y)).alias("row_r"),
     ).withColumnsRenamed({"row_c": "col", "row_r": "row"})
     inside = F.col("row").between(0, F.col("height") - 1) & F.col("col").between(0, F.col("width") - 1)
     merged = first_wins(placed.filter(inside), order, bands, (request, "row", "col"), last=last)

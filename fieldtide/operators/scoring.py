@@ -26,24 +26,28 @@ def score_ready(records: DataFrame, registry: DataFrame) -> tuple[DataFrame, Dat
 
 def score_records(
     records: DataFrame, registry: DataFrame, load_model: Loader, predict: Predictor, partitions: int | None = None,
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
     """Predicted start and end day per record.
 
     ``registry`` has one row per crop: ``crop, model_path, test_mae_days``. A crop's model is loaded once per worker
-    process and kept. Records are hashed by crop and a salt, so a crop with a third of all records uses many tasks
-    while a small crop still meets few workers. ``predict(model, batch)`` maps a float32 array
+    process and kept. Records are hashed by crop and a salt, by default as many salts as shuffle partitions, so a crop
+    with a third of all records spreads over all tasks. ``predict(model, batch)`` maps a float32 array
     ``[n, channels, bins]`` to ``[n, 2]`` values in 0..1.
     """
     models = registry.select("crop", "model_path", "test_mae_days")
     rows = records.join(F.broadcast(models), "crop").select(
         "year", "tile", "crop", "x", "num_observations", "model_path", "test_mae_days"
     )
-    salt = F.pmod(F.xxhash64("year", "tile"), F.lit(salts))
+    n = salts or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    salt = F.pmod(F.xxhash64("year", "tile"), F.lit(n))
     rows = rows.repartition(partitions, "crop", salt) if partitions else rows.repartition("crop", salt)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, Any] = {}
+        try:  # shared by all tasks of a worker process where the package is installed
+            from fieldtide.operators.model_cache import MODELS as cache
+        except ImportError:
+            cache = {}
         for pdf in batches:
             parts = []
             for path, part in pdf.groupby("model_path", sort=False):

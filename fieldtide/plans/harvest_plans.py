@@ -169,8 +169,7 @@ SELECT year, count(*)::BIGINT AS prediction_row_count, count(DISTINCT crop) AS c
   CASE WHEN count(*) FILTER (WHERE crop = 'Rice') > 0 THEN '1995,1996,1997' ELSE '1995,1996' END AS trained_years,
   CASE WHEN count(*) FILTER (WHERE crop IN ('Corn', 'Rice')) > 0 THEN '1998' ELSE '' END AS evaluated_years,
   count(*) FILTER (WHERE num_observations IS NOT NULL) AS input_record_count,
-  round(min(lon_min), 6) AS lon_min, round(max(lat_max), 6) AS lat_max,
-  count(DISTINCT p.tile) AS bounds
+  round(min(lon_min), 6) AS lon_min, round(max(lat_max), 6) AS lat_max
 FROM predictions p JOIN tiles t USING (tile) GROUP BY year"""))
 def artifact_metadata(spark, sf):
     p = R.predictions(spark, sf)
@@ -181,8 +180,14 @@ def artifact_metadata(spark, sf):
     return doc.select(
         "year", "prediction_row_count", "crop_count", "tile_count", F.array_join("crops", ",").alias("crops"),
         F.array_join("trained_years", ",").alias("trained_years"), F.array_join("evaluated_years", ",").alias("evaluated_years"),
-        "input_record_count", r6("supported_region.lon_min").alias("lon_min"), r6("supported_region.lat_max").alias("lat_max"),
-        F.size("tile_bounds_wgs84").cast("bigint").alias("bounds"))
+        "input_record_count", r6("supported_region.lon_min").alias("lon_min"), r6("supported_region.lat_max").alias("lat_max"))
+
+
+@plan("artifact_bounds", R.sql("predictions tiles", """
+SELECT DISTINCT year, p.tile, round(lon_min, 6) AS lon_min, round(lat_max, 6) AS lat_max FROM predictions p JOIN tiles USING (tile)"""))
+def artifact_bounds(spark, sf):
+    out = harvest.artifact_bounds(R.predictions(spark, sf), R.tiles(spark, sf))
+    return out.select("year", "tile", r6("lon_min").alias("lon_min"), r6("lat_max").alias("lat_max"))
 
 
 @plan("artifact_summary", R.sql("predictions tiles", """

@@ -394,11 +394,14 @@ def scene_manifest(spark, sf):
     return out.select("id", day("acquired_day").alias("acquired_day"), *[r6(c).alias(c) for c in spatial.BOUNDS])
 
 
-@plan("request_fingerprint", R.sql("pairs", """
-SELECT request_id, sha1('{"tiles":[' || string_agg('"' || tile || '"', ',' ORDER BY tile) || '],"year":' || year || '}') AS job_key FROM pairs GROUP BY request_id, year"""))
+@plan("request_fingerprint", R.sql("boxes", """
+, cells AS (SELECT b.request_id, b.year, c.i || '_' || c.j AS tile FROM boxes b JOIN (SELECT i, j, """ + R.cell_bounds_sql("i", "j") + """ FROM range(20) a(i), range(20) b(j)) c
+  ON c.lon_min <= b.lon_max AND c.lon_max >= b.lon_min AND c.lat_min <= b.lat_max AND c.lat_max >= b.lat_min)
+SELECT request_id, sha1('{"tiles":[' || string_agg('"' || tile || '"', ',' ORDER BY tile) || '],"year":' || year || '}') AS job_key FROM cells GROUP BY request_id, year"""))
 def request_fingerprint(spark, sf):
-    pairs = spatial.tiles_intersecting(R.tiles(spark, sf), R.boxes(spark, sf), box_cols=("request_id", "year"))
-    g = pairs.groupBy("request_id", "year").agg(F.collect_list("tile").alias("tiles"))
+    # A request names canonical cells, at most the 400 of the grid.
+    cells = spatial.grid_cells_for_bbox(R.boxes(spark, sf), keep=("request_id", "year"))
+    g = cells.groupBy("request_id", "year").agg(F.collect_list("tile").alias("tiles"))
     return g.select("request_id", T.request_fingerprint({"year": ("int", F.col("year")), "tiles": ("texts", F.col("tiles"))}).alias("job_key"))
 
 

@@ -44,10 +44,23 @@ def pivot_bands(long_pixels: DataFrame, bands: Sequence[str]) -> DataFrame:
 def write_pixels(pixels: DataFrame, path: str, block: int = 256, mode: str = "errorifexists") -> None:
     """Pixels partitioned by year and tile, sorted by date and block so that windowed reads prune row groups.
 
-    The salt spreads a tile with very many dates over several writers.
+    The rows are range-partitioned on the full sort order: a task meets few tiles, and a tile holding a large share of
+    all rows is split over many tasks.
     """
+    order = ("year", "tile", "date", "_b")
     rows = pixels.withColumns({
         "year": F.year("date"), "_b": F.floor(F.col("row") / block) * 100000 + F.floor(F.col("col") / block),
     })
-    rows = rows.repartition("year", "tile", F.month("date")).sortWithinPartitions("year", "tile", "date", "_b")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.drop("_b").write.mode(mode).partitionBy("year", "tile").parquet(path)
+
+
+def save_bucketed(pixels: DataFrame, name: str, buckets: int, path: str | None = None, mode: str = "errorifexists") -> None:
+    """Save a pixel or mask table bucketed by pixel position.
+
+    Tables with the same number of buckets join on (tile, row, col) without a shuffle, and per-pixel composites group
+    without one. Positions hash evenly even when one tile holds most rows.
+    """
+    key = ("tile", "row", "col")
+    writer = pixels.repartition(buckets, *key).write.mode(mode).bucketBy(buckets, *key).sortBy(*key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)

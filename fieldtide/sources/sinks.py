@@ -20,10 +20,13 @@ def write_predictions(df: DataFrame, path: str, overwrite: bool = False) -> None
     df.select(*C.PREDICTION_COLUMNS).orderBy("crop", "tile").write.mode(_mode(overwrite)).option("header", True).csv(path)
 
 
-def write_artifact_metadata(doc: DataFrame, path: str, overwrite: bool = False) -> None:
-    doc.withColumn("generated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")).coalesce(1).write.mode(
-        _mode(overwrite)
-    ).json(path)
+def write_artifact_metadata(doc: DataFrame, path: str, bounds: DataFrame | None = None, overwrite: bool = False) -> None:
+    """The document, and the bounds of its tiles as one JSON row per tile below ``path/tile_bounds``."""
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    doc.withColumn("generated_at", stamp).coalesce(1).write.mode(_mode(overwrite)).json(path.rstrip("/") + "/document")
+    if bounds is not None:
+        entry = F.create_map("tile", F.array("lon_min", "lat_min", "lon_max", "lat_max"))
+        bounds.select("year", entry.alias("tile_bounds_wgs84")).write.mode(_mode(overwrite)).json(path.rstrip("/") + "/tile_bounds")
 
 
 def _four(c: str) -> Column:
@@ -50,8 +53,9 @@ def season_summary_rows(timeline: DataFrame) -> DataFrame:
 
 def write_season_summary(timeline: DataFrame, path: str, overwrite: bool = False) -> None:
     """One folder per year and tile; inside, rows sorted by crop and date."""
+    order = ("year", "tile", "Crop", "Date")
     rows = season_summary_rows(timeline)
-    rows.repartition("year", "tile").sortWithinPartitions("year", "tile", "Crop", "Date").write.mode(
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(
         _mode(overwrite)
     ).partitionBy("year", "tile").option("header", True).option("emptyValue", "").csv(path)
 

@@ -42,16 +42,19 @@ def read_predictions(spark: SparkSession, path: str, strict: bool = False) -> tu
     return checked.filter(F.col("violation").isNull()).select(*C.PREDICTION_COLUMNS), bad
 
 
-def read_tile_bounds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(tiles with bounds, violations) from an artifact document; both are empty when the key is absent."""
-    docs = spark.read.schema(schemas.ARTIFACT_METADATA).option("multiLine", True).json(path)
-    rows = docs.select(F.explode("tile_bounds_wgs84").alias("tile", "b"))
+def read_tile_bounds(spark: SparkSession, path: str, rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(tiles with bounds, violations) from an artifact document; both are empty when the key is absent.
+
+    ``rows`` reads the form with one JSON row per tile instead of one document.
+    """
+    docs = spark.read.schema(schemas.ARTIFACT_METADATA).option("multiLine", not rows).json(path)
+    pairs = docs.select(F.explode("tile_bounds_wgs84").alias("tile", "b"))
     at = lambda k: F.try_element_at("b", F.lit(k))
-    rows = rows.select("tile", F.size("b").alias("_n"), *[at(k).alias(c) for k, c in enumerate(
+    pairs = pairs.select("tile", F.size("b").alias("_n"), *[at(k).alias(c) for k, c in enumerate(
         ("lon_min", "lat_min", "lon_max", "lat_max"), 1)])
     fine = (F.col("_n") == 4) & (F.col("lon_min") < F.col("lon_max")) & (F.col("lat_min") < F.col("lat_max"))
-    rows = rows.withColumn("_ok", F.coalesce(fine, F.lit(False)))
-    return rows.filter("_ok").drop("_n", "_ok"), rows.filter("not _ok").drop("_n", "_ok")
+    pairs = pairs.withColumn("_ok", F.coalesce(fine, F.lit(False)))
+    return pairs.filter("_ok").drop("_n", "_ok"), pairs.filter("not _ok").drop("_n", "_ok")
 
 
 def read_scene_manifest(spark: SparkSession, glob: str) -> DataFrame:

@@ -210,6 +210,24 @@ def test_pixel_tables(spark, tmp_path):
     assert [(r["B4"], r["B8"]) for r in X.pivot_bands(long, ("B4", "B8")).collect()] == [(1, 2)]
 
 
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    from fieldtide.operators.observations import mask_pixels
+    from fieldtide.operators.quality import monthly_median
+
+    px = spark.range(400).selectExpr("'1_2' tile", "date'2024-06-01' date", "int(id div 20) row", "int(id % 20) col", "int(id) B4", "4 scl")
+    X.save_bucketed(px, "bucketed_px", 4, str(tmp_path / "bpx"))
+    X.save_bucketed(px.selectExpr("tile", "row", "col", "1 label"), "bucketed_mask", 4, str(tmp_path / "bm"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (mask_pixels(spark.table("bucketed_px"), spark.table("bucketed_mask")), monthly_median(spark.table("bucketed_px"), bands=("B4",))):
+            assert df.count() == 400
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for t in ("bucketed_px", "bucketed_mask"):
+            spark.sql(f"DROP TABLE {t}")
+
+
 def test_ingest_is_exactly_once(spark, tmp_path):
     schema = "year int, tile string, date date, ndvi double"
     src, out, ck = (str(tmp_path / p) for p in ("src", "out", "ck"))
