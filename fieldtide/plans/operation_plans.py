@@ -564,32 +564,27 @@ def _event_stream(spark, sf):
 @plan("latest_job_state", """
 SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at, (list(event_id ORDER BY ts DESC, event_id DESC))[1] AS job_id, (list(event_type ORDER BY ts DESC, event_id DESC))[1] AS state FROM events GROUP BY user_id""")
 def latest_job_state(spark, sf):
-    import uuid
-
     from fieldtide.streaming import ingest
 
     jobs = _event_stream(spark, sf).select("user_id", "ts", "event_id", F.col("event_type").alias("state"))
-    latest = ingest.latest_job_state(jobs, "user_id", "ts", "event_id")
-    out = ingest.run_once(latest, f"latest_{uuid.uuid4().hex}", "complete")
+    base = _folder(spark)
+    out = ingest.latest_job_state(ingest.land(jobs, base + "/jobs", base + "/ckpt"), "user_id", "ts", "event_id")
     return out.select("user_id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "job_id", "state")
 
 
 @plan("rolling_coverage", "SELECT ts::DATE::VARCHAR AS date, count(*) AS scenes FROM events GROUP BY 1")
 def rolling_coverage(spark, sf):
-    import uuid
-
     from fieldtide.streaming import ingest
 
-    out = ingest.run_once(ingest.rolling_coverage(_event_stream(spark, sf), tile="user_id"), f"coverage_{uuid.uuid4().hex}", "complete")
-    return out.select(day("date").alias("date"), "scenes")
+    base = _folder(spark)
+    landed = ingest.land(_event_stream(spark, sf).select("ts", "user_id"), base + "/scenes", base + "/ckpt")
+    return ingest.rolling_coverage(landed, tile="user_id").select(day("date").alias("date"), "scenes")
 
 
 @plan("exact_coverage", "SELECT ts::DATE::VARCHAR AS date, count(DISTINCT user_id) AS tiles FROM events GROUP BY 1")
 def exact_coverage(spark, sf):
-    import uuid
-
     from fieldtide.streaming import ingest
 
-    seen = ingest.run_once(ingest.exact_coverage(_event_stream(spark, sf), tile="user_id", late_days=60), f"seen_{uuid.uuid4().hex}", "append")
+    base = _folder(spark)
+    seen = ingest.land(ingest.exact_coverage(_event_stream(spark, sf), tile="user_id", late_days=60), base + "/seen", base + "/ckpt")
     return seen.groupBy(day(F.to_date("day")).alias("date")).agg(F.count(F.lit(1)).alias("tiles"))
-

@@ -50,11 +50,15 @@ def latest_job_state(jobs: DataFrame, key: str = "job_key", updated: str = "upda
     return jobs.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Drive a stream to the end of its present input into an in-memory table and return it. For tests and small results."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def land(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """Append everything the stream has now to a Parquet folder exactly once, and return the folder as a table.
+
+    Works for streams in append mode. Aggregates over the landed rows can then be computed and corrected as batches,
+    and nothing passes through the driver.
+    """
+    query = (
+        stream.writeStream.format("parquet").outputMode("append").option("path", target)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return stream.sparkSession.read.parquet(target)

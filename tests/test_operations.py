@@ -259,3 +259,35 @@ def test_grids(spark):
 def test_dedupe(spark):
     rows = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 3, "z")], "tile string, position int, v string")
     assert {r["tile"]: r["v"] for r in audit.dedupe_keep_first(rows).collect()} == {"a": "x", "b": "z"}
+
+
+def stream_of(spark, tmp_path, rows, schema):
+    """A file stream with one file per row, so that several small batches arrive."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return spark.readStream.schema(_parse_datatype_string(schema)).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def run(df, name, mode):
+    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def test_streaming_state(spark, tmp_path):
+    at = lambda h, day=1: dt.datetime(2024, 6, day, h)
+    rows = [("k", at(1), "1", "queued"), ("k", at(5), "2", "running"), ("k", at(3), "3", "failed"), ("m", at(2), "4", "queued")]
+    jobs = stream_of(spark, tmp_path, rows, "job_key string, updated_at timestamp, job_id string, state string")
+    got = {r["job_key"]: (r["job_id"], r["state"]) for r in run(ingest.latest_job_state(jobs), "latest_jobs", "complete").collect()}
+    assert got == {"k": ("2", "running"), "m": ("4", "queued")}
+
+
+def test_streaming_coverage(spark, tmp_path):
+    at = lambda h, day=1: dt.datetime(2024, 6, day, h)
+    rows = [(at(1), "a"), (at(2), "a"), (at(3, 2), "a"), (at(5), "b")]
+    scenes = stream_of(spark, tmp_path, rows, "ts timestamp, tile string")
+    got = {r["date"]: (r["tiles"], r["scenes"]) for r in run(ingest.rolling_coverage(scenes), "coverage", "complete").collect()}
+    assert got == {D(1): (2, 3), D(2): (1, 1)}
+    landed = ingest.land(ingest.exact_coverage(scenes), str(tmp_path / "seen"), str(tmp_path / "ck"))
+    assert landed.count() == 3
