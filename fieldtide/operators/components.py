@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fieldtide.session import ensure_checkpoint_dir
+from fieldtide.session import broadcast_if_small, ensure_checkpoint_dir
 
 _SHIFT = 1 << 31
 
@@ -115,4 +115,4 @@ def farm_id(x: Column, y: Column) -> Column:
 def farm_pixels(components: DataFrame, found: DataFrame, crops: DataFrame) -> DataFrame:
     """Pixels of the kept fields with crop name and ``farm_id``."""
     rows = components.join(found.select("tile", "label", "component", "farm_id"), ["tile", "label", "component"])
-    return rows.join(F.broadcast(crops.select("label", "crop")), "label").select("tile", "row", "col", "crop", "farm_id")
+    return rows.join(broadcast_if_small(crops.select("label", "crop")), "label").select("tile", "row", "col", "crop", "farm_id")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fieldtide import constants as C
 from fieldtide.functions.dates import doy_bin, in_month_day_window, parse_date
 from fieldtide.functions.text import to_double_lenient
+from fieldtide.session import broadcast_if_small
 
 
 def feature_names(feature_set: str) -> tuple[str, ...]:
@@ -70,39 +71,52 @@ def interpolate_inside(
     return rows.select(*key, bin_col, out.cast("float").alias(value))
 
 
-def _dense(pairs: Column, n_bins: int = C.NUM_BINS) -> Column:
-    """Sorted (bin, value) pairs to a fixed-length float array with zeros in the holes."""
-    table = F.map_from_entries(pairs)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n_bins - 1)),
-        lambda b: F.coalesce(F.try_element_at(table, b), F.lit(0.0)).cast("float"),
-    )
-
-
 def assemble_tensor(
     binned: DataFrame, key: Sequence[str], features: Sequence[str], n_bins: int = C.NUM_BINS
 ) -> DataFrame:
     """One row per key with ``x``: an array of ``features + 1`` channels of ``n_bins`` floats.
 
-    The binned rows are hashed by key once; interpolation windows and the final grouping reuse that partitioning.
+    The binned rows of a key (at most ``n_bins``) are gathered once; every channel is drawn inside that row.
     """
-    rows = binned.repartition(*[F.col(k) for k in key])
-    channels = F.array(
-        *[F.struct(F.lit(p).alias("channel"), F.col(f).alias("value")) for p, f in enumerate(features)]
+    rows = binned.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("bin", *features, "valid_fraction"))).alias("_bins")
     )
-    long = rows.select(*key, "bin", F.inline(channels))
-    dense = interpolate_inside(long, [*key, "channel"], "value", "bin", n_bins)
-    fraction = rows.select(
-        *key, F.lit(len(features)).alias("channel"), "bin", F.col("valid_fraction").cast("float").alias("value")
-    )
-    stacked = dense.unionByName(fraction)
-    per_key = stacked.groupBy(*key).agg(
-        *[
-            F.collect_list(F.when(F.col("channel") == c, F.struct("bin", "value"))).alias(f"_c{c}")
-            for c in range(len(features) + 1)
-        ]
+    return rows.select(*key, tensor(F.col("_bins"), features, n_bins).alias("x"))
+
+
+def tensor(bins: Column, features: Sequence[str], n_bins: int = C.NUM_BINS) -> Column:
+    """Interpolated channels, then the share of features present, from one key's sorted array of bin structs."""
+    channels = [lay_out(bins, f, n_bins) for f in features]
+    return F.array(*channels, lay_out(bins, "valid_fraction", n_bins, between=False))
+
+
+def lay_out(bins: Column, field: str, n_bins: int = C.NUM_BINS, between: bool = True) -> Column:
+    """One channel of ``n_bins`` floats: observed bins hold their value, gaps between them the straight line (or zero),
+    everything outside zero. The same rule as :func:`interpolate_inside`, on an array."""
+    zero = F.lit(0.0).cast("float")
+    zeros = lambda n: F.array_repeat(zero, n)
+    seen = F.transform(
+        F.filter(bins, lambda b: b[field].isNotNull()),
+        lambda b: F.struct(b["bin"].alias("bin"), b[field].cast("float").cast("double").alias("value")),
     )
-    return per_key.select(*key, F.array(*[_dense(F.col(f"_c{c}"), n_bins) for c in range(len(features) + 1)]).alias("x"))
+    nothing = F.lit(None).cast("struct<bin:int,value:double>")
+    pairs = F.arrays_zip(seen.alias("a"), F.concat(F.slice(seen, 2, n_bins), F.array(nothing)).alias("b"))
+
+    def stretch(p: Column) -> Column:
+        here, after = p["a"], p["b"]
+        slope = (after["value"] - here["value"]) / (after["bin"] - here["bin"])
+        first = F.array(here["value"].cast("float"))
+        line = F.transform(
+            F.sequence(here["bin"] + 1, after["bin"] - 1),
+            lambda t: (slope * (t - here["bin"]) + here["value"]).cast("float"),
+        )
+        gap = line if between else zeros(after["bin"] - here["bin"] - 1)
+        return F.when(after.isNull() | (after["bin"] == here["bin"] + 1), first).otherwise(F.concat(first, gap))
+
+    drawn = F.coalesce(F.flatten(F.transform(pairs, stretch)), F.array().cast("array<float>"))
+    before = F.coalesce(F.try_element_at(seen, F.lit(1))["bin"], F.lit(n_bins))
+    after = n_bins - 1 - F.coalesce(F.try_element_at(seen, F.lit(-1))["bin"], F.lit(n_bins - 1))
+    return F.concat(zeros(before), drawn, zeros(after))
 
 
 def build_records(
@@ -132,7 +146,7 @@ def build_records(
     rows = rows.withColumn("doy", F.dayofyear("date"))
     kept = F.lit(True)
     if windows is not None:
-        rows = rows.join(F.broadcast(windows.select("crop", "start_md", "end_md")), "crop", "left")
+        rows = rows.join(broadcast_if_small(windows.select("crop", "start_md", "end_md")), "crop", "left")
         kept = F.coalesce(in_month_day_window(F.col("date"), F.col("start_md"), F.col("end_md")), F.lit(True))
     observed = kept & F.coalesce(*[F.col(f) for f in names]).isNotNull()
     rows = rows.withColumn("_obs", observed)
@@ -143,57 +157,19 @@ def build_records(
         *[F.avg(F.when(F.col("_obs"), F.col(f))).alias(f) for f in names],
         F.count_if("_obs").alias("_n"), flag_day("Start").alias("_s"), flag_day("End").alias("_e"),
     )
-    binned = binned.repartition(*[F.col(k) for k in key])
-    whole = W.partitionBy(*key)
-    binned = binned.select(
-        "*", F.sum("_n").over(whole).alias("num_observations"),
-        F.max("_s").over(whole)["doy"].alias("start_doy"), F.max("_e").over(whole)["doy"].alias("end_doy"),
-    ).filter(F.col("num_observations") >= min_points)
-    if labelled_only:
-        binned = require_labels(binned)
     present = sum((F.when(F.col(f).isNotNull(), 1).otherwise(0) for f in names), F.lit(0))
     binned = binned.withColumn("valid_fraction", present / F.lit(float(len(names))))
-
-    keep = ["start_doy", "end_doy", "num_observations"]
-    # One row per key from here on; the line between bins is drawn inside the row's array of at most 73 bins.
-    per_key = binned.groupBy(*key).agg(
+    records = binned.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("bin", *names, "valid_fraction"))).alias("_bins"),
-        *[F.first(c).alias(c) for c in keep],
-    )
-    x = F.array(
-        *[inside_line(F.col("_bins"), f) for f in names],
-        _dense(F.transform("_bins", lambda b: F.struct(b["bin"], b["valid_fraction"].cast("float")))),
-    )
-    return per_key.select(
-        *key, x.alias("x"), *[F.col(c) for c in keep[:2]],
-        F.lit(feature_set).alias("feature_set"), F.col("num_observations").cast("int").alias("num_observations"),
-    )
-
-
-def inside_line(bins: Column, feature: str, n_bins: int = C.NUM_BINS) -> Column:
-    """The same interpolation as :func:`interpolate_inside`, on one key's sorted array of at most 73 bin structs."""
-    point = lambda b: F.struct(b["bin"].alias("bin"), b[feature].cast("float").cast("double").alias("value"))
-    seen = F.transform(F.filter(bins, lambda b: b[feature].isNotNull()), point)
-    pairs = F.zip_with(
-        seen, F.concat(F.slice(seen, 2, n_bins), F.array(F.lit(None).cast("struct<bin:int,value:double>"))),
-        lambda a, nxt: F.struct(
-            a["bin"].alias("bin"), a["value"].alias("value"),
-            F.coalesce(nxt["bin"], a["bin"] + 1).alias("next_bin"), nxt["value"].alias("next_value"),
-        ),
+        F.sum("_n").cast("int").alias("num_observations"),
+        F.max("_s")["doy"].alias("start_doy"), F.max("_e")["doy"].alias("end_doy"),
+    ).filter(F.col("num_observations") >= min_points)
+    if labelled_only:
+        records = require_labels(records)
+    return records.select(
+        *key, tensor(F.col("_bins"), names).alias("x"), "start_doy", "end_doy", F.lit(feature_set).alias("feature_set"),
+        "num_observations",
     )
-    drawn = F.flatten(F.transform(
-        pairs,
-        lambda p: F.transform(
-            F.sequence(p["bin"], p["next_bin"] - 1),
-            lambda b: F.when(b == p["bin"], p["value"]).otherwise(
-                (p["next_value"] - p["value"]) / (p["next_bin"] - p["bin"]) * (b - p["bin"]) + p["value"]
-            ).cast("float"),
-        ),
-    ))
-    lead = F.array_repeat(F.lit(0.0).cast("float"), F.coalesce(F.try_element_at(seen, F.lit(1))["bin"], F.lit(n_bins)))
-    tail_n = n_bins - F.coalesce(F.try_element_at(seen, F.lit(-1))["bin"] + 1, F.lit(n_bins))
-    tail = F.array_repeat(F.lit(0.0).cast("float"), tail_n)
-    return F.concat(lead, F.coalesce(drawn, F.array().cast("array<float>")), tail)
 
 
 def encode_targets(records: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldtide import constants as C
 from fieldtide.functions.dates import doy_to_date
 from fieldtide.operators import spatial, stats
+from fieldtide.session import broadcast_if_small
 
 
 def predictions_for_boxes(predictions: DataFrame, tiles: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def artifact_metadata(
     """
     k = list(key)
     per_tile = predictions.groupBy(*k, "tile", "crop").agg(F.count(F.lit(1)).alias("_n"))
-    crops = per_tile.groupBy(*k, "crop").agg(F.sum("_n").alias("_n")).join(F.broadcast(crop_years), "crop", "left")
+    crops = per_tile.groupBy(*k, "crop").agg(F.sum("_n").alias("_n")).join(broadcast_if_small(crop_years), "crop", "left")
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<int>"))))))
     by_crop = crops.groupBy(*k).agg(
         F.sum("_n").alias("prediction_row_count"), F.count(F.lit(1)).alias("crop_count"),

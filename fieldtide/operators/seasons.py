@@ -17,6 +17,7 @@ from fieldtide import constants as C
 from fieldtide.functions import series as A
 from fieldtide.functions.dates import month_day_number
 from fieldtide.functions.series import snap, window_length, window_lengths
+from fieldtide.session import broadcast_if_small
 
 ROUND = 9  # positions of extremes are picked on values rounded here, so last-bit noise cannot move them
 
@@ -301,7 +302,7 @@ def estimate_seeding(
     ``seeding`` is the settings dimension (one row per crop). Crops without a window keep blank results.
     """
     rows = season_arrays(obs, key, ("ndvi", "evi"), date, window, poly, min_points)
-    rows = rows.join(F.broadcast(sowing_window(seeding)), crop, "left")
+    rows = rows.join(broadcast_if_small(sowing_window(seeding)), crop, "left")
     rows = rows.withColumns({"_n": first_greenup(F.col("ndvi_smooth")), "_year": F.year(F.get("dates", F.lit(0)))})
     rows = rows.withColumn("_e", F.when(F.col("_n").isNull(), first_greenup(F.col("evi_smooth"))))
     found = seeding_from_greenup(F.col("_n"), F.col("_e"), F.col("offset_days"), F.col("_year"))

@@ -69,13 +69,16 @@ def _crop_of(flag: Column) -> Column:
     return F.when(flag == "A", "Corn").when(flag == "N", "Rice").otherwise("Rye")
 
 
+def _whole(name: str, scale: int = 100) -> Column:
+    return F.floor(F.col(name) * scale + 0.5).cast("bigint")
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.select(
         F.year("l_shipdate").alias("year"), _tile_of(F.col("l_suppkey")).alias("tile"),
         _crop_of(F.col("l_returnflag")).alias("crop"), F.to_date("l_shipdate").alias("date"),
-        F.round(F.col("l_discount") * 100).cast("bigint").alias("d"), F.round(F.col("l_tax") * 100).cast("bigint").alias("t"),
-        F.col("l_quantity").cast("bigint").alias("q"),
+        _whole("l_discount").alias("d"), _whole("l_tax").alias("t"), F.col("l_quantity").cast("bigint").alias("q"),
     )
 
 
@@ -88,8 +91,14 @@ FROM lineitem""")
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     """One row per year, tile, crop and date, with some missing values."""
-    g = lines(spark, sf).groupBy("year", "tile", "crop", "date").agg(
-        F.sum("d").alias("d"), F.sum("t").alias("t"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("c")
+    li = table(spark, sf, "lineitem")
+    # Grouped on the short keys; names are made from the reduced rows.
+    g = li.groupBy("l_suppkey", "l_returnflag", F.to_date("l_shipdate").alias("date")).agg(
+        F.sum(_whole("l_discount")).alias("d"), F.sum(_whole("l_tax")).alias("t"),
+        F.sum(F.col("l_quantity").cast("bigint")).alias("q"), F.count(F.lit(1)).alias("c"),
+    ).select(
+        F.year("date").alias("year"), _tile_of(F.col("l_suppkey")).alias("tile"), _crop_of(F.col("l_returnflag")).alias("crop"),
+        "date", "d", "t", "q", "c",
     )
     part = lambda v, scale, mod, gap: F.when(F.col(v) % mod != gap, F.col(v).cast("double") / (F.col("c") * scale).cast("double"))
     return g.select(

@@ -20,13 +20,17 @@ def inventory(files: DataFrame, start: str | None = None, end: str | None = None
 
     Dates must be real dates; the optional range is inclusive.
     """
-    part = lambda k: F.try_element_at(F.split("path", "/"), F.lit(k))
-    name = part(-1)
-    rows = files.select(
-        "path", "length", F.regexp_extract(part(-4), r"^(\d{4})_[A-Za-z]+$", 1).try_cast("int").alias("year"),
-        F.when(part(-3).rlike(r"^\d+_\d+$"), part(-3)).alias("tile"), parse_date(part(-2)).alias("date"),
-        F.nullif(F.regexp_extract(name, r"^([A-Za-z0-9_]+?)_\d{4}-\d{2}-\d{2}\.[A-Za-z]+$", 1), F.lit("")).alias("band"),
-    ).filter(F.col("tile").isNotNull() & F.col("date").isNotNull())
+    def keys(parts):
+        at = lambda k: F.try_element_at(parts, F.lit(k))
+        return F.struct(
+            F.regexp_extract(at(-4), r"^(\d{4})_[A-Za-z]+$", 1).try_cast("int").alias("year"),
+            F.when(at(-3).rlike(r"^\d+_\d+$"), at(-3)).alias("tile"), parse_date(at(-2)).alias("date"),
+            F.nullif(F.regexp_extract(at(-1), r"^([A-Za-z0-9_]+?)_\d{4}-\d{2}-\d{2}\.[A-Za-z]+$", 1), F.lit("")).alias("band"),
+        )
+
+    # A generator of at most one row: the path is split and parsed once, however many filters follow.
+    found = F.filter(F.transform(F.array(F.split("path", "/")), keys), lambda k: k["tile"].isNotNull() & k["date"].isNotNull())
+    rows = files.select("path", "length", F.inline(found))
     if start is not None:
         rows = rows.filter(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
