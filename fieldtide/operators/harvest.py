@@ -27,19 +27,13 @@ def harvest_by_crop(predictions: DataFrame, tiles: DataFrame, boxes: DataFrame)
     """
     rows = predictions_for_boxes(predictions, tiles, boxes)
     key = ["request_id", "year", "crop"]
-    # Partial aggregate per (key, start, end, observations): the joined rows shuffle once, already reduced.
-    mae = F.min(F.when(F.col("model_test_mae_days").isNotNull(), F.struct("tile", "model_test_mae_days")))
-    base = rows.groupBy(*key, "pred_start_doy", "pred_end_doy", "num_observations").agg(
-        F.count(F.lit(1)).alias("_n"), mae.alias("_mae")
-    )
-    measures = F.array(
-        F.struct(F.lit("start").alias("measure"), F.col("pred_start_doy").cast("bigint").alias("value")),
-        F.struct(F.lit("end").alias("measure"), F.col("pred_end_doy").cast("bigint").alias("value")),
-        F.struct(F.lit("obs").alias("measure"), F.col("num_observations").cast("bigint").alias("value")),
-    )
-    hist = base.select(*key, "_n", "_mae", F.inline(measures)).filter("value is not null").groupBy(
+    # The joined rows shuffle once, as counts per value: at most 366 per measure, key and task.
+    whole = lambda name, c: F.struct(F.lit(name).alias("measure"), F.col(c).cast("bigint").alias("value"))
+    measures = F.array(whole("start", "pred_start_doy"), whole("end", "pred_end_doy"), whole("obs", "num_observations"))
+    mae = F.when(F.col("model_test_mae_days").isNotNull(), F.struct("tile", "model_test_mae_days"))
+    hist = rows.select(*key, mae.alias("_mae"), F.inline(measures)).filter("value is not null").groupBy(
         *key, "measure", "value"
-    ).agg(F.sum("_n").alias("freq"), F.min("_mae").alias("_mae"))
+    ).agg(F.count(F.lit(1)).alias("freq"), F.min("_mae").alias("_mae"))
     pct = stats.histogram_percentiles(hist, key, (10, 50, 90), carry=["_mae"])
     pick = lambda m, q: F.max(F.when(F.col("measure") == m, F.col(q)))
     wide = pct.groupBy(*key).agg(

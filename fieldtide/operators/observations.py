@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fieldtide.functions import indices as X
+from fieldtide.functions.text import harvest_flag, seeding_flag
 from fieldtide.session import broadcast_if_small
 
 PIXEL = ("tile", "row", "col")
@@ -99,13 +100,16 @@ def timeline_with_events(
     Event dates without an observation become rows with null indices. Rows with no index at all stay only when an
     event falls on them. Adds the text flags and the settings that summary files carry.
     """
-    from fieldtide.functions.text import harvest_flag, seeding_flag
-
     k = list(key)
-    names = ("start", "end", "greenup", "seeding")
-    dates = events.select(*k, F.explode(F.array_distinct(F.array(*names))).alias("date")).filter("date is not null")
-    rows = obs.select(*k, "date", *values).join(dates, [*k, "date"], "full_outer")
-    rows = rows.join(events, k)
+    fields = [c for c in events.columns if c not in k]
+    dates = F.array_distinct(F.array_compact(F.array("start", "end", "greenup", "seeding")))
+    marks = events.select(*k, F.explode(dates).alias("date"), F.struct(*fields).alias("_e"))
+    # Events travel as rows of their own dates, so they are computed once and meet the readings by grouping. Readings
+    # and marks of a season are hashed together; the grouping and the window below need no further exchange.
+    rows = obs.select(*k, "date", *values).unionByName(marks, allowMissingColumns=True).repartition(*[F.col(c) for c in k])
+    rows = rows.groupBy(*k, "date").agg(*[F.max(v).alias(v) for v in values], F.max("_e").alias("_e"))
+    rows = rows.withColumn("_has", F.count("_e").over(W.partitionBy(*k))).filter("_has > 0")
+    rows = rows.select(*k, "date", *values, *[F.col(f"_e.{f}").alias(f) for f in fields])
     h = harvest_flag(F.col("date"), F.col("start"), F.col("end"))
     s = seeding_flag(F.col("date"), F.col("greenup"), F.col("seeding"))
     rows = rows.withColumns({"harvest": h, "seeding_event": s})

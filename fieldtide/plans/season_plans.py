@@ -399,3 +399,51 @@ def encode_targets(spark, sf):
     rows = _flagged(spark, sf).withColumn("doy", F.dayofyear("date"))
     out = features.encode_targets(features.labels_from_rows(rows, R.SERIES))
     return out.select(*R.SERIES, r6(F.col("y")[0]).alias("y0"), r6(F.col("y")[1]).alias("y1"))
+
+
+# ---------------------------------------------------------------- summaries
+
+@plan("union_summaries", R.sql("timeline predictions", """
+SELECT 'crop' AS level, tile, crop AS "Crop", date::VARCHAR AS "Date", CASE WHEN harvest = 'Start' THEN coalesce(div_start, -1) ELSE -1 END::BIGINT AS div_start FROM timeline
+UNION ALL SELECT 'tile', tile, crop, '', pred_start_doy FROM predictions"""))
+def union_summaries(spark, sf):
+    a = _timeline(spark, sf).select(F.lit("crop").alias("level"), "tile", F.col("crop").alias("Crop"), day("date").alias("Date"), F.col("div_start").cast("bigint").alias("div_start"))
+    b = R.predictions(spark, sf).select(F.lit("tile").alias("level"), "tile", F.col("crop").alias("Crop"), F.col("pred_start_doy").cast("bigint").alias("div_result_start"))
+    out = O.union_summaries(a, b)
+    return out.withColumns({"Date": F.coalesce("Date", F.lit("")), "div_start": num("div_start")})
+
+
+@plan("farm_summary_rows", R.sql("timeline", """
+SELECT crop AS "Crop", tile AS "FarmID", coalesce(max(date) FILTER (WHERE harvest = 'Start')::VARCHAR, '') AS "HarvestStart",
+  coalesce(max(date) FILTER (WHERE harvest = 'End')::VARCHAR, '') AS "HarvestEnd", coalesce(min(greenup_source) FILTER (WHERE seeding_event <> '' AND date = first_sown), '') AS "SeedingSource"
+FROM (SELECT *, min(date) FILTER (WHERE seeding_event <> '') OVER (PARTITION BY tile, crop) AS first_sown FROM timeline WHERE year = 1997) GROUP BY tile, crop"""))
+def farm_summary_rows(spark, sf):
+    from fieldtide.sources.sinks import farm_summary_rows as layout
+
+    rows = O.row_numbers(_timeline(spark, sf).filter("year = 1997").withColumn("farm_id", F.col("tile")), ["crop", "farm_id"])
+    out = layout(O.farm_season_summary(rows))
+    return out.select("Crop", "FarmID", "HarvestStart", "HarvestEnd", "SeedingSource")
+
+
+@plan("season_summary_round_trip", R.sql("timeline", """
+SELECT year, tile, crop AS "Crop", date::VARCHAR AS "Date", round(coalesce(ndvi, -9), 4) AS "NDVI", harvest AS "Harvest" FROM timeline"""))
+def season_summary_round_trip(spark, sf):
+    from fieldtide.plans.operation_plans import _folder
+    from fieldtide.sources.sinks import write_season_summary
+    from fieldtide.sources.tables import read_season_summary
+
+    path = _folder(spark) + "/summary"
+    write_season_summary(_timeline(spark, sf), path)
+    out = read_season_summary(spark, path)
+    return out.select("year", "tile", "Crop", day("Date").alias("Date"), F.coalesce("NDVI", F.lit(-9.0)).alias("NDVI"),
+                      F.coalesce("Harvest", F.lit("")).alias("Harvest"))
+
+
+@plan("with_seeding", R.sql("predictions seeding", """
+SELECT year, tile, crop, coalesce(year || '-' || window_start, '') AS sow_from, coalesce(year || '-' || window_end, '') AS sow_to, coalesce(offset_days, -1)::BIGINT AS offset_days
+FROM predictions LEFT JOIN seeding USING (crop)"""))
+def with_seeding(spark, sf):
+    from fieldtide.sources.dimensions import with_seeding as attach
+
+    out = attach(R.predictions(spark, sf), R.seeding(spark))
+    return out.select(*R.SERIES, day("sow_from").alias("sow_from"), day("sow_to").alias("sow_to"), num("offset_days").alias("offset_days"))

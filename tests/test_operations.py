@@ -291,3 +291,35 @@ def test_streaming_coverage(spark, tmp_path):
     assert got == {D(1): (2, 3), D(2): (1, 1)}
     landed = ingest.land(ingest.exact_coverage(scenes), str(tmp_path / "seen"), str(tmp_path / "ck"))
     assert landed.count() == 3
+
+
+def test_display_names(spark):
+    from fieldtide.functions.text import safe_crop_folder
+    from fieldtide.sources import dimensions
+
+    crops = dimensions.crop_dimension(spark, {"num2class": {26: "Dbl Crop WinWht/Soybeans", 1: "Corn"}, "crop_type": {1: "Corn"}})
+    rows = crops.select(safe_crop_folder(F.col("crop")).alias("folder")).unionByName(spark.createDataFrame([("Other-Thing",)], "folder string"))
+    got = {r["folder"]: r["crop"] for r in dimensions.with_display_names(rows, crops).collect()}
+    assert got == {"Corn": "Corn", "Dbl Crop WinWht-Soybeans": "Dbl Crop WinWht/Soybeans", "Other-Thing": "Other-Thing"}
+
+
+def test_hot_groups_shrink_before_the_shuffle(spark):
+    """One tile holds over a third of the pixels: results stay right, and raw pixels meet partial aggregates only."""
+    from fieldtide.operators import observations as O, quality as Q, stats
+
+    n = 30000
+    px = spark.range(n).select(
+        F.when(F.col("id") % 5 < 2, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 97)).alias("tile"),
+        F.lit(D(1)).alias("date"), (F.col("id") % 300).cast("int").alias("row"), F.floor(F.col("id") / 300).cast("int").alias("col"),
+        *[(F.col("id") % 251 + k).cast("int").alias(b) for k, b in enumerate(("B2", "B3", "B4", "B8", "B11"))], F.lit(4).alias("scl"), F.lit(1).alias("label"))
+    cases = {
+        "means": O.group_date_means(O.with_indices(px), ["tile"]), "clouds": Q.cloud_stats(px), "channels": Q.channel_stats(px, ["B4"]),
+        "classes": stats.class_histogram(px, ["tile"]), "values": stats.value_histogram(px, ["tile"], {"v": F.col("B4")}),
+    }
+    for name, df in cases.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "partial_" in plan and "Window" not in plan, name
+    counts = {r["tile"]: r["pixels"] for r in cases["clouds"].collect()}
+    assert counts["hot"] == n * 2 // 5 and sum(counts.values()) == n
+    hist = cases["classes"].filter("tile = 'hot'").first()["histogram"]
+    assert hist == {"1": n * 2 // 5}
