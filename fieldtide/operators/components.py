@@ -61,8 +61,7 @@ def _links(rows: DataFrame) -> DataFrame:
 def roots(edges: DataFrame, group: Sequence[str] = ("tile", "label"), max_rounds: int = 60) -> DataFrame:
     """(group, node, root) for every node with an edge; the root is the smallest node of its component.
 
-    Alternates the two star steps until the edge set stops changing, which takes a number of rounds logarithmic in
-    the longest chain. Each round is cut with a reliable checkpoint, so a lost executor costs one round. Minima are
+    Alternates the two star steps until the edge set stops changing, which takes O(log^2) rounds at worst. Each round is cut with a reliable checkpoint, so a lost executor costs one round. Minima are
     partial aggregates and a hub's edges are split by adaptive skew joins; no group is gathered in one task.
     """
     ensure_checkpoint_dir(edges.sparkSession)
