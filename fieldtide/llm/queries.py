@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldtide.llm.repeats import remove_repeats
+from fieldtide.llm.simhash import as_hex, near_groups
+from fieldtide.llm.toxicity import Toxicity, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +17,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fitted = Toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", "lang", fitted.scores(F.col("text")).alias("score"))
+    limit = fitted.limit(F.col("lang"))
+    return scored.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        limit.alias("lang_threshold"), (F.col("score") >= limit).alias("rejected"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 QUERIES: dict[str, Query] = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 SQL: dict[str, str] = {}
