@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fieldtide.llm import mixing, topk, warc
+from fieldtide.llm.pieces import Vocabulary, decode, encode
 from fieldtide.llm.repeats import remove_repeats
 from fieldtide.llm.simhash import as_hex, near_groups
 from fieldtide.llm.toxicity import Toxicity, held_out
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,6 +21,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_round_trip(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_rows(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -32,14 +45,34 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         limit.alias("lang_threshold"), (F.col("score") >= limit).alias("rejected"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back."""
+    vocabulary = Vocabulary.load(pieces)
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "text")
+    coded = decode(encode(docs, vocabulary).select("doc_id", "sha256", "ids"), vocabulary)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids",
+                        (F.sha2("decoded", 256) == F.col("sha256")).alias("round_trip"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
+    "op2_bit_sliced_top_k": op2_bit_sliced_top_k,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_toxicity": op4_toxicity,
+    "op8_source_mixing": op8_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_warc": warc.SQL, "op2_bit_sliced_top_k": topk.SQL, "op8_source_mixing": mixing.SQL}
