@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A text with a leading space is cut in front of each run of spaces into units; no piece reaches over such a cut. The
-distinct units of a batch are concatenated and indexed by a suffix array, sorted as deep as the longest piece. Every piece
+distinct units that a batch adds are concatenated and indexed by a suffix array, sorted as deep as the longest piece. Every piece
 of the vocabulary is binary-searched in it for its range of occurrences. The occurrences are edges; sorted by position,
 they are relaxed from left to right, which leaves each unit's segmentation of the largest total score. Ties keep the
 longer last piece. A character without a piece of its own is an edge of byte pieces, priced below every piece.
@@ -66,108 +66,121 @@ class Vocabulary:
         return out
 
 
-def _words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position as one big-endian number."""
-    return np.ascontiguousarray(data[at[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64)
+def _eights(data: bytes) -> np.ndarray:
+    """The eight bytes from each position as one big-endian number, as if zeros followed."""
+    padded = data + bytes(16)
+    out = np.empty(len(padded) - 8, np.uint64)
+    for k in range(8):
+        out[k::8] = np.frombuffer(padded, ">u8", (len(padded) - k) // 8, k)[: out[k::8].size]
+    return out
 
 
-def suffix_array(data: bytes, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Positions sorted by their next ``depth`` bytes, and those bytes as columns of eight in that order.
+def suffix_array(data: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions sorted by their next ``depth`` bytes, and ``_eights`` of the data, followed by zeros.
 
-    The data are followed by zeros. Only positions that tie in the bytes so far are compared further.
+    Only positions that tie in the bytes so far are compared further.
     """
-    padded = np.frombuffer(data + bytes(depth + 8), np.uint8)
-    order = np.argsort(first := _words_at(padded, np.arange(len(data))), kind="stable")
-    columns = [first[order]]
-    tied = np.zeros(order.size, np.int64)  # number of the group of equal bytes so far
+    eights = _eights(data + bytes(depth))
+    order = np.argsort(eights[: len(data)])
+    first = eights[order]
+    same = np.concatenate([[False], first[1:] == first[:-1]])
     for offset in range(8, depth, 8):
-        tied = np.cumsum(np.concatenate([[0], (columns[-1][1:] != columns[-1][:-1]) | (np.diff(tied) > 0)])) if order.size else tied
-        column = _words_at(padded, order + offset)
-        group_sizes = np.bincount(tied) if order.size else np.zeros(0, np.int64)
-        again = np.flatnonzero(group_sizes[tied] > 1)
-        moved = again[np.lexsort((column[again], tied[again]))]
-        for c in columns:
-            c[again] = c[moved]
-        column[again], order[again] = column[moved], order[moved]
-        columns.append(column)
-    return order, columns
-
-
-def occurrences(pieces: list[bytes], columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        open_places = np.flatnonzero(same | np.append(same[1:], False))
+        if not open_places.size:
+            break
+        group = np.cumsum(~same[open_places])
+        column = eights[order[open_places] + offset]
+        moved = np.lexsort((column, group))
+        order[open_places] = order[open_places][moved]
+        column = column[moved]
+        same = np.zeros(order.size, bool)
+        same[open_places[1:]] = (column[1:] == column[:-1]) & (group[1:] == group[:-1])
+    return order, eights
+
+
+def occurrences(pieces: list[bytes], order: np.ndarray, eights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Range of each piece in the suffix array, by binary search eight bytes at a time."""
 
     def bounds(part: list[bytes], fill: bytes) -> np.ndarray:
         return np.frombuffer(b"".join(p[:8].ljust(8, fill) for p in part), ">u8").astype(np.uint64)
 
-    low = np.searchsorted(columns[0], bounds(pieces, b"\0"), "left")
-    high = np.searchsorted(columns[0], bounds(pieces, b"\xff"), "right")
+    first = eights[order]
+    low = np.searchsorted(first, bounds(pieces, b"\0"), "left")
+    high = np.searchsorted(first, bounds(pieces, b"\xff"), "right")
     for k in np.flatnonzero((high > low) & (np.fromiter(map(len, pieces), np.int64, len(pieces)) > 8)):
-        rest, depth = pieces[k][8:], 1
+        rest, offset = pieces[k][8:], 8
         a, b = low[k], high[k]
         while rest and a < b:
-            part = columns[depth][a:b]
+            part = eights[order[a:b] + offset]
             a, b = a + np.searchsorted(part, bounds([rest], b"\0")[0], "left"), a + np.searchsorted(part, bounds([rest], b"\xff")[0], "right")
-            rest, depth = rest[8:], depth + 1
+            rest, offset = rest[8:], offset + 8
         low[k], high[k] = a, b
     return low, high
 
 
-def segment(units: list[bytes], vocabulary: Vocabulary) -> list[np.ndarray]:
-    """Ids of each unit. Units hold the mark for spaces."""
+def segment(units: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and how many each unit has. Units hold the mark for spaces."""
     if not units:
-        return []
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     data = _STOP.join(units) + _STOP
-    depth = max(map(len, vocabulary.pieces), default=1)
-    order, columns = suffix_array(data, depth)
-    low, high = occurrences(vocabulary.pieces, columns)
+    lengths = np.fromiter(map(len, units), np.int64, len(units))
+    unit_starts = np.cumsum(lengths + 1) - lengths - 1
+    order, eights = suffix_array(data, max(map(len, vocabulary.pieces), default=1))
+    low, high = occurrences(vocabulary.pieces, order, eights)
     count = np.maximum(high - low, 0)
     which = np.repeat(np.arange(count.size), count)
-    start = order[np.repeat(low, count) + np.arange(which.size) - np.repeat(np.cumsum(count) - count, count)]
-    sizes = np.fromiter(map(len, vocabulary.pieces), np.int64, len(vocabulary.pieces))
-    raw = np.frombuffer(data, np.uint8)
+    start = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(which.size)]
+    stop = start + np.fromiter(map(len, vocabulary.pieces), np.int64, len(vocabulary.pieces))[which]
     # Characters that no piece covers alone: edges of bytes.
-    heads = np.flatnonzero(((raw & 0xC0) != 0x80) & (raw != _STOP[0]))
+    raw = np.frombuffer(data, np.uint8)
+    heads = np.flatnonzero((raw & 0xC0) != 0x80)
     ends = np.append(heads[1:], len(data))
-    stops = np.flatnonzero(raw == _STOP[0])
-    ends = np.minimum(ends, stops[np.searchsorted(stops, heads)])
-    alone = np.zeros(len(data) + 1, bool)
-    one = sizes[which]
+    heads, ends = heads[raw[heads] != _STOP[0]], ends[raw[heads] != _STOP[0]]
     char_end = np.zeros(len(data), np.int64)
     char_end[heads] = ends
-    alone[start[char_end[start] == start + one]] = True
+    alone = np.zeros(len(data), bool)
+    alone[start[char_end[start] == stop]] = True
     bare = heads[~alone[heads]]
     penalty = float(vocabulary.scores.min(initial=0.0)) - 10
-    starts = np.concatenate([start, bare])
-    stops_at = np.concatenate([start + one, char_end[bare]])
     kind = np.concatenate([which, np.full(bare.size, -1)])
     score = np.concatenate([vocabulary.scores[which], np.full(bare.size, penalty)])
-    by_position = np.argsort(starts, kind="stable")
-    starts, stops_at, kind = starts[by_position], stops_at[by_position], kind[by_position]
-    best = [-np.inf] * (len(data) + 1)
-    back = [-1] * (len(data) + 1)
-    lengths = np.fromiter(map(len, units), np.int64, len(units))
-    unit_starts = np.cumsum(lengths + 1) - lengths - 1
-    for p in unit_starts.tolist():
-        best[p] = 0.0
-    for e, (a, b, s) in enumerate(zip(starts.tolist(), stops_at.tolist(), score[by_position].tolist())):
-        value = best[a] + s
-        if value > best[b]:
-            best[b], back[b] = value, e
-    ids, byte_ids = vocabulary.ids.tolist(), vocabulary.byte_ids
-    starts_list, kinds = starts.tolist(), kind.tolist()
-    out = []
-    for p, n in zip(unit_starts.tolist(), lengths.tolist()):
-        at, found = p + n, []
-        while at > p:
-            e = back[at]
-            a = starts_list[e]
-            if kinds[e] >= 0:
-                found.append(ids[kinds[e]])
-            else:
-                found.extend(byte_ids[list(data[a:at])].tolist()[::-1])
-            at = a
-        out.append(np.array(found[::-1], np.int32))
-    return out
+    start, stop = np.concatenate([start, bare]), np.concatenate([stop, char_end[bare]])
+    by_position = np.argsort(start, kind="stable")
+    start, stop, kind, score = start[by_position], stop[by_position], kind[by_position], score[by_position]
+
+    # Relax all units side by side: the edges that start at the first byte of any unit, then the second, and so on.
+    unit_of = np.repeat(np.arange(lengths.size), lengths + 1)
+    within = start - unit_starts[unit_of[start]]
+    side = np.argsort(within, kind="stable")
+    rounds = np.searchsorted(within[side], np.arange(int(lengths.max()) + 1))
+    best = np.full(len(data) + 1, -np.inf)
+    best[unit_starts] = 0.0
+    for lo, hi in zip(rounds[:-1], rounds[1:]):
+        if lo < hi:
+            e = side[lo:hi]
+            np.maximum.at(best, stop[e], best[start[e]] + score[e])
+    tight = np.flatnonzero((best[start] + score == best[stop]) & np.isfinite(best[stop]))[::-1]
+    back = np.full(len(data) + 1, -1)
+    back[stop[tight]] = tight  # the edge that starts first stays
+    chosen = np.zeros(start.size, bool)
+    at = unit_starts + lengths
+    open_units = np.flatnonzero(lengths > 0)
+    while open_units.size:
+        e = back[at[open_units]]
+        chosen[e] = True
+        at[open_units] = start[e]
+        open_units = open_units[at[open_units] > unit_starts[open_units]]
+    path = np.flatnonzero(chosen)
+    kind, start, stop = kind[path], start[path], stop[path]
+    pieces = np.where(kind >= 0, 1, stop - start)
+    first = np.cumsum(pieces) - pieces
+    ids = np.zeros(int(pieces.sum()), np.int32)
+    plain = kind >= 0
+    ids[first[plain]] = vocabulary.ids[kind[plain]]
+    spread = np.repeat(np.flatnonzero(~plain), pieces[~plain])
+    step = np.arange(spread.size) - np.repeat(np.cumsum(pieces[~plain]) - pieces[~plain], pieces[~plain])
+    ids[first[spread] + step] = vocabulary.byte_ids[raw[start[spread] + step]]
+    return ids, np.bincount(unit_of[start], weights=pieces, minlength=lengths.size).astype(np.int64)
 
 
 def _mark_ids(vocabulary: Vocabulary) -> np.ndarray:
@@ -177,25 +190,47 @@ def _mark_ids(vocabulary: Vocabulary) -> np.ndarray:
     return table
 
 
+class UnitTable(dict):
+    """Units seen so far by number, with their ids. Holds at most about ``most`` units between batches."""
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
+        super().__init__()
+        self.vocabulary, self.most, self.marks = vocabulary, most, _mark_ids(vocabulary)
+        self.fresh: list[bytes] = []
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def __missing__(self, unit: bytes) -> int:
+        self[unit] = number = len(self)
+        self.fresh.append(unit)
+        return number
+
+    def settle(self) -> None:
+        """Segments the units that came since the last call."""
+        ids, sizes = segment([u.replace(b" ", _MARK) for u in self.fresh], self.vocabulary)
+        self.flat, self.sizes = np.concatenate([self.flat, self.marks[ids]]), np.concatenate([self.sizes, sizes])
+        self.fresh = []
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the offsets of the texts. An empty text has none."""
+        if len(self) > self.most:
+            self.__init__(self.vocabulary, self.most)
+        used: list[int] = []
+        ends = [0]
+        for text in texts:
+            if text:
+                used.extend(map(self.__getitem__, _UNIT.findall(b" " + text.replace(_MARK, _PLAIN))))
+            ends.append(len(used))
+        self.settle()
+        use = np.array(used, np.int64)
+        length = self.sizes[use]
+        total = np.concatenate([[0], np.cumsum(length)])
+        starts = np.cumsum(self.sizes) - self.sizes
+        ids = self.flat[np.repeat(starts[use] - total[:-1], length) + np.arange(total[-1])]
+        return ids, total[ends]
+
+
 def encode_batch(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """All ids in a row, and the offsets of the texts. An empty text has none."""
-    known: dict[bytes, int] = {}
-    used, counts = [], []
-    for text in texts:
-        units = _UNIT.findall(b" " + text.replace(_MARK, _PLAIN)) if text else []
-        counts.append(len(units))
-        used.extend([known.setdefault(u, len(known)) for u in units])
-    found = segment([u.replace(b" ", _MARK) for u in known], vocabulary)
-    found = [_mark_ids(vocabulary)[f] if f.size else f for f in found] if any(_PLAIN in u for u in known) else found
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-    starts = np.cumsum(sizes) - sizes
-    use = np.array(used, np.int64)
-    length = sizes[use]
-    total = int(length.sum())
-    ids = flat[np.repeat(starts[use] - (np.cumsum(length) - length), length) + np.arange(total)]
-    units_end = np.cumsum(np.array([0, *counts]))
-    return ids, np.concatenate([[0], np.cumsum(length)])[units_end]
+    return UnitTable(vocabulary).encode(texts)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", to: str = "ids", batch_bytes: int = 2 << 20) -> DataFrame:
@@ -207,11 +242,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", to: str
     arranged = docs.drop(to).withColumn("_units", F.coalesce(F.col(text), F.lit("")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = UnitTable(vocabulary)
         for batch in batches:
             data, offsets = byte_views(batch.column(batch.num_columns - 1))
             for lo, hi in chunks(offsets, batch_bytes):
                 texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(lo, hi)]
-                ids, ends = encode_batch(texts, vocabulary)
+                ids, ends = table.encode(texts)
                 column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=[*part.schema.names[:-1], to])

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldtide.llm import mixing, topk, warc
+from fieldtide.llm import licences, mixing, orderhash, topk, warc
 from fieldtide.llm.pieces import Vocabulary, decode, encode
+from fieldtide.llm.quality import Quality
 from fieldtide.llm.repeats import remove_repeats
 from fieldtide.llm.simhash import as_hex, near_groups
 from fieldtide.llm.toxicity import Toxicity, held_out
@@ -45,6 +46,36 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         limit.alias("lang_threshold"), (F.col("score") >= limit).alias("rejected"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.train(licences.background_sample(docs)))
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = orderhash.add_signature(docs.withColumn("_tie", F.xxhash64("text")), "text", "sig")
+    rows = orderhash.with_next(rows, ["text", "sig"])
+    rows = rows.withColumn("edited", orderhash.edited(F.col("text"), F.col("next_text")))
+    rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "sig", "next_sig", "edited")
+    rows = orderhash.add_signature(rows, "edited", "edited_sig")
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), orderhash.as_text(F.col("sig")).alias("fingerprint"),
+        orderhash.as_text(F.col("edited_sig")).alias("edited_fingerprint"),
+        orderhash.likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
+        orderhash.likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
+
+
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good. Selected are texts likelier than not of grade 1 or better."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    ratings = labels.filter("quality is not null and toxic is not null").select("doc_id", grade.alias("grade"))
+    scored = docs.select("doc_id", Quality.fit(docs, ratings, 3).tails(F.col("text")).alias("tails"))
+    return scored.select(
+        "doc_id", held_out("doc_id").alias("held_out"), (F.col("tails")[0] + F.col("tails")[1]).alias("expected_grade"),
+        F.col("tails")[0].alias("p_grade_1"), F.col("tails")[1].alias("p_grade_2"), (F.col("tails")[0] >= 0.5).alias("selected"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select(
@@ -71,6 +102,9 @@ QUERIES: dict[str, Query] = {
     "op2_bit_sliced_top_k": op2_bit_sliced_top_k,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_licences": op5_licences,
+    "op6_order_minhash": op6_order_minhash,
+    "op7_ordinal_quality": op7_ordinal_quality,
     "op8_source_mixing": op8_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
