@@ -2,7 +2,7 @@
 
 A multinomial logistic regression over sparse word n-grams (one or two words) is trained on the driver, from notices
 below and a bounded sample of other paragraphs, and pruned to few hundred weights. Scoring uses DataFrame functions
-only: paragraphs that hold no weighted word score as unknown at once, the others are looked up n-gram by n-gram in a map.
+only, without a shuffle: paragraphs that hold no weighted word are unknown at once, of the others the n-grams are looked up.
 The least probability that counts as known is calibrated on paragraphs kept out of training.
 """
 
@@ -82,6 +82,13 @@ class LicenceModel:
     weights: dict[str, list[float]]
     intercepts: list[float]
     least: float
+    telling: set[str]
+
+    @property
+    def hints(self) -> list[str]:
+        """Words of letters one of which every weighted n-gram holds."""
+        words = {w for g in self.weights for w in g.split(" ")}
+        return sorted(w for w in words if w in self.telling)
 
 
 def train(other: list[str], seed: int = 3, rounds: int = 300, sparsity: float = 2e-3, per_notice: int = 24) -> LicenceModel:
@@ -110,7 +117,9 @@ def train(other: list[str], seed: int = 3, rounds: int = 300, sparsity: float =
     labels = np.array(labels)
     notice_words = {g for ns in NOTICES.values() for n in ns for g in _grams(_words(n))}
     common = {g for g in notice_words if sum(g in b for b in map(set, background)) > 0.002 * len(background)}
-    names = sorted(notice_words - common)
+    # A pair counts through a word of letters that is not common, so that such words find all paragraphs with features.
+    telling = {g for g in notice_words - common if " " not in g and g.isalpha()}
+    names = sorted(telling | {g for g in notice_words - common if " " in g and set(g.split(" ")) & telling})
     at = {g: j for j, g in enumerate(names)}
     x = np.zeros((len(rows), len(names)), np.float32)
     for i, words in enumerate(rows):
@@ -141,7 +150,7 @@ def train(other: list[str], seed: int = 3, rounds: int = 300, sparsity: float =
     wrong = top[(labels[held] == 0) | (p[:, 1:].argmax(axis=1) + 1 != labels[held])]
     least = float(np.clip(wrong.max(initial=0.0) + 0.02, 0.3, 0.9))
     used = np.flatnonzero(np.abs(w).sum(axis=1) > 0)
-    return LicenceModel(families, {names[j]: [round(float(v), 6) for v in w[j]] for j in used}, [float(v) for v in b], least)
+    return LicenceModel(families, {names[j]: [round(float(v), 6) for v in w[j]] for j in used}, [float(v) for v in b], least, telling)
 
 
 def background_sample(docs: DataFrame, text: str = "text", most_rows: int = 300) -> list[str]:
@@ -159,20 +168,20 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", doc_id: str =
     """
     strings = lambda names: F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
     clean = lambda c: F.filter(F.transform(F.split(F.lower(c), _SPLIT), lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
-    words = sorted({g.split(" ")[0] for g in model.weights} | {g for g in model.weights if " " not in g})
-    # A text without any weighted word has unknown paragraphs only: skipping it changes nothing.
-    hints = sorted({re.sub(r"[^a-z0-9]", "", max(re.split(r"\W", w), key=len)) for w in words} - {""})
-    pieces = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, r"[\r\n]+")).alias("paragraph", "body"))
-    pieces = pieces.filter(F.lower("body").rlike(r"\b(" + "|".join(hints) + r")\b"))
-    pieces = pieces.withColumn("w", clean(F.col("body"))).filter(F.arrays_overlap("w", strings(words)))
+    # A text or paragraph without a hint is unknown: skipping it changes nothing.
+    hinted = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), strings(model.hints))
+    pieces = docs.filter(F.col(text).isNotNull() & hinted(F.col(text)))
+    pieces = pieces.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, r"[\r\n]+")).alias("paragraph", "body")).filter(hinted(F.col("body")))
+    pieces = pieces.withColumn("w", clean(F.col("body")))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
     pieces = pieces.withColumn("g", F.array_distinct(F.concat("w", pairs)))
-    table = F.create_map(*(x for g, v in sorted(model.weights.items()) for x in (F.lit(g), F.array(*(F.lit(a) for a in v)))))
-    found = pieces.withColumn("g", F.array_intersect("g", strings(sorted(model.weights))))
-    gram = found.select("*", F.explode_outer("g").alias("gram")).withColumn("v", F.element_at(table, F.col("gram")))
-    # A paragraph is in one row until here; its n-grams are summed by its own key.
-    sums = [F.coalesce(F.sum(F.get("v", F.lit(k))), F.lit(0.0)).alias(f"z{k}") for k in range(len(model.families))]
-    scored = gram.groupBy("doc_id", "paragraph", F.xxhash64("body").alias("h")).agg(*sums, F.first("w").alias("w"))
+    names = sorted(model.weights)
+    # Places of the weighted n-grams, then one sum of weights per family.
+    places = F.transform(F.array_intersect("g", strings(names)), lambda g: F.array_position(strings(names), g).cast("int") - 1)
+    scored = pieces.select("doc_id", "paragraph", "w", places.alias("at"))
+    column = lambda k: F.array(*(F.lit(model.weights[g][k]) for g in names))
+    total = lambda k: F.aggregate("at", F.lit(0.0), lambda s, i: s + F.get(column(k), i))
+    scored = scored.select("doc_id", "paragraph", "w", *(total(k).alias(f"z{k}") for k in range(len(model.families))))
     z = [F.col(f"z{k}") + F.lit(b) for k, b in enumerate(model.intercepts)]
     top = F.greatest(*z)
     total = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
@@ -180,8 +189,8 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", doc_id: str =
     family = F.coalesce(*(F.when(v == best, F.lit(f)) for v, f in zip(z[1:], model.families[1:])))
     scored = scored.withColumns({"family": family, "probability": F.exp(best - top) / total})
     scored = scored.filter((F.col("probability") >= model.least) & (best > z[0]))
-    held = F.concat("w", F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i))))
-    share = lambda notice: F.size(F.array_intersect(held, strings(_grams(_words(notice))))) / float(len(_grams(_words(notice))))
+    scored = scored.withColumn("held", F.concat("w", F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))))
+    share = lambda notice: F.size(F.array_intersect("held", strings(_grams(_words(notice))))) / float(len(_grams(_words(notice))))
     similarity = F.coalesce(*(F.when(F.col("family") == f, F.greatest(*(share(n) for n in ns), F.lit(0.0))) for f, ns in sorted(NOTICES.items())))
     scored = scored.withColumn("similarity", similarity)
     return scored.select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= overlap).alias("confirmed"))

@@ -9,6 +9,8 @@ that either text fills.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 TOKEN = r"[^\x20\x09-\x0D]{1,8}"
@@ -71,8 +73,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
-def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", tie: str = "_tie", parts: int | None = None) -> DataFrame:
-    """``docs`` with ``next_<column>`` of the next row by descending ``doc_id`` (nulls last, then ``tie``); the first row
+def with_next(docs: DataFrame, columns: list[str], add: Callable[[DataFrame], DataFrame], doc_id: str = "doc_id", tie: str = "_tie",
+              parts: int | None = None) -> DataFrame:
+    """``add(docs)``, which adds columns to rows, with ``next_<column>`` of the next row by descending ``doc_id`` (nulls last, then ``tie``); the first row
     follows the last.
 
     Rows are dealt to ranges of ids, so no window holds more than a range; only the first row of each range passes
@@ -82,7 +85,7 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", tie:
     edges = docs.select(F.percentile_approx(doc_id, [k / parts for k in range(1, parts)] or [0.5], 10 * parts).alias("q")).first()["q"] or []
     edges = F.array(*(F.lit(e) for e in sorted(set(edges)))) if edges else F.array().cast("array<bigint>")
     part = F.when(F.col(doc_id).isNull(), F.size(edges) + 1).otherwise(F.size(F.filter(edges, lambda e: F.col(doc_id) <= e)))
-    rows = docs.withColumn("_part", part)
+    rows = add(docs).withColumn("_part", part)
     order = [F.col(doc_id).desc_nulls_last(), F.col(tie)]
     inside = W.partitionBy("_part").orderBy(*order)
     shown = F.struct(*columns)
@@ -95,10 +98,11 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", tie:
     before = F.coalesce(F.lag("_part").over(by_part), F.max("_part").over(W.partitionBy()))
     starts = starts.select(before.alias("_from"), F.col("_part").alias("_to"), (-F.col("m.d")).cast("bigint").alias("_id"), F.col("m.t").alias("_of"))
     here = F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")) & (F.col(tie) == F.col("_of"))
-    heads = docs.join(F.broadcast(starts), here).groupBy("_from").agg(F.first(shown).alias("_head"))
+    heads = add(docs.join(F.broadcast(starts), here)).groupBy("_from").agg(F.first(shown).alias("_head"))
     out = rows.join(heads, rows["_part"] == heads["_from"], "left")
     following = F.coalesce("_next", "_head")
-    return out.select(*docs.columns, *(following[c].alias(f"next_{c}") for c in columns))
+    kept = [c for c in rows.columns if c not in ("_part", "_next", "_row")]
+    return out.select(*(rows[c] for c in kept), *(following[c].alias(f"next_{c}") for c in columns))
 
 
 def edited(text: Column, after: Column, share: int = 3) -> Column:

@@ -37,6 +37,9 @@ class Vocabulary:
     scores: np.ndarray
     byte_ids: np.ndarray
     size: int
+    lengths: np.ndarray
+    low: np.ndarray  # the first eight bytes, filled up with zeros
+    high: np.ndarray  # the same, filled up with 255
 
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
@@ -54,7 +57,9 @@ class Vocabulary:
     @classmethod
     def of(cls, pieces: dict[int, bytes], scores: dict[int, float], byte_ids: np.ndarray, size: int) -> "Vocabulary":
         order = sorted(pieces, key=lambda k: (pieces[k], k))
-        return cls([pieces[k] for k in order], np.array(order, np.int32), np.array([scores[k] for k in order], float), byte_ids, size)
+        parts = [pieces[k] for k in order]
+        return cls(parts, np.array(order, np.int32), np.array([scores[k] for k in order], float), byte_ids, size,
+                   np.array([len(p) for p in parts], np.int64), _first_eight(parts, b"\0"), _first_eight(parts, b"\xff"))
 
     def bytes_of(self) -> list[bytes]:
         """What each id decodes to."""
@@ -98,21 +103,22 @@ def suffix_array(data: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, eights
 
 
-def occurrences(pieces: list[bytes], order: np.ndarray, eights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Range of each piece in the suffix array, by binary search eight bytes at a time."""
+def _first_eight(parts: list[bytes], fill: bytes) -> np.ndarray:
+    return np.frombuffer(b"".join(p[:8].ljust(8, fill) for p in parts), ">u8").astype(np.uint64)
 
-    def bounds(part: list[bytes], fill: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join(p[:8].ljust(8, fill) for p in part), ">u8").astype(np.uint64)
 
+def occurrences(vocabulary: Vocabulary, order: np.ndarray, eights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Range of each piece in the suffix array, by binary search eight bytes at a time."""
     first = eights[order]
-    low = np.searchsorted(first, bounds(pieces, b"\0"), "left")
-    high = np.searchsorted(first, bounds(pieces, b"\xff"), "right")
-    for k in np.flatnonzero((high > low) & (np.fromiter(map(len, pieces), np.int64, len(pieces)) > 8)):
-        rest, offset = pieces[k][8:], 8
+    low = np.searchsorted(first, vocabulary.low, "left")
+    high = np.searchsorted(first, vocabulary.high, "right")
+    for k in np.flatnonzero((high > low) & (vocabulary.lengths > 8)):
+        rest, offset = vocabulary.pieces[k][8:], 8
         a, b = low[k], high[k]
         while rest and a < b:
             part = eights[order[a:b] + offset]
-            a, b = a + np.searchsorted(part, bounds([rest], b"\0")[0], "left"), a + np.searchsorted(part, bounds([rest], b"\xff")[0], "right")
+            bounds = _first_eight([rest], b"\0")[0], _first_eight([rest], b"\xff")[0]
+            a, b = a + np.searchsorted(part, bounds[0], "left"), a + np.searchsorted(part, bounds[1], "right")
             rest, offset = rest[8:], offset + 8
         low[k], high[k] = a, b
     return low, high
@@ -126,11 +132,11 @@ def segment(units: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.
     lengths = np.fromiter(map(len, units), np.int64, len(units))
     unit_starts = np.cumsum(lengths + 1) - lengths - 1
     order, eights = suffix_array(data, max(map(len, vocabulary.pieces), default=1))
-    low, high = occurrences(vocabulary.pieces, order, eights)
+    low, high = occurrences(vocabulary, order, eights)
     count = np.maximum(high - low, 0)
     which = np.repeat(np.arange(count.size), count)
     start = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(which.size)]
-    stop = start + np.fromiter(map(len, vocabulary.pieces), np.int64, len(vocabulary.pieces))[which]
+    stop = start + vocabulary.lengths[which]
     # Characters that no piece covers alone: edges of bytes.
     raw = np.frombuffer(data, np.uint8)
     heads = np.flatnonzero((raw & 0xC0) != 0x80)
@@ -145,32 +151,30 @@ def segment(units: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.
     kind = np.concatenate([which, np.full(bare.size, -1)])
     score = np.concatenate([vocabulary.scores[which], np.full(bare.size, penalty)])
     start, stop = np.concatenate([start, bare]), np.concatenate([stop, char_end[bare]])
-    by_position = np.argsort(start, kind="stable")
-    start, stop, kind, score = start[by_position], stop[by_position], kind[by_position], score[by_position]
-
-    # Relax all units side by side: the edges that start at the first byte of any unit, then the second, and so on.
+    # Edges sorted by position in their units relax all units side by side: those from the first bytes, then the second.
     unit_of = np.repeat(np.arange(lengths.size), lengths + 1)
-    within = start - unit_starts[unit_of[start]]
+    longest = int(lengths.max())
+    within = (start - unit_starts[unit_of[start]]).astype(np.uint16 if longest < 1 << 16 else np.uint32)
     side = np.argsort(within, kind="stable")
-    rounds = np.searchsorted(within[side], np.arange(int(lengths.max()) + 1))
+    start, stop, kind, score = start[side], stop[side], kind[side], score[side]
+    rounds = np.searchsorted(within[side], np.arange(longest + 1).astype(within.dtype))
     best = np.full(len(data) + 1, -np.inf)
     best[unit_starts] = 0.0
     for lo, hi in zip(rounds[:-1], rounds[1:]):
         if lo < hi:
-            e = side[lo:hi]
-            np.maximum.at(best, stop[e], best[start[e]] + score[e])
+            np.maximum.at(best, stop[lo:hi], best[start[lo:hi]] + score[lo:hi])
     tight = np.flatnonzero((best[start] + score == best[stop]) & np.isfinite(best[stop]))[::-1]
     back = np.full(len(data) + 1, -1)
     back[stop[tight]] = tight  # the edge that starts first stays
-    chosen = np.zeros(start.size, bool)
+    chosen = np.zeros(len(data), np.int64)  # the edge of the path that starts at a byte, plus one
     at = unit_starts + lengths
     open_units = np.flatnonzero(lengths > 0)
     while open_units.size:
         e = back[at[open_units]]
-        chosen[e] = True
+        chosen[start[e]] = e + 1
         at[open_units] = start[e]
         open_units = open_units[at[open_units] > unit_starts[open_units]]
-    path = np.flatnonzero(chosen)
+    path = chosen[chosen > 0] - 1
     kind, start, stop = kind[path], start[path], stop[path]
     pieces = np.where(kind >= 0, 1, stop - start)
     first = np.cumsum(pieces) - pieces
@@ -191,11 +195,16 @@ def _mark_ids(vocabulary: Vocabulary) -> np.ndarray:
 
 
 class UnitTable(dict):
-    """Units seen so far by number, with their ids. Holds at most about ``most`` units between batches."""
+    """Units seen so far by number, with their ids. Holds at most about ``most`` units between batches; new ones are
+    indexed in parts of about ``index_bytes``."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 600_000, index_bytes: int = 256 << 10):
         super().__init__()
-        self.vocabulary, self.most, self.marks = vocabulary, most, _mark_ids(vocabulary)
+        self.vocabulary, self.most, self.index_bytes, self.marks = vocabulary, most, index_bytes, _mark_ids(vocabulary)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
         self.fresh: list[bytes] = []
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
@@ -206,14 +215,21 @@ class UnitTable(dict):
 
     def settle(self) -> None:
         """Segments the units that came since the last call."""
-        ids, sizes = segment([u.replace(b" ", _MARK) for u in self.fresh], self.vocabulary)
-        self.flat, self.sizes = np.concatenate([self.flat, self.marks[ids]]), np.concatenate([self.sizes, sizes])
-        self.fresh = []
+        flat, sizes, part, held = [self.flat], [self.sizes], [], 0
+        for k, unit in enumerate(self.fresh, 1):
+            part.append(unit.replace(b" ", _MARK))
+            held += len(unit)
+            if held >= self.index_bytes or k == len(self.fresh):
+                ids, counts = segment(part, self.vocabulary)
+                flat.append(self.marks[ids])
+                sizes.append(counts)
+                part, held = [], 0
+        self.flat, self.sizes, self.fresh = np.concatenate(flat), np.concatenate(sizes), []
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the offsets of the texts. An empty text has none."""
         if len(self) > self.most:
-            self.__init__(self.vocabulary, self.most)
+            self.forget()
         used: list[int] = []
         ends = [0]
         for text in texts:

@@ -53,8 +53,8 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = orderhash.add_signature(docs.withColumn("_tie", F.xxhash64("text")), "text", "sig")
-    rows = orderhash.with_next(rows, ["text", "sig"])
+    docs = docs.withColumn("_tie", F.xxhash64("text"))
+    rows = orderhash.with_next(docs, ["text", "sig"], lambda df: orderhash.add_signature(df, "text", "sig"))
     rows = rows.withColumn("edited", orderhash.edited(F.col("text"), F.col("next_text")))
     rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "sig", "next_sig", "edited")
     rows = orderhash.add_signature(rows, "edited", "edited_sig")
