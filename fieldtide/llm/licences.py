@@ -8,6 +8,7 @@ The least probability that counts as known is calibrated on paragraphs kept out
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -166,7 +167,8 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", doc_id: str =
     Paragraphs are numbered from 0 by line breaks. ``similarity`` is the largest share of a notice of that family, by
     n-grams, that the paragraph holds; ``confirmed`` from ``overlap`` up. Null and empty texts have no paragraphs.
     """
-    strings = lambda names: F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
+    # Constant tables are single literals once folded, which keeps the plan small.
+    strings = lambda names: F.split(F.lit("\t".join(names)), "\t")
     clean = lambda c: F.filter(F.transform(F.split(F.lower(c), _SPLIT), lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
     # A text or paragraph without a hint is unknown: skipping it changes nothing.
     hinted = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), strings(model.hints))
@@ -179,16 +181,16 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", doc_id: str =
     # Places of the weighted n-grams, then one sum of weights per family.
     places = F.transform(F.array_intersect("g", strings(names)), lambda g: F.array_position(strings(names), g).cast("int") - 1)
     scored = pieces.select("doc_id", "paragraph", "w", places.alias("at"))
-    column = lambda k: F.array(*(F.lit(model.weights[g][k]) for g in names))
-    total = lambda k: F.aggregate("at", F.lit(0.0), lambda s, i: s + F.get(column(k), i))
-    scored = scored.select("doc_id", "paragraph", "w", *(total(k).alias(f"z{k}") for k in range(len(model.families))))
-    z = [F.col(f"z{k}") + F.lit(b) for k, b in enumerate(model.intercepts)]
-    top = F.greatest(*z)
-    total = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
-    best = F.greatest(*z[1:])
-    family = F.coalesce(*(F.when(v == best, F.lit(f)) for v, f in zip(z[1:], model.families[1:])))
-    scored = scored.withColumns({"family": family, "probability": F.exp(best - top) / total})
-    scored = scored.filter((F.col("probability") >= model.least) & (best > z[0]))
+    table = F.from_json(F.lit(json.dumps([model.weights[g] for g in names])), "array<array<double>>")
+    start = F.from_json(F.lit(json.dumps(model.intercepts)), "array<double>")
+    added = lambda z, i: F.zip_with(z, F.get(table, i), lambda a, b: a + b)
+    scored = scored.select("doc_id", "paragraph", "w", F.aggregate("at", start, added).alias("z"))
+    known = F.slice("z", 2, len(model.families) - 1)
+    total = lambda: F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max("z")))
+    scored = scored.withColumns({
+        "family": F.get(strings(model.families), F.array_position(known, F.array_max(known)).cast("int")),
+        "probability": F.exp(F.array_max(known) - F.array_max("z")) / total(), "above": F.array_max(known) > F.get("z", F.lit(0))})
+    scored = scored.filter((F.col("probability") >= model.least) & F.col("above"))
     scored = scored.withColumn("held", F.concat("w", F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))))
     share = lambda notice: F.size(F.array_intersect("held", strings(_grams(_words(notice))))) / float(len(_grams(_words(notice))))
     similarity = F.coalesce(*(F.when(F.col("family") == f, F.greatest(*(share(n) for n in ns), F.lit(0.0))) for f, ns in sorted(NOTICES.items())))
