@@ -174,7 +174,9 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", doc_id: str =
     hinted = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), strings(model.hints))
     pieces = docs.filter(F.col(text).isNotNull() & hinted(F.col(text)))
     pieces = pieces.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, r"[\r\n]+")).alias("paragraph", "body")).filter(hinted(F.col("body")))
-    pieces = pieces.withColumn("w", clean(F.col("body")))
+    # explode of a single array: a row as before, but later filters stay above it and compute nothing again.
+    once = lambda c: F.explode(F.array(c))
+    pieces = pieces.select("doc_id", "paragraph", once(clean(F.col("body"))).alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
     pieces = pieces.withColumn("g", F.array_distinct(F.concat("w", pairs)))
     names = sorted(model.weights)
@@ -184,7 +186,7 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", doc_id: str =
     table = F.from_json(F.lit(json.dumps([model.weights[g] for g in names])), "array<array<double>>")
     start = F.from_json(F.lit(json.dumps(model.intercepts)), "array<double>")
     added = lambda z, i: F.zip_with(z, F.get(table, i), lambda a, b: a + b)
-    scored = scored.select("doc_id", "paragraph", "w", F.aggregate("at", start, added).alias("z"))
+    scored = scored.select("doc_id", "paragraph", "w", once(F.aggregate("at", start, added)).alias("z"))
     known = F.slice("z", 2, len(model.families) - 1)
     total = lambda: F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max("z")))
     scored = scored.withColumns({

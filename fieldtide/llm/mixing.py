@@ -42,7 +42,7 @@ def offset(source: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", share: float = 1.5,
-        weights: Sequence[int] = (3, 1, 2), most: float = 2.0, seed: int = 11, per_bucket: int = 20_000) -> DataFrame:
+        weights: Sequence[int] = (3, 1, 2), most: float = 2.0, seed: int = 11, per_bucket: int = 2_000) -> DataFrame:
     """``docs`` with ``_size`` (words), ``_source_size``, ``_target`` and ``_copies``.
 
     A document of a source is expected target / source_size times. The expected copies are summed up through the source
@@ -95,7 +95,7 @@ aims AS (
   FROM filled),
 dealt AS (
   SELECT r.doc_id, r.source, r.size, a.source_size, a.target,
-         (coalesce(r.doc_id, 0) + r.size) % (a.n // 20000 + 1) AS bucket
+         (coalesce(r.doc_id, 0) + r.size) % (a.n // 2000 + 1) AS bucket
   FROM rows r JOIN aims a ON r.source IS NOT DISTINCT FROM a.source),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, CASE WHEN bucket % 2 = 0 THEN size ELSE -size END, doc_id) AS k,
