@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fieldtide.session import broadcast_if_small, ensure_checkpoint_dir
+from fieldtide.session import ensure_checkpoint_dir
 
 _SHIFT = 1 << 31
 
@@ -58,7 +58,7 @@ def _links(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("u") < F.col("v")).distinct()
 
 
-def roots(edges: DataFrame, group: Sequence[str] = ("tile", "label"), max_rounds: int = 60) -> DataFrame:
+def roots(edges: DataFrame, group: Sequence[str] = ("tile", "label")) -> DataFrame:
     """(group, node, root) for every node with an edge; the root is the smallest node of its component.
 
     Alternates the two star steps until the edge set stops changing, which takes O(log^2) rounds at worst. Each round is cut with a reliable checkpoint, so a lost executor costs one round. Minima are
@@ -68,13 +68,12 @@ def roots(edges: DataFrame, group: Sequence[str] = ("tile", "label"), max_rounds
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*group, "u", "v").cast("decimal(38,0)"))).first())
     current = edges.checkpoint()
     seen = mark(current)
-    for _ in range(max_rounds):
+    while True:
         current = _small_star(_large_star(current, group), group).checkpoint()
         now = mark(current)
         if now == seen:
             return current.select(*group, F.col("v").alias("node"), F.col("u").alias("root"))
         seen = now
-    raise RuntimeError("components did not settle")
 
 
 def connected_components(mask: DataFrame, group: Sequence[str] = ("tile", "label")) -> DataFrame:
@@ -114,4 +113,4 @@ def farm_id(x: Column, y: Column) -> Column:
 def farm_pixels(components: DataFrame, found: DataFrame, crops: DataFrame) -> DataFrame:
     """Pixels of the kept fields with crop name and ``farm_id``."""
     rows = components.join(found.select("tile", "label", "component", "farm_id"), ["tile", "label", "component"])
-    return rows.join(broadcast_if_small(crops.select("label", "crop")), "label").select("tile", "row", "col", "crop", "farm_id")
+    return rows.join(crops.select("label", "crop"), "label").select("tile", "row", "col", "crop", "farm_id")

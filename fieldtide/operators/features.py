@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fieldtide import constants as C
 from fieldtide.functions.dates import doy_bin, in_month_day_window, parse_date
 from fieldtide.functions.text import to_double_lenient
-from fieldtide.session import broadcast_if_small
 
 
 def feature_names(feature_set: str) -> tuple[str, ...]:
@@ -146,7 +145,7 @@ def build_records(
     rows = rows.withColumn("doy", F.dayofyear("date"))
     kept = F.lit(True)
     if windows is not None:
-        rows = rows.join(broadcast_if_small(windows.select("crop", "start_md", "end_md")), "crop", "left")
+        rows = rows.join(windows.select("crop", "start_md", "end_md"), "crop", "left")
         kept = F.coalesce(in_month_day_window(F.col("date"), F.col("start_md"), F.col("end_md")), F.lit(True))
     observed = kept & F.coalesce(*[F.col(f) for f in names]).isNotNull()
     rows = rows.withColumn("_obs", observed)

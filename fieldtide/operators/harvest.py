@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldtide import constants as C
 from fieldtide.functions.dates import doy_to_date
 from fieldtide.operators import spatial, stats
-from fieldtide.session import broadcast_if_small
 
 
 def predictions_for_boxes(predictions: DataFrame, tiles: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -75,7 +74,7 @@ def artifact_metadata(
     """
     k = list(key)
     per_tile = predictions.groupBy(*k, "tile", "crop").agg(F.count(F.lit(1)).alias("_n"))
-    crops = per_tile.groupBy(*k, "crop").agg(F.sum("_n").alias("_n")).join(broadcast_if_small(crop_years), "crop", "left")
+    crops = per_tile.groupBy(*k, "crop").agg(F.sum("_n").alias("_n")).join(crop_years, "crop", "left")
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<int>"))))))
     by_crop = crops.groupBy(*k).agg(
         F.sum("_n").alias("prediction_row_count"), F.count(F.lit(1)).alias("crop_count"),
@@ -103,13 +102,11 @@ def artifact_bounds(predictions: DataFrame, tiles: DataFrame, key: Sequence[str]
     return have.join(tiles, "tile", "left").select(*key, "tile", "lon_min", "lat_min", "lon_max", "lat_max")
 
 
-def fold_bounds(doc: DataFrame, bounds: DataFrame, limit: int = C.GRID_N * C.GRID_N, key: Sequence[str] = ("year",)) -> DataFrame:
+def fold_bounds(doc: DataFrame, bounds: DataFrame, key: Sequence[str] = ("year",)) -> DataFrame:
     """The document with its bounds as one map, as small services read it.
 
-    One document serves one canonical grid; a year with more tiles than that is refused and stays in rows.
+    One document holds one key's tiles, however many; ``artifact_bounds`` keeps them as rows where that is too large.
     """
-    if not bounds.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).isEmpty():
-        raise ValueError(f"more than {limit} tiles in one document; keep the bounds as rows")
     box = F.array("lon_min", "lat_min", "lon_max", "lat_max")
     entry = F.when(F.col("lon_min").isNotNull(), F.struct(F.col("tile").alias("tile"), box.alias("bounds")))
     maps = bounds.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("tile_bounds_wgs84"))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fieldtide.functions import indices as X
 from fieldtide.functions.text import harvest_flag, seeding_flag
-from fieldtide.session import broadcast_if_small
 
 PIXEL = ("tile", "row", "col")
 
@@ -29,7 +28,7 @@ def crop_label_filter(
     if allowed is not None:
         names = names.filter(F.col("crop").isin(*allowed))
     alive = masked.filter((F.col(red) != 0) & (F.col(label) != 0))
-    return alive.join(broadcast_if_small(names), label)
+    return alive.join(names, label)
 
 
 def with_indices(pixels: DataFrame, swir: str = "B11") -> DataFrame:

@@ -64,7 +64,7 @@ def anchor_plan(tiles: DataFrame, quality: DataFrame, plan: Sequence[str] = PLAN
     coverage = date_coverage(per_tile.filter("valid"), plan)
     anchors = anchor_dates(coverage, plan)
     # One anchor per period: a handful of rows, bounded by the number of periods planned in this call.
-    dated = per_tile.join(F.broadcast(anchors), p, "left")
+    dated = per_tile.join(anchors, p, "left")
     best = F.min(F.when(F.col("valid"), _nearest(F.col("date"), F.col("anchor_date"))))
     chosen = dated.groupBy(*p, "tile").agg(best.alias("_b"), F.first("anchor_date").alias("anchor_date"))
     rows = tiles.join(chosen.withColumn("_any", F.lit(True)), [*p, "tile"], "left")

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldtide.functions.dates import decode_doy
 from fieldtide.functions.text import safe_model_name
-from fieldtide.session import broadcast_if_small
 
 Loader = Callable[[str], Any]
 Predictor = Callable[[Any, np.ndarray], np.ndarray]
@@ -37,7 +36,7 @@ def score_records(
     ``[n, channels, bins]`` to ``[n, 2]`` values in 0..1.
     """
     models = registry.select("crop", "model_path", "test_mae_days")
-    rows = records.join(broadcast_if_small(models), "crop").select(
+    rows = records.join(models, "crop").select(
         "year", "tile", "crop", "x", "num_observations", "model_path", "test_mae_days"
     )
     n = salts or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

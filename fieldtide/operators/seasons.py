@@ -17,7 +17,6 @@ from fieldtide import constants as C
 from fieldtide.functions import series as A
 from fieldtide.functions.dates import month_day_number
 from fieldtide.functions.series import snap, window_length, window_lengths
-from fieldtide.session import broadcast_if_small
 
 ROUND = 9  # positions of extremes are picked on values rounded here, so last-bit noise cannot move them
 
@@ -189,11 +188,11 @@ def season_arrays(
 ) -> DataFrame:
     """One row per key: ``dates``, ``n``, and per value column its count, smoothed array and usable flag.
 
-    Requires one row per key and date, so a group holds at most the days of a season; the group is gathered once and
-    no window pass follows. Columns added per value ``v``: ``v_valid``, ``v_smooth`` (null when there are too few
+    Several readings of a day are averaged first, so a group holds at most the days of a season; the group is gathered
+    once and no window pass follows. Columns added per value ``v``: ``v_valid``, ``v_smooth`` (null when there are too few
     points).
     """
-    gathered = obs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(date, *values))).alias("_p"))
+    gathered = unique_dates(obs, key, values, date).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(date, *values))).alias("_p"))
     pick = lambda c: F.transform("_p", lambda p: p[c])
     rows = gathered.select(*key, pick(date).alias("dates"), F.size("_p").alias("n"), *[pick(v).alias(f"_{v}") for v in values])
     rows = rows.withColumns({
@@ -302,7 +301,7 @@ def estimate_seeding(
     ``seeding`` is the settings dimension (one row per crop). Crops without a window keep blank results.
     """
     rows = season_arrays(obs, key, ("ndvi", "evi"), date, window, poly, min_points)
-    rows = rows.join(broadcast_if_small(sowing_window(seeding)), crop, "left")
+    rows = rows.join(sowing_window(seeding), crop, "left")
     rows = rows.withColumns({"_n": first_greenup(F.col("ndvi_smooth")), "_year": F.year(F.get("dates", F.lit(0)))})
     rows = rows.withColumn("_e", F.when(F.col("_n").isNull(), first_greenup(F.col("evi_smooth"))))
     found = seeding_from_greenup(F.col("_n"), F.col("_e"), F.col("offset_days"), F.col("_year"))

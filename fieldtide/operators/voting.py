@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldtide import constants as C
 from fieldtide.functions.dates import harvest_iou, month_day_in_year
 from fieldtide.operators import seasons
-from fieldtide.session import broadcast_if_small
 
 
 def _rank(rule: Column) -> Column:
@@ -137,7 +136,7 @@ def season_events(
     n_min = C.MIN_POINTS if min_points is None else min_points
     rows = seasons.season_arrays(obs, key, indices, date, min_points=n_min).filter(F.col("ndvi_valid") >= n_min)
     rows = seasons.with_detection(rows, indices)
-    rows = rows.join(broadcast_if_small(windows), crop, "left").join(broadcast_if_small(seasons.sowing_window(seeding)), crop, "left")
+    rows = rows.join(windows, crop, "left").join(seasons.sowing_window(seeding), crop, "left")
     rows = rows.withColumns({
         "first_date": F.array_min("dates"), "last_date": F.array_max("dates"),
         "_gn": seasons.first_greenup(F.col("ndvi_smooth")),

@@ -293,7 +293,7 @@ SELECT year, tile, crop, date::VARCHAR AS date FROM obs LEFT JOIN windows USING
 WHERE CASE crop WHEN 'Rye' THEN month(date) * 100 + day(date) >= 1115 OR month(date) * 100 + day(date) <= 215
   ELSE month(date) * 100 + day(date) BETWEEN replace(start_md, '-', '')::INT AND replace(end_md, '-', '')::INT END"""))
 def month_day_filter(spark, sf):
-    obs = R.observations(spark, sf).join(F.broadcast(R.windows(spark)), "crop", "left")
+    obs = R.observations(spark, sf).join(R.windows(spark), "crop", "left")
     start, end = F.coalesce("start_md", F.lit("11-15")), F.coalesce("end_md", F.lit("02-15"))
     return obs.filter(D.in_month_day_window(F.col("date"), start, end)).select("year", "tile", "crop", day("date").alias("date"))
 

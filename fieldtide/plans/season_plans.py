@@ -118,7 +118,7 @@ JOIN (SELECT x.year, x.tile, x.crop, max(x.e_date) FILTER (WHERE x.e_date >= y.c
 
 def _candidates(spark, sf):
     found = S.detect_harvest(R.long_observations(spark, sf), KEY)
-    rows = found.join(F.broadcast(R.windows(spark)), "crop", "left")
+    rows = found.join(R.windows(spark), "crop", "left")
     return rows.withColumns({
         "t_start": D.month_day_in_year(F.col("year"), F.col("start_md")), "t_end": D.month_day_in_year(F.col("year"), F.col("end_md"))})
 
@@ -154,7 +154,7 @@ def repair_end(spark, sf):
 @plan("greenup", R.sql("greenups", f"SELECT {K}, coalesce(greenup::VARCHAR, '') AS greenup FROM greenups"))
 def greenup(spark, sf):
     rows = _smoothed(spark, sf).withColumn("smooth", F.when((F.col("n") >= 3) & (F.col("n_valid") >= 11), F.col("smooth")))
-    rows = rows.join(F.broadcast(R.seeding(spark)), "crop").withColumns({
+    rows = rows.join(R.seeding(spark), "crop").withColumns({
         "ws": D.month_day_in_year(F.col("year"), F.col("window_start")), "we": D.month_day_in_year(F.col("year"), F.col("window_end"))})
     return S.find_greenup(rows, KEY, "ws", "we").select(*KEY, day("greenup").alias("greenup"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 
 def get_session(app: str = "fieldtide", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -43,13 +43,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative operators")
         folder = tempfile.mkdtemp(prefix="fieldtide-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(folder)
-
-
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Reads no more than that many rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast for a dimension whose size has been checked; a larger one joins by shuffle instead."""
-    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtide import schemas
+from fieldtide import constants, schemas
 from fieldtide.functions import series as A
 from fieldtide.operators import features, observations as O, seasons as S, voting as V
 from fieldtide.sources import dimensions
@@ -283,11 +283,22 @@ def test_dimensions(spark):
     crops = dimensions.crop_dimension(spark, {"num2class": {1: "Corn", 61: "Fallow"}, "crop_type": {1: "Corn"}})
     with pytest.raises(ValueError, match="unknown crops"):
         dimensions.window_dimension(spark, {"Nope": ["01-01", "02-01"]}, crops)
-    seeds = dimensions.normalize_seeding({"Corn": ["03-01", "04-01"], "Rice": {"offset_days": "null"}, "Oats": ["01-01", "02-01", 5]})
+    given = {"Corn": ["03-01", "04-01"], "Rice": {"offset_days": "null"}, "Oats": ["01-01", "02-01", 5]}
+    seeds = {r["crop"]: tuple(r)[1:] for r in dimensions.seeding_dimension(spark, given).collect()}
     assert seeds["Corn"] == ("03-01", "04-01", 10) and seeds["Rice"] == ("03-20", "04-30", None) and seeds["Oats"][2] == 5
-    with pytest.raises(ValueError):
-        dimensions.normalize_seeding({"Oats": {"offset_days": 3}})
+    assert len(seeds) == len({*constants.SEEDING_DEFAULTS} | {"Oats"})
+    for bad in ({"Oats": {"offset_days": 3}}, {"Corn": "x"}, {"Corn": ["03-01"]}):
+        with pytest.raises(ValueError):
+            dimensions.seeding_dimension(spark, bad)
     assert [r["crop"] for r in dimensions.seeding_dimension(spark, None, crops).collect()] == ["Corn"]
     named = dimensions.with_crop_names(spark.createDataFrame([(1,), (61,), (99,)], "label int"), crops)
     assert {r["label"]: r["crop"] for r in named.collect()} == {1: "Corn", 61: "Fallow", 99: "Crop_99"}
     assert schemas.WINDOWS.startswith("crop")
+
+
+def test_two_readings_of_a_day_are_averaged(spark):
+    rows = [("a", dt.date(2024, 3, d), float(d)) for d in range(1, 13)]
+    twice = rows + [("a", dt.date(2024, 3, 5), 7.0)]
+    arrays = lambda r: S.season_arrays(spark.createDataFrame(r, "k string, date date, ndvi double"), ["k"], ["ndvi"]).first()
+    merged = [r if r[1].day != 5 else ("a", r[1], 6.0) for r in rows]
+    assert arrays(twice) == arrays(merged) and arrays(twice)["n"] == 12
