@@ -53,14 +53,20 @@ def nearest_date(left: DataFrame, candidates: DataFrame, on: Sequence[str], goal
     )
 
 
+def planned_quality(tiles: DataFrame, quality: DataFrame, plan: Sequence[str] = PLAN) -> DataFrame:
+    """Quality rows of the planned tiles that have a data folder: only these count towards coverage."""
+    return quality.join(tiles.filter("known").select(*plan, "tile"), [*plan, "tile"], "left_semi")
+
+
 def anchor_plan(tiles: DataFrame, quality: DataFrame, plan: Sequence[str] = PLAN) -> DataFrame:
     """One row per period and tile: chosen date, gap to the anchor, and the status of the tile.
 
     ``tiles`` must list every tile of the area with its period columns, and ``known`` tells whether the tile has any
-    data folder at all: the anchor depends on all of them, so pass the whole grid even when a few tiles are asked.
+    data folder at all: the anchor depends on all of these and on no other tile, so pass the whole grid even when a few
+    tiles are asked.
     """
     p = list(plan)
-    per_tile = quality.groupBy(*p, "tile", "date").agg(F.max(F.coalesce("valid", F.lit(False))).alias("valid"))
+    per_tile = planned_quality(tiles, quality, plan).groupBy(*p, "tile", "date").agg(F.max(F.coalesce("valid", F.lit(False))).alias("valid"))
     coverage = date_coverage(per_tile.filter("valid"), plan)
     anchors = anchor_dates(coverage, plan)
     # One anchor per period: a handful of rows, bounded by the number of periods planned in this call.

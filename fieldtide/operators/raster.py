@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldtide import constants as C
 from fieldtide.functions.dates import pseudo_month_date
 from fieldtide.functions.geometry import pixel_to_xy
-from fieldtide.functions.text import tile_name
+from fieldtide.functions.text import tile_i, tile_j, tile_name
 from fieldtide.operators import spatial
 
 
@@ -59,41 +59,65 @@ def box_grid(boxes: DataFrame, res_x: Column, res_y: Column) -> DataFrame:
     })
 
 
+def with_tile_order(pixels: DataFrame) -> DataFrame:
+    """Adds ``_ti, _tj``: tiles ``i_j`` come in the order of their numbers, other names after them."""
+    far = F.lit((1 << 31) - 1)
+    return pixels.withColumns({"_ti": F.coalesce(tile_i(F.col("tile")), far), "_tj": F.coalesce(tile_j(F.col("tile")), far)})
+
+
+TILE_ORDER = ("_ti", "_tj", "tile")
+
+
+def _targets(low: Column, high: Column, count: Column) -> Column:
+    """Target positions below ``count`` whose centres lie between two edges (the lower one included), in target pixels.
+
+    A source pixel emits these, so each target takes the one source pixel of a tile that its centre falls in.
+    """
+    first_at = lambda edge: F.ceil(F.round(edge - 0.5, 6)).cast("int")
+    first, last = F.greatest(first_at(low), F.lit(0)), F.least(first_at(high), count) - 1
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _edges() -> dict[str, Column]:
+    """Left, right, top and bottom of a pixel from its tile's header."""
+    at = lambda origin, place, step: F.col(origin) + F.col(place) * F.col(step)
+    left, top = at("x0", "col", "dx"), at("y0", "row", "dy")
+    return {"_l": left, "_r": left + F.col("dx"), "_t": top, "_b": top + F.col("dy")}
+
+
 def mosaic(
     pixels: DataFrame, headers: DataFrame, boxes: DataFrame, bands: Sequence[str], res_x: float, res_y: float,
-    order: Sequence[str] = ("tile",), last: bool = False, dense: bool = True, nodata: int = 0,
-    request: str = "request_id",
+    order: Sequence[str] = TILE_ORDER, last: bool = False, dense: bool = True, nodata: int = 0,
+    request: str = "request_id", layers: Sequence[str] = (),
 ) -> DataFrame:
     """Pixels of the tiles that meet each box on one grid per box, clipped to the box.
 
-    ``headers`` also carry the tile bounds. Overlaps go to the first tile with data (or the last). With ``dense``
-    every position of the box is returned and uncovered ones hold ``nodata``; the positions are generated from the
-    box rows on the executors.
+    ``headers`` also carry the tile bounds. Every position takes each tile's nearest pixel; overlaps go to the first tile
+    with data (or the last) in ``order``. ``layers`` (a date) are columns of both pixels and boxes that must agree. With
+    ``dense`` every position of the box is returned and uncovered ones hold ``nodata``; the positions are generated on
+    the executors, dealt by row.
     """
-    pairs = spatial.tiles_intersecting(headers, boxes, box_cols=(request,))
+    key = [request, *layers]
+    pairs = spatial.tiles_intersecting(headers, boxes, box_cols=key)
     grids = box_grid(boxes, F.lit(res_x), F.lit(res_y)).select(
-        request, F.col("lon_min").alias("_bx"), F.col("lat_max").alias("_by"), "width", "height"
+        *key, F.col("lon_min").alias("_bx"), F.col("lat_max").alias("_by"), "width", "height"
     )
     # Everything small is joined first; the pixels meet it once, and pixels of tiles outside all boxes stop there.
-    targets = pairs.join(grids, request).join(headers.select("tile", "x0", "y0", "dx", "dy"), "tile")
-    placed = pixels.join(targets, "tile").withColumn(
-        "_xy", pixel_to_xy(*[F.col(c) for c in ("row", "col", "x0", "y0", "dx", "dy")])
-    )
-    snap = lambda c: F.floor(F.round(c, 6)).cast("int")
-    placed = placed.select(
-        request, *dict.fromkeys([*order, *bands]), "width", "height",
-        snap((F.col("_xy.x") - F.col("_bx")) / F.lit(res_x)).alias("row_c"),
-        snap((F.col("_by") - F.col("_xy.y")) / F.lit(res_y)).alias("row_r"),
-    ).withColumnsRenamed({"row_c": "col", "row_r": "row"})
-    inside = F.col("row").between(0, F.col("height") - 1) & F.col("col").between(0, F.col("width") - 1)
-    merged = first_wins(placed.filter(inside), order, bands, (request, "row", "col"), last=last)
+    targets = pairs.join(grids, key).join(headers.select("tile", "x0", "y0", "dx", "dy"), "tile")
+    placed = with_tile_order(pixels.join(targets, ["tile", *layers]).withColumns(_edges()))
+    across = lambda x: (F.col(x) - F.col("_bx")) / F.lit(res_x)
+    down = lambda y: (F.col("_by") - F.col(y)) / F.lit(res_y)
+    keep = list(dict.fromkeys([*key, *order, *bands]))
+    placed = placed.select(*keep, _targets(across("_l"), across("_r"), F.col("width")).alias("_cols"),
+                           F.explode(_targets(down("_t"), down("_b"), F.col("height"))).alias("row"))
+    placed = placed.select(*keep, "row", F.explode("_cols").alias("col"))
+    merged = first_wins(placed, order, bands, (*key, "row", "col"), last=last)
     if not dense:
         return merged
-    full = grids.select(
-        request, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"), "width"
-    ).select(request, "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
-    return full.join(merged, [request, "row", "col"], "left").select(
-        request, "row", "col", *[F.coalesce(F.col(b), F.lit(nodata)).alias(b) for b in bands]
+    lines = grids.select(*key, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"), "width")
+    full = lines.repartition(*key, "row").select(*key, "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+    return full.join(merged, [*key, "row", "col"], "left").select(
+        *key, "row", "col", *[F.coalesce(F.col(b), F.lit(nodata)).alias(b) for b in bands]
     )
 
 
@@ -136,50 +160,70 @@ def mask_to_valid(pixels: DataFrame, valid: DataFrame, sizes: DataFrame, bands:
 
 
 def retile(
-    pixels_xy: DataFrame, bands: Sequence[str], res: float, region: dict[str, float], cols: int, rows: int,
-    order: Sequence[str] = ("tile",), existing: DataFrame | None = None, extra: Sequence[str] = (),
+    pixels: DataFrame, headers: DataFrame, bands: Sequence[str], res_x: float, res_y: float, region: dict[str, float],
+    cols: int, rows: int, order: Sequence[str] = TILE_ORDER, existing: DataFrame | None = None, extra: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Assign pixels with coordinates to canonical cells ``i_j``: (pixels per cell, report per cell).
+    """Tiles cut anew into canonical cells ``i_j`` of one resolution: (pixels per cell, report on every cell).
 
-    A cell without data or with only zeros is empty and gets no rows; a cell that already exists is skipped. The cell
-    is arithmetic on the coordinates, so nothing is joined but the optional list of existing cells. ``extra`` columns
-    (a date, a band) separate layers.
+    A position of a cell takes the nearest pixel of the first tile with signal in ``order``. A cell that already exists
+    is skipped; one without tiles or with only zeros is empty and gets no rows. Cells and positions are arithmetic on
+    pixel edges, so a pixel across a border serves both cells. ``extra`` columns (a date, a band) separate layers;
+    ``existing`` lists cells, or cells per layer where it has those columns.
     """
     cw = (region["lon_max"] - region["lon_min"]) / cols
     ch = (region["lat_max"] - region["lat_min"]) / rows
-    idx = lambda v, lo, step: F.floor(F.round((F.col(v) - F.lit(lo)) / F.lit(step), 6)).cast("int")
-    placed = pixels_xy.withColumns({"_i": idx("x", region["lon_min"], cw), "_j": idx("y", region["lat_min"], ch)})
-    placed = placed.filter(F.col("_i").between(0, cols - 1) & F.col("_j").between(0, rows - 1)).withColumns({
-        "cell": tile_name(F.col("_i"), F.col("_j")),
-        "_col": F.floor(F.round((F.col("x") - (F.lit(region["lon_min"]) + F.col("_i") * F.lit(cw))) / F.lit(res), 6)).cast("int"),
-        "_row": F.floor(F.round(((F.lit(region["lat_min"]) + (F.col("_j") + 1) * F.lit(ch)) - F.col("y")) / F.lit(res), 6)).cast("int"),
-    })
-    wanted = placed
+    width, height = F.lit(max(1, round(cw / res_x))), F.lit(max(1, round(ch / res_y)))
+
+    def cells(low: str, high: str, start: float, step: float, count: int) -> Column:
+        at = lambda c: F.round((F.col(c) - F.lit(start)) / F.lit(step), 6)
+        first = F.greatest(F.floor(at(low)), F.lit(0)).cast("int")
+        last = F.least(F.ceil(at(high)), F.lit(count)).cast("int") - 1
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    keep = list(dict.fromkeys([*extra, *order, *bands]))
+    placed = with_tile_order(pixels.join(headers.select("tile", "x0", "y0", "dx", "dy"), "tile").withColumns(_edges()))
+    placed = placed.select(*keep, "_l", "_r", "_t", "_b", F.explode(cells("_l", "_r", region["lon_min"], cw, cols)).alias("_i"))
+    placed = placed.select("*", F.explode(cells("_b", "_t", region["lat_min"], ch, rows)).alias("_j"))
+    across = lambda x: (F.col(x) - (F.lit(region["lon_min"]) + F.col("_i") * F.lit(cw))) / F.lit(res_x)
+    down = lambda y: (F.lit(region["lat_min"]) + (F.col("_j") + 1) * F.lit(ch) - F.col(y)) / F.lit(res_y)
+    placed = placed.select(*keep, tile_name(F.col("_i"), F.col("_j")).alias("cell"),
+                           _targets(across("_l"), across("_r"), width).alias("_cols"),
+                           F.explode(_targets(down("_t"), down("_b"), height)).alias("row"))
+    placed = placed.select(*keep, "cell", "row", F.explode("_cols").alias("col"))
+
+    wanted, done = placed, None
     if existing is not None:
-        wanted = placed.join(existing.select("cell").distinct(), "cell", "left_anti")
-    named = wanted.select("cell", *extra, F.col("_row").alias("row"), F.col("_col").alias("col"), *dict.fromkeys([*order, *bands]))
-    out = first_wins(named, order, bands, ("cell", *extra, "row", "col"))
+        on = [c for c in ("cell", *extra) if c in existing.columns]
+        done = existing.select(*on).distinct()
+        wanted = placed.join(done, on, "left_anti")
+    out = first_wins(wanted, order, bands, ("cell", *extra, "row", "col"))
+
     seen = placed.groupBy("cell", *extra).agg(
         F.count(F.lit(1)).alias("source_pixels"), F.count_if(any_signal(bands)).alias("signal_pixels")
     )
-    done = existing.select("cell", F.lit(True).alias("_done")).distinct() if existing is not None else None
-    report = seen.join(done, "cell", "left") if done is not None else seen.withColumn("_done", F.lit(False))
-    status = F.when(F.coalesce("_done", F.lit(False)), "skipped").when(F.col("signal_pixels") == 0, "empty").otherwise("wrote")
-    return out, report.select("cell", *extra, "source_pixels", "signal_pixels", status.alias("status"))
+    number = F.explode(F.sequence(F.lit(0), F.lit(cols * rows - 1)))
+    named = tile_name(F.floor(F.col("_n") / rows).cast("int"), F.col("_n") % rows).alias("cell")
+    grid = pixels.select(*extra).distinct() if extra else pixels.sparkSession.range(1)
+    grid = grid.withColumn("_n", number).select(named, *extra)
+    report = grid.join(seen, ["cell", *extra], "left")
+    report = report.join(done.withColumn("_done", F.lit(True)), on, "left") if done is not None else report.withColumn("_done", F.lit(False))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+    status = F.when(F.coalesce("_done", F.lit(False)), "skipped").when(F.coalesce("signal_pixels", F.lit(0)) == 0, "empty").otherwise("wrote")
+    return out, report.select("cell", *extra, count("source_pixels"), count("signal_pixels"), status.alias("status"))
 
 
 def retile_bands(
-    statewide_xy: DataFrame, year: int, month: int, day: int, res: float, region: dict[str, float], cols: int, rows: int,
-    bands: Sequence[str] = C.STATEWIDE_BANDS,
+    statewide: DataFrame, headers: DataFrame, year: int, month: int, day: int, res_x: float, res_y: float,
+    region: dict[str, float], cols: int, rows: int, bands: Sequence[str] = C.STATEWIDE_BANDS, layers: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Retile band layers of one statewide month: long rows ``band, value`` with coordinates. Adds the pseudo date.
+    """Retile band layers of one statewide month: long pixel rows ``tile, row, col, band, value``. Adds the pseudo date.
 
-    The second table counts written cells per band.
+    The second table counts written cells per band. ``layers`` separate further images.
     """
-    rows_in = statewide_xy.filter(F.col("band").isin(*bands)).withColumn("tile", F.lit(""))
-    out, report = retile(rows_in, ["value"], res, region, cols, rows, ("tile",), None, ("band",))
+    rows_in = statewide.filter(F.col("band").isin(*bands))
+    out, report = retile(rows_in, headers, ["value"], res_x, res_y, region, cols, rows, extra=("band", *layers))
     date = pseudo_month_date(F.lit(year), F.lit(month), F.lit(day))
-    counts = report.groupBy("band").agg(F.count_if(F.col("status") == "wrote").alias("wrote"))
+    counts = report.groupBy("band", *layers).agg(F.count_if(F.col("status") == "wrote").alias("wrote"))
     return out.withColumn("date", date), counts
 
 
@@ -308,8 +352,9 @@ def overlay_scenes(
 ) -> tuple[DataFrame, DataFrame]:
     """Scenes on one grid over a box, later scenes on top: (pixels, skipped scenes with a reason).
 
-    ``scenes`` holds one header per scene plus ``order`` and ``crs``. The grid takes the finest scene resolution, or
-    coarser when a side would exceed ``max_side``. Values are bilinear, validity is the nearest source pixel.
+    ``scenes`` holds one header per scene plus ``order`` and ``crs``. The grid takes the finest resolution of any scene and
+    axis for both axes; when the longer side would exceed ``max_side``, one factor shrinks both. Values are bilinear over
+    the pixels with signal in that band, rounded to whole numbers, 0 without any; validity is the nearest source pixel.
     """
     hit = scenes.filter(
         (F.col("lon_min") <= box["lon_max"]) & (F.col("lon_max") >= box["lon_min"])
@@ -317,9 +362,11 @@ def overlay_scenes(
     )
     wide, tall = box["lon_max"] - box["lon_min"], box["lat_max"] - box["lat_min"]
     # Scalar subqueries over the headers: one number each, shared by all rows without a join.
-    finest = lambda c: hit.agg(F.min(F.abs(c))).scalar()
-    size = lambda extent, r: F.greatest(F.least(F.ceil(F.round(F.lit(extent) / r, 6)), F.lit(max_side)), F.lit(1)).cast("int")
-    heads = hit.withColumns({"_W": size(wide, finest("dx")), "_H": size(tall, finest("dy"))})
+    finest = hit.agg(F.min(F.least(F.abs("dx"), F.abs("dy")))).scalar()
+    whole = lambda n: F.greatest(F.ceil(F.round(n, 6)), F.lit(1)).cast("int")
+    full_w, full_h = whole(F.lit(wide) / finest), whole(F.lit(tall) / finest)
+    shrink = F.greatest(F.greatest(full_w, full_h) / F.lit(float(max_side)), F.lit(1.0))
+    heads = hit.withColumns({"_W": whole(full_w / shrink), "_H": whole(full_h / shrink)})
     rows = pixels.join(heads.select(key, "x0", "y0", "dx", "dy", "order", "_W", "_H"), key)
 
     tx, ty = F.lit(wide) / F.col("_W"), F.lit(tall) / F.col("_H")
@@ -344,9 +391,10 @@ def overlay_scenes(
     rows = rows.select(key, "order", *bands, "col", "_wc", "_oc",
                        F.inline(spread(F.col("_cy"), F.col("_sy"), "_H")).alias("row", "_wr", "_or"))
     signal = any_signal(bands)
-    w = F.when(signal, F.greatest(F.col("_wc"), F.lit(0.0)) * F.greatest(F.col("_wr"), F.lit(0.0)))
+    w = F.greatest(F.col("_wc"), F.lit(0.0)) * F.greatest(F.col("_wr"), F.lit(0.0))
+    mean = lambda b: F.try_divide(F.sum(F.when(F.col(b) > 0, w * F.col(b))), F.sum(F.when(F.col(b) > 0, w)))
     per_scene = rows.groupBy(key, "order", "row", "col").agg(
-        *[F.try_divide(F.sum(w * F.col(b)), F.sum(w)).alias(b) for b in bands],
+        *[F.coalesce(F.floor(F.round(mean(b), 6) + 0.5), F.lit(0)).cast("int").alias(b) for b in bands],
         F.max((F.col("_oc") & F.col("_or") & signal).cast("int")).alias("_valid"),
     )
     merged = last_wins(per_scene, ("order", key), bands, ("row", "col"), F.col("_valid") == 1)
@@ -359,13 +407,13 @@ def overlay_scenes(
 
 def preview(
     pixels: DataFrame, headers: DataFrame, boxes: DataFrame, bands: Sequence[str], res_x: float, res_y: float,
-    max_side: int = 4096,
+    max_side: int = 4096, layers: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Mosaic, crop to the valid extent, reduce and stretch: (display pixels, statistics per stage and channel)."""
     from fieldtide.operators import quality, stretch
 
-    key = ["request_id"]
-    whole = mosaic(pixels, headers, boxes, bands, res_x, res_y)
+    key = ["request_id", *layers]
+    whole = mosaic(pixels, headers, boxes, bands, res_x, res_y, layers=layers)
     cropped = crop_to_extent(whole, bands, key)
     size = valid_extent(whole, bands, key).select(
         *key, (F.col("row1") - F.col("row0")).alias("height"), (F.col("col1") - F.col("col0")).alias("width")

@@ -40,10 +40,10 @@ def anchor_plan(spark, sf):
     return _planned(spark, sf).select("month", "tile", "status", day("date").alias("date"), num("gap_days").alias("gap_days"), day("anchor_date").alias("anchor_date"))
 
 
-@plan("plan_summary", R.sql("planned coverage", """
+@plan("plan_summary", R.sql("planned plancov", """
 , g AS (SELECT month, gap_days, count(*) AS n FROM planned WHERE date IS NOT NULL GROUP BY ALL),
 h AS (SELECT month, string_agg(gap_days || ':' || n, ',' ORDER BY gap_days::VARCHAR) AS hist FROM g GROUP BY month),
-t AS (SELECT month, date, tiles FROM coverage QUALIFY row_number() OVER (PARTITION BY month ORDER BY tiles DESC, date DESC) <= 10),
+t AS (SELECT month, date, tiles FROM plancov QUALIFY row_number() OVER (PARTITION BY month ORDER BY tiles DESC, date DESC) <= 10),
 tt AS (SELECT month, string_agg(date || ':' || tiles, ',' ORDER BY tiles DESC, date DESC) AS top, max(tiles) AS cov FROM t GROUP BY month)
 SELECT p.month, coalesce(max(anchor_date)::VARCHAR, '') AS anchor_date, coalesce(any_value(cov), 0) AS anchor_coverage_tiles, count(p.date) AS planned_tiles, count(*) FILTER (WHERE gap_days = 0) AS anchor_assigned_tiles,
   count(*) FILTER (WHERE gap_days > 0) AS fallback_assigned_tiles, count(*) FILTER (WHERE status = 'meta_patch_missing') AS meta_patch_missing,
@@ -51,7 +51,7 @@ SELECT p.month, coalesce(max(anchor_date)::VARCHAR, '') AS anchor_date, coalesce
   count(*) FILTER (WHERE status = 'valid_tiles') AS valid_tiles, coalesce(any_value(hist), '') AS hist, coalesce(any_value(top), '') AS top
 FROM planned p LEFT JOIN h USING (month) LEFT JOIN tt USING (month) GROUP BY p.month"""))
 def plan_summary(spark, sf):
-    coverage = P.date_coverage(P.valid_dates(R.acquisitions(spark, sf)))
+    coverage = P.date_coverage(P.valid_dates(P.planned_quality(_wanted(spark, sf), R.acquisitions(spark, sf))))
     out = P.plan_summary(_planned(spark, sf), coverage)
     hist = F.array_join(F.transform(F.map_entries("gap_days_hist"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
     top = F.array_join(F.transform("top_dates", lambda e: F.concat_ws(":", e["date"].cast("string"), e["tiles"].cast("string"))), ",")
@@ -488,20 +488,20 @@ def bbox_corners(spark, sf):
 
 
 @plan("pixel_coordinates", R.sql("chips headers", """
-SELECT tile, row, col, round(x0 + (col + 0.5::DOUBLE) * dx, 9) AS x, round(y0 + (row + 0.5::DOUBLE) * dy, 9) AS y, row AS back_row, col AS back_col FROM chips JOIN headers USING (tile)"""))
+SELECT tile, date::VARCHAR AS date, row, col, round(x0 + (col + 0.5::DOUBLE) * dx, 9) AS x, round(y0 + (row + 0.5::DOUBLE) * dy, 9) AS y, row AS back_row, col AS back_col FROM chips JOIN headers USING (tile)"""))
 def pixel_coordinates(spark, sf):
-    px = R.first_scene(spark, sf, ("B4",)).join(R.headers(spark, sf), "tile")
+    px = R.scenes_8bit(spark, sf, ("B4",)).join(R.headers(spark, sf), "tile")
     px = px.withColumn("p", G.pixel_to_xy(*[F.col(c) for c in ("row", "col", "x0", "y0", "dx", "dy")]))
     px = px.withColumn("q", G.xy_to_pixel(F.col("p.x"), F.col("p.y"), *[F.col(c) for c in ("x0", "y0", "dx", "dy")]))
-    return px.select("tile", "row", "col", F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"), F.col("q.row").alias("back_row"), F.col("q.col").alias("back_col"))
+    return px.select("tile", day("date").alias("date"), "row", "col", F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"), F.col("q.row").alias("back_row"), F.col("q.col").alias("back_col"))
 
 
-@plan("rgb_compose", R.sql("chips", "SELECT tile, row, col, B4 || ',' || B3 || ',' || B2 AS rgb, B2 || ',' || B3 || ',' || B4 AS bgr, least(greatest(B4 * 2 - 100, 0), 255)::INT AS bright FROM chips"))
+@plan("rgb_compose", R.sql("chips", "SELECT tile, date::VARCHAR AS date, row, col, B4 || ',' || B3 || ',' || B2 AS rgb, B2 || ',' || B3 || ',' || B4 AS bgr, least(greatest(B4 * 2 - 100, 0), 255)::INT AS bright FROM chips"))
 def rgb_compose(spark, sf):
-    px = R.first_scene(spark, sf)
+    px = R.scenes_8bit(spark, sf)
     b = [F.col(c) for c in ("B4", "B3", "B2")]
     text = lambda a: F.array_join(a.cast("array<string>"), ",")
-    return px.select("tile", "row", "col", text(X.rgb_compose(*b)).alias("rgb"), text(X.rgb_compose(*b, swap=True)).alias("bgr"),
+    return px.select("tile", day("date").alias("date"), "row", "col", text(X.rgb_compose(*b)).alias("rgb"), text(X.rgb_compose(*b, swap=True)).alias("bgr"),
                      X.clamp_unsigned(F.col("B4") * 2 - 100, 8).alias("bright"))
 
 

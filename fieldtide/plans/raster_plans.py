@@ -16,8 +16,13 @@ RGB = ("B4", "B3", "B2")
 L = R.lit
 
 
-def _tile_sizes(spark, sf, **extra):
-    return R.headers(spark, sf).select("tile").withColumns({"height": F.lit(8), "width": F.lit(8), **{k: F.lit(v) for k, v in extra.items()}})
+IMAGE = ("tile", "date")
+
+
+def _image_sizes(spark, sf, **extra):
+    """Sizes of every image, one per tile and date."""
+    images = R.pixels(spark, sf, ()).select(*IMAGE).distinct()
+    return images.withColumns({"height": F.lit(8), "width": F.lit(8), **{k: F.lit(v) for k, v in extra.items()}})
 
 
 # ---------------------------------------------------------------- observations and quality
@@ -172,24 +177,27 @@ def argmax_class(spark, sf):
 # ---------------------------------------------------------------- mosaics
 
 RES_X, RES_Y = R.CHIP_RES, R.CHIP_RES_LAT
-R.cte("placed", "chips headers boxes", f"""
-SELECT b.request_id, c.tile, c.B4, c.B3, c.B2,
-  floor(round((b.lat_max - (h.y0 + (c.row + 0.5::DOUBLE) * h.dy)) / {L(RES_Y)}, 6))::INT AS row, floor(round((h.x0 + (c.col + 0.5::DOUBLE) * h.dx - b.lon_min) / {L(RES_X)}, 6))::INT AS col,
-  greatest(ceil(round((b.lon_max - b.lon_min) / {L(RES_X)}, 6)), 1)::INT AS width, greatest(ceil(round((b.lat_max - b.lat_min) / {L(RES_Y)}, 6)), 1)::INT AS height
-FROM boxes b JOIN headers h ON h.lon_min <= b.lon_max AND h.lon_max >= b.lon_min AND h.lat_min <= b.lat_max AND h.lat_max >= b.lat_min
-JOIN chips c ON c.tile = h.tile""")
-R.cte("inside", "placed", "SELECT * FROM placed WHERE row BETWEEN 0 AND height - 1 AND col BETWEEN 0 AND width - 1 AND (B4 > 0 OR B3 > 0 OR B2 > 0)")
 R.cte("canvas", "boxes", f"""
-SELECT request_id, unnest(range(h)) AS row, w FROM (SELECT request_id, greatest(ceil(round((lon_max - lon_min) / {L(RES_X)}, 6)), 1)::INT AS w,
+SELECT *, unnest(range(h)) AS row FROM (SELECT *, greatest(ceil(round((lon_max - lon_min) / {L(RES_X)}, 6)), 1)::INT AS w,
   greatest(ceil(round((lat_max - lat_min) / {L(RES_Y)}, 6)), 1)::INT AS h FROM boxes)""")
-R.cte("grid", "canvas", "SELECT request_id, row, unnest(range(w)) AS col FROM canvas")
+R.cte("spots", "canvas", f"""
+SELECT *, lon_min + (col + 0.5::DOUBLE) * {L(RES_X)} AS x, lat_max - (row + 0.5::DOUBLE) * {L(RES_Y)} AS y FROM (SELECT *, unnest(range(w)) AS col FROM canvas)""")
+# Looks from every position into the tiles that cover its centre, the other way round than the operator's scatter.
+R.cte("looked", "spots headers", """
+SELECT s.request_id, s.row, s.col, h.tile, floor(round((s.x - h.x0) / h.dx, 6))::INT AS tc, floor(round((s.y - h.y0) / h.dy, 6))::INT AS tr
+FROM spots s JOIN headers h ON h.lon_min <= s.lon_max AND h.lon_max >= s.lon_min AND h.lat_min <= s.lat_max AND h.lat_max >= s.lat_min
+  AND s.x >= h.lon_min - 1e-5 AND s.x <= h.lon_max + 1e-5 AND s.y >= h.lat_min - 1e-5 AND s.y <= h.lat_max + 1e-5""")
+R.cte("inside", "looked chips", """
+SELECT l.request_id, l.row, l.col, c.date, c.B4, c.B3, c.B2, split_part(l.tile, '_', 1)::INT AS ti, split_part(l.tile, '_', 2)::INT AS tj
+FROM looked l JOIN chips c ON c.tile = l.tile AND c.row = l.tr AND c.col = l.tc WHERE c.B4 > 0 OR c.B3 > 0 OR c.B2 > 0""")
 
 
 def _mosaic_cte(name: str, direction: str) -> None:
-    R.cte(name, "inside grid", f"""
-SELECT g.request_id, g.row::INT AS row, g.col::INT AS col, coalesce(t.v.a, 0)::INT AS B4, coalesce(t.v.b, 0)::INT AS B3, coalesce(t.v.c, 0)::INT AS B2
-FROM grid g LEFT JOIN (SELECT request_id, row, col, (list({{'a': B4, 'b': B3, 'c': B2}} ORDER BY tile {direction}))[1] AS v FROM inside GROUP BY ALL) t
-  USING (request_id, row, col)""")
+    R.cte(name, "inside spots dboxes", f"""
+SELECT g.request_id, d.date, g.row::INT AS row, g.col::INT AS col, coalesce(t.v.a, 0)::INT AS B4, coalesce(t.v.b, 0)::INT AS B3, coalesce(t.v.c, 0)::INT AS B2
+FROM spots g JOIN dboxes d USING (request_id)
+  LEFT JOIN (SELECT request_id, date, row, col, (list({{'a': B4, 'b': B3, 'c': B2}} ORDER BY ti {direction}, tj {direction}))[1] AS v FROM inside GROUP BY ALL) t
+  ON t.request_id = g.request_id AND t.date = d.date AND t.row = g.row AND t.col = g.col""")
 
 
 _mosaic_cte("mosaic1", "ASC")
@@ -197,107 +205,106 @@ _mosaic_cte("mosaic9", "DESC")
 
 
 def _mosaic(spark, sf, last=False):
-    return Z.mosaic(R.first_scene(spark, sf), R.headers(spark, sf), R.boxes(spark, sf), RGB, RES_X, RES_Y, last=last)
+    return Z.mosaic(R.scenes_8bit(spark, sf), R.headers(spark, sf), R.scene_boxes(spark, sf), RGB, RES_X, RES_Y, last=last, layers=("date",))
 
 
-@plan("mosaic_first", R.sql("mosaic1", "SELECT * FROM mosaic1"))
+@plan("mosaic_first", R.sql("mosaic1", "SELECT request_id, date::VARCHAR AS date, row, col, B4, B3, B2 FROM mosaic1"))
 def mosaic_first(spark, sf):
-    return _mosaic(spark, sf)
+    return _mosaic(spark, sf).withColumn("date", day("date"))
 
 
-@plan("mosaic_last", R.sql("mosaic9", "SELECT * FROM mosaic9"))
+@plan("mosaic_last", R.sql("mosaic9", "SELECT request_id, date::VARCHAR AS date, row, col, B4, B3, B2 FROM mosaic9"))
 def mosaic_last(spark, sf):
-    return _mosaic(spark, sf, True)
+    return _mosaic(spark, sf, True).withColumn("date", day("date"))
 
 
 @plan("coverage_fraction", R.sql("mosaic1", """
-SELECT request_id, round(avg((B4 > 0 OR B3 > 0 OR B2 > 0)::INT), 6) AS coverage, (avg((B4 > 0 OR B3 > 0 OR B2 > 0)::INT) < 0.999999)::INT AS partial FROM mosaic1 GROUP BY ALL"""))
+SELECT request_id, date::VARCHAR AS date, round(avg((B4 > 0 OR B3 > 0 OR B2 > 0)::INT), 6) AS coverage, (avg((B4 > 0 OR B3 > 0 OR B2 > 0)::INT) < 0.999999)::INT AS partial
+FROM mosaic1 GROUP BY request_id, mosaic1.date"""))
 def coverage_fraction(spark, sf):
-    out = Z.coverage_fraction(_mosaic(spark, sf), RGB)
-    return out.select("request_id", r6("coverage").alias("coverage"), bit("partial").alias("partial"))
+    out = Z.coverage_fraction(_mosaic(spark, sf), RGB, ("request_id", "date"))
+    return out.select("request_id", day("date").alias("date"), r6("coverage").alias("coverage"), bit("partial").alias("partial"))
 
 
 @plan("valid_extent", R.sql("mosaic1", """
-SELECT request_id, min(row) AS row0, max(row) + 1 AS row1, min(col) AS col0, max(col) + 1 AS col1 FROM mosaic1 WHERE B4 > 0 OR B3 > 0 OR B2 > 0 GROUP BY ALL"""))
+SELECT request_id, date::VARCHAR AS date, min(row) AS row0, max(row) + 1 AS row1, min(col) AS col0, max(col) + 1 AS col1 FROM mosaic1
+WHERE B4 > 0 OR B3 > 0 OR B2 > 0 GROUP BY request_id, mosaic1.date"""))
 def valid_extent(spark, sf):
-    return Z.valid_extent(_mosaic(spark, sf), RGB, ["request_id"])
+    return Z.valid_extent(_mosaic(spark, sf), RGB, ["request_id", "date"]).withColumn("date", day("date"))
 
 
 @plan("mask_to_valid", R.sql("chips px", """
-SELECT c.tile, c.row, c.col, CASE WHEN split_part(c.tile, '_', 1)::INT % 3 = 0 OR v.tile IS NOT NULL THEN c.B4 ELSE 0 END AS B4
-FROM chips c LEFT JOIN (SELECT DISTINCT tile, row, col FROM px WHERE vec_id % 8 = 1 AND B4 > 0) v USING (tile, row, col)"""))
+SELECT c.tile, c.date::VARCHAR AS date, c.row, c.col, CASE WHEN split_part(c.tile, '_', 1)::INT % 3 = 0 OR v.tile IS NOT NULL THEN c.B4 ELSE 0 END AS B4
+FROM chips c LEFT JOIN (SELECT DISTINCT tile, date, row, col FROM px WHERE B8 > 0) v USING (tile, date, row, col)"""))
 def mask_to_valid(spark, sf):
-    px = R.first_scene(spark, sf, ("B4",))
-    valid = R.pixels(spark, sf, ("B4",)).filter("vec_id % 8 = 1 and B4 > 0").select("tile", "row", "col")
+    valid = R.pixels(spark, sf, ("B8",)).filter("B8 > 0").select(*IMAGE, "row", "col")
     odd = T.tile_i(F.col("tile")) % 3 == 0
-    sizes = _tile_sizes(spark, sf).withColumns({"valid_height": F.when(odd, 9).otherwise(8), "valid_width": F.lit(8)})
-    return Z.mask_to_valid(px, valid, sizes, ["B4"], ["tile"])
+    sizes = _image_sizes(spark, sf).withColumns({"valid_height": F.when(odd, 9).otherwise(8), "valid_width": F.lit(8)})
+    return Z.mask_to_valid(R.scenes_8bit(spark, sf, ("B4",)), valid, sizes, ["B4"], IMAGE).withColumn("date", day("date"))
 
 
 _CW, _CH = (C.REGION["lon_max"] - C.REGION["lon_min"]) / 15, (C.REGION["lat_max"] - C.REGION["lat_min"]) / 15
-R.cte("world", "chips headers", """
-SELECT c.tile, c.B4, c.B3, h.x0 + (c.col + 0.5::DOUBLE) * h.dx AS x, h.y0 + (c.row + 0.5::DOUBLE) * h.dy AS y FROM chips c JOIN headers h USING (tile)""")
-R.cte("cells", "world", f"""
-SELECT *, floor(round((x - {L(C.REGION['lon_min'])}) / {L(_CW)}, 6))::INT AS i, floor(round((y - {L(C.REGION['lat_min'])}) / {L(_CH)}, 6))::INT AS j FROM world""")
-R.cte("incell", "cells", f"""
-SELECT i || '_' || j AS cell, tile, B4, B3, floor(round(({L(C.REGION['lat_min'])} + (j + 1) * {L(_CH)} - y) / {L(RES_X)}, 6))::INT AS row,
-  floor(round((x - ({L(C.REGION['lon_min'])} + i * {L(_CW)})) / {L(RES_X)}, 6))::INT AS col, (i + j) % 5 = 0 AS done
-FROM cells WHERE i BETWEEN 0 AND 14 AND j BETWEEN 0 AND 14""")
+_NX, _NY = max(1, round(_CW / RES_X)), max(1, round(_CH / RES_Y))
+R.cte("cells", "", f"""
+SELECT i || '_' || j AS cell, (i + j) % 5 = 0 AS done, r.row::INT AS row, c.col::INT AS col,
+  {L(C.REGION['lon_min'])} + i * {L(_CW)} + (c.col + 0.5::DOUBLE) * {L(RES_X)} AS x, {L(C.REGION['lat_min'])} + (j + 1) * {L(_CH)} - (r.row + 0.5::DOUBLE) * {L(RES_Y)} AS y
+FROM range(15) a(i), range(15) b(j), range({_NY}) r(row), range({_NX}) c(col)""")
+R.cte("incell", "cells headers chips", """
+SELECT s.cell, s.done, s.row, s.col, c.date, c.B4, c.B3, split_part(h.tile, '_', 1)::INT AS ti, split_part(h.tile, '_', 2)::INT AS tj
+FROM cells s JOIN headers h ON s.x >= h.lon_min - 1e-5 AND s.x <= h.lon_max + 1e-5 AND s.y >= h.lat_min - 1e-5 AND s.y <= h.lat_max + 1e-5
+JOIN chips c ON c.tile = h.tile AND c.row = floor(round((s.y - h.y0) / h.dy, 6))::INT AND c.col = floor(round((s.x - h.x0) / h.dx, 6))::INT""")
+R.cte("cellreport", "cells incell px", """
+SELECT k.cell, d.date, count(n.cell) AS source_pixels, count(*) FILTER (WHERE n.B4 > 0 OR n.B3 > 0) AS signal_pixels,
+  CASE WHEN any_value(k.done) THEN 'skipped' WHEN count(*) FILTER (WHERE n.B4 > 0 OR n.B3 > 0) = 0 THEN 'empty' ELSE 'wrote' END AS status
+FROM (SELECT DISTINCT cell, done FROM cells) k JOIN (SELECT DISTINCT date FROM px) d ON true LEFT JOIN incell n ON n.cell = k.cell AND n.date = d.date GROUP BY k.cell, d.date""")
 
 
 def _retiled(spark, sf):
-    xy = Z.with_xy(R.first_scene(spark, sf, ("B4", "B3")), R.headers(spark, sf))
     # Finished cells: those whose indexes add up to a multiple of five.
-    done = xy.select(
-        F.floor(F.round((F.col("x") - C.REGION["lon_min"]) / F.lit(_CW), 6)).cast("int").alias("i"),
-        F.floor(F.round((F.col("y") - C.REGION["lat_min"]) / F.lit(_CH), 6)).cast("int").alias("j")).distinct()
+    done = spark.range(225).select(F.floor(F.col("id") / 15).alias("i"), (F.col("id") % 15).alias("j"))
     done = done.filter((F.col("i") + F.col("j")) % 5 == 0).select(T.tile_name(F.col("i"), F.col("j")).alias("cell"))
-    return Z.retile(xy, ("B4", "B3"), RES_X, C.REGION, 15, 15, existing=done)
+    return Z.retile(R.scenes_8bit(spark, sf, ("B4", "B3")), R.headers(spark, sf), ("B4", "B3"), RES_X, RES_Y, C.REGION, 15, 15, existing=done, extra=("date",))
 
 
 @plan("retile", R.sql("incell", """
-SELECT cell, row, col, (list({'a': B4, 'b': B3} ORDER BY tile, B4, B3))[1].a AS B4, (list({'a': B4, 'b': B3} ORDER BY tile, B4, B3))[1].b AS B3
-FROM incell WHERE NOT done AND (B4 > 0 OR B3 > 0) GROUP BY cell, row, col"""))
+SELECT cell, date::VARCHAR AS date, row, col, (list({'a': B4, 'b': B3} ORDER BY ti, tj))[1].a AS B4, (list({'a': B4, 'b': B3} ORDER BY ti, tj))[1].b AS B3
+FROM incell WHERE NOT done AND (B4 > 0 OR B3 > 0) GROUP BY cell, incell.date, row, col"""))
 def retile(spark, sf):
-    return _retiled(spark, sf)[0]
+    return _retiled(spark, sf)[0].withColumn("date", day("date"))
 
 
-@plan("retile_report", R.sql("incell", """
-SELECT cell, count(*) AS source_pixels, count(*) FILTER (WHERE B4 > 0 OR B3 > 0) AS signal_pixels,
-  CASE WHEN any_value(done) THEN 'skipped' WHEN count(*) FILTER (WHERE B4 > 0 OR B3 > 0) = 0 THEN 'empty' ELSE 'wrote' END AS status FROM incell GROUP BY cell"""))
+@plan("retile_report", R.sql("cellreport", "SELECT cell, date::VARCHAR AS date, source_pixels, signal_pixels, status FROM cellreport"))
 def retile_report(spark, sf):
-    return _retiled(spark, sf)[1]
+    return _retiled(spark, sf)[1].withColumn("date", day("date"))
 
 
-@plan("run_report", R.sql("incell", """
-SELECT count(*) FILTER (WHERE s = 'wrote') AS wrote, count(*) FILTER (WHERE s = 'skipped') AS skipped, count(*) FILTER (WHERE s = 'empty') AS empty, 0 AS failed
-FROM (SELECT CASE WHEN any_value(done) THEN 'skipped' WHEN count(*) FILTER (WHERE B4 > 0 OR B3 > 0) = 0 THEN 'empty' ELSE 'wrote' END AS s FROM incell GROUP BY cell)"""))
+@plan("run_report", R.sql("cellreport", """
+SELECT date::VARCHAR AS date, count(*) FILTER (WHERE status = 'wrote') AS wrote, count(*) FILTER (WHERE status = 'skipped') AS skipped,
+  count(*) FILTER (WHERE status = 'empty') AS empty, 0 AS failed FROM cellreport GROUP BY cellreport.date"""))
 def run_report(spark, sf):
     from fieldtide.sources.sinks import run_report as report
 
-    return report(_retiled(spark, sf)[1], {})
+    return report(_retiled(spark, sf)[1], {}, ("date",)).withColumn("date", day("date"))
 
 
-@plan("retile_bands", R.sql("cells", f"""
-, layers AS (SELECT i || '_' || j AS cell, band, v, floor(round(({L(C.REGION['lat_min'])} + (j + 1) * {L(_CH)} - y) / {L(RES_X)}, 6))::INT AS row,
-    floor(round((x - ({L(C.REGION['lon_min'])} + i * {L(_CW)})) / {L(RES_X)}, 6))::INT AS col
-  FROM (SELECT *, 'B4' AS band, B4 AS v FROM cells UNION ALL SELECT *, 'B3', B3 FROM cells) WHERE i BETWEEN 0 AND 14 AND j BETWEEN 0 AND 14)
-SELECT cell, band, row, col, min(v) AS value, '2024-02-29' AS date FROM layers WHERE v > 0 GROUP BY ALL"""))
+@plan("retile_bands", R.sql("incell", """
+, layers AS (SELECT cell, date, ti, tj, row, col, 'B4' AS band, B4 AS v FROM incell UNION ALL SELECT cell, date, ti, tj, row, col, 'B3', B3 FROM incell)
+SELECT cell, date::VARCHAR AS scene, band, row, col, (list(v ORDER BY ti, tj))[1] AS value, '2024-02-29' AS date FROM layers WHERE v > 0 GROUP BY cell, layers.date, band, row, col"""))
 def retile_bands(spark, sf):
-    xy = Z.with_xy(R.first_scene(spark, sf, ("B4", "B3")), R.headers(spark, sf))
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("value")) for b in ("B4", "B3")])
-    out, _ = Z.retile_bands(xy.select("x", "y", F.inline(bands)), 2024, 2, 31, RES_X, C.REGION, 15, 15)
+    long = R.scenes_8bit(spark, sf, ("B4", "B3")).select("tile", day("date").alias("scene"), "row", "col", F.inline(bands))
+    out, _ = Z.retile_bands(long, R.headers(spark, sf), 2024, 2, 31, RES_X, RES_Y, C.REGION, 15, 15, layers=("scene",))
     return out.withColumn("date", day("date"))
 
 
 # ---------------------------------------------------------------- resampling
 
 @plan("resample_nearest", R.sql("chips", """
-SELECT tile, r.t::INT AS row, c.t::INT AS col, B4 FROM chips, range(13) r(t), range(5) c(t)
+SELECT tile, date::VARCHAR AS date, r.t::INT AS row, c.t::INT AS col, B4 FROM chips, range(13) r(t), range(5) c(t)
 WHERE row = floor((r.t + 0.5) * 8 / 13)::INT AND col = floor((c.t + 0.5) * 8 / 5)::INT"""))
 def resample_nearest(spark, sf):
-    px = R.first_scene(spark, sf, ("B4",))
-    return Z.resample_nearest(px, _tile_sizes(spark, sf, target_height=13, target_width=5))
+    px = R.scenes_8bit(spark, sf, ("B4",))
+    return Z.resample_nearest(px, _image_sizes(spark, sf, target_height=13, target_width=5), IMAGE).withColumn("date", day("date"))
 
 
 def _lin(t: str, big: int) -> str:
@@ -305,29 +312,29 @@ def _lin(t: str, big: int) -> str:
 
 
 @plan("resample_bilinear", R.sql("chips", f"""
-, w AS (SELECT tile, r.t::INT AS row, c.t::INT AS col, B4, (1 - abs({_lin('r', 20)} - row)) * (1 - abs({_lin('c', 12)} - col)) AS w
+, w AS (SELECT tile, date::VARCHAR AS date, r.t::INT AS row, c.t::INT AS col, B4, (1 - abs({_lin('r', 20)} - row)) * (1 - abs({_lin('c', 12)} - col)) AS w
   FROM chips, range(20) r(t), range(12) c(t) WHERE abs({_lin('r', 20)} - row) < 1 - 1e-9 AND abs({_lin('c', 12)} - col) < 1 - 1e-9)
-SELECT tile, row, col, round(sum(w * B4) / sum(w), 6) AS B4 FROM w GROUP BY ALL"""))
+SELECT tile, date, row, col, round(sum(w * B4) / sum(w), 6) AS B4 FROM w GROUP BY ALL"""))
 def resample_bilinear(spark, sf):
-    px = R.first_scene(spark, sf, ("B4",))
-    out = Z.resample_bilinear(px, _tile_sizes(spark, sf, target_height=20, target_width=12), ["B4"])
-    return out.withColumn("B4", r6("B4"))
+    px = R.scenes_8bit(spark, sf, ("B4",))
+    out = Z.resample_bilinear(px, _image_sizes(spark, sf, target_height=20, target_width=12), ["B4"], IMAGE)
+    return out.withColumns({"B4": r6("B4"), "date": day("date")})
 
 
 @plan("block_average", R.sql("chips", """
-, w AS (SELECT tile, r.t::INT AS row, c.t::INT AS col, B4, (least((row + 1) * 3 / 8::DOUBLE, r.t + 1) - greatest(row * 3 / 8::DOUBLE, r.t)) * (least((col + 1) * 3 / 8::DOUBLE, c.t + 1) - greatest(col * 3 / 8::DOUBLE, c.t)) AS w
+, w AS (SELECT tile, date::VARCHAR AS date, r.t::INT AS row, c.t::INT AS col, B4, (least((row + 1) * 3 / 8::DOUBLE, r.t + 1) - greatest(row * 3 / 8::DOUBLE, r.t)) * (least((col + 1) * 3 / 8::DOUBLE, c.t + 1) - greatest(col * 3 / 8::DOUBLE, c.t)) AS w
   FROM chips, range(3) r(t), range(3) c(t) WHERE least((row + 1) * 3 / 8::DOUBLE, r.t + 1) > greatest(row * 3 / 8::DOUBLE, r.t) AND least((col + 1) * 3 / 8::DOUBLE, c.t + 1) > greatest(col * 3 / 8::DOUBLE, c.t))
-SELECT tile, row, col, round(sum(w * B4) / sum(w), 6) AS B4 FROM w GROUP BY ALL"""))
+SELECT tile, date, row, col, round(sum(w * B4) / sum(w), 6) AS B4 FROM w GROUP BY ALL"""))
 def block_average(spark, sf):
-    px = R.first_scene(spark, sf, ("B4",))
-    return Z.block_average(px, _tile_sizes(spark, sf), ["B4"], 3).withColumn("B4", r6("B4"))
+    px = R.scenes_8bit(spark, sf, ("B4",))
+    return Z.block_average(px, _image_sizes(spark, sf), ["B4"], 3, IMAGE).withColumns({"B4": r6("B4"), "date": day("date")})
 
 
 @plan("overviews", R.sql("chips", """
-SELECT tile, f AS factor, (row // f)::INT AS row, (col // f)::INT AS col, round(avg(B4), 6) AS B4, round(avg(B3), 6) AS B3 FROM chips, (VALUES (2), (4)) v(f) GROUP BY tile, f, row // f, col // f"""))
+SELECT tile, date::VARCHAR AS date, f AS factor, (row // f)::INT AS row, (col // f)::INT AS col, round(avg(B4), 6) AS B4, round(avg(B3), 6) AS B3 FROM chips, (VALUES (2), (4)) v(f) GROUP BY tile, chips.date, f, row // f, col // f"""))
 def overviews(spark, sf):
-    out = Z.overviews(R.first_scene(spark, sf, ("B4", "B3")), _tile_sizes(spark, sf), ["B4", "B3"], min_side=2)
-    return out.withColumns({b: r6(b) for b in ("B4", "B3")})
+    out = Z.overviews(R.scenes_8bit(spark, sf, ("B4", "B3")), _image_sizes(spark, sf), ["B4", "B3"], IMAGE, min_side=2)
+    return out.withColumns({"date": day("date"), **{b: r6(b) for b in ("B4", "B3")}})
 
 
 def _stretch_sql(valid: str = "") -> str:
@@ -358,17 +365,11 @@ def display_stretch(spark, sf):
     return stretch.display_stretch(px, RGB, min_valid=50).withColumn("date", day("date"))
 
 
-@plan("preview_stats", R.sql("mosaic1", """
-, ext AS (SELECT request_id, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM mosaic1 WHERE B4 > 0 OR B3 > 0 OR B2 > 0 GROUP BY ALL),
-cut AS (SELECT m.* FROM mosaic1 m JOIN ext e USING (request_id) WHERE row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1),
-st AS (SELECT 'mosaic' AS stage, * FROM mosaic1 UNION ALL SELECT 'cropped', * FROM cut)
-SELECT stage, request_id, channel, count(*) AS pixels, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, count(*) FILTER (WHERE v <> 0) AS nonzero FROM (
-  SELECT stage, request_id, 'B4' AS channel, B4 AS v FROM st UNION ALL SELECT stage, request_id, 'B3', B3 FROM st UNION ALL SELECT stage, request_id, 'B2', B2 FROM st)
-GROUP BY ALL"""))
-def preview_stats(spark, sf):
-    _, stats = Z.preview(R.first_scene(spark, sf), R.headers(spark, sf), R.boxes(spark, sf), RGB, RES_X, RES_Y, 20)
-    out = stats.filter(F.col("stage").isin("mosaic", "cropped"))
-    return out.select("stage", "request_id", "channel", "pixels", "min", "max", r6("mean").alias("mean"), "nonzero")
+_SIGNAL = "(B4 > 0 OR B3 > 0 OR B2 > 0)"
+R.cte("cropped", "mosaic1", f"""
+SELECT m.request_id, m.date, m.row - r0 AS row, m.col - c0 AS col, m.B4, m.B3, m.B2, r1 - r0 + 1 AS h, c1 - c0 + 1 AS w
+FROM mosaic1 m JOIN (SELECT request_id, date, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM mosaic1 WHERE {_SIGNAL} GROUP BY ALL) e USING (request_id, date)
+WHERE m.row BETWEEN r0 AND r1 AND m.col BETWEEN c0 AND c1""")
 
 
 def _cover(p: str, n: str, new: str) -> str:
@@ -377,26 +378,37 @@ def _cover(p: str, n: str, new: str) -> str:
     return f"(least({hi}, t.t + 1::DOUBLE) - greatest({lo}, t.t::DOUBLE))"
 
 
-R.cte("cropped", "mosaic1", """
-SELECT m.request_id, m.row - r0 AS row, m.col - c0 AS col, m.B4, m.B3, m.B2, r1 - r0 + 1 AS h, c1 - c0 + 1 AS w
-FROM mosaic1 m JOIN (SELECT request_id, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM mosaic1 WHERE B4 > 0 OR B3 > 0 OR B2 > 0 GROUP BY ALL) e USING (request_id)
-WHERE m.row BETWEEN r0 AND r1 AND m.col BETWEEN c0 AND c1""")
 R.cte("resized", "cropped", """
 SELECT *, CASE WHEN greatest(h, w) <= 20 THEN h ELSE greatest(round_even(h * (20::DOUBLE / greatest(h, w)), 0), 1) END AS nh,
   CASE WHEN greatest(h, w) <= 20 THEN w ELSE greatest(round_even(w * (20::DOUBLE / greatest(h, w)), 0), 1) END AS nw FROM cropped""")
 R.cte("by_row", "resized", f"SELECT r.*, t.t AS tr, {_cover('row', 'h', 'nh')} AS wr FROM resized r, range(20) t(t) WHERE t.t < nh AND {_cover('row', 'h', 'nh')} > 1e-9")
 R.cte("by_cell", "by_row", f"SELECT r.*, t.t AS tc, wr * {_cover('col', 'w', 'nw')} AS wt FROM by_row r, range(20) t(t) WHERE t.t < nw AND {_cover('col', 'w', 'nw')} > 1e-9")
-R.cte("reduced", "by_cell", "SELECT request_id, tr::INT AS row, tc::INT AS col, "
-      + ", ".join(f"round_even(round(sum(wt * {b}) / sum(wt), 9), 0)::INT AS {b}" for b in RGB) + " FROM by_cell GROUP BY request_id, tr, tc")
+R.cte("reduced", "by_cell", "SELECT request_id, date, tr::INT AS row, tc::INT AS col, "
+      + ", ".join(f"round_even(round(sum(wt * {b}) / sum(wt), 9), 0)::INT AS {b}" for b in RGB) + " FROM by_cell GROUP BY request_id, date, tr, tc")
 R.cte("small_cuts", "reduced", f"""
-SELECT request_id, count(*) FILTER (WHERE B4 > 0 OR B3 > 0 OR B2 > 0) AS n, {_stretch_sql('FILTER (WHERE B4 > 0 OR B3 > 0 OR B2 > 0)')} FROM reduced GROUP BY request_id""")
+SELECT request_id, date, count(*) FILTER (WHERE {_SIGNAL}) AS n, {_stretch_sql(f'FILTER (WHERE {_SIGNAL})')} FROM reduced GROUP BY request_id, date""")
+R.cte("shown", "reduced small_cuts", "SELECT request_id, date, row, col, " + ", ".join(
+    f"CASE WHEN n < 16 OR hi_{b} <= lo_{b} + 1e-6 THEN {b} WHEN {_SIGNAL} THEN floor(greatest(least(({b} - lo_{b}) / (lo_{b} + (hi_{b} - lo_{b}) - lo_{b}), 1), 0) * 255)::INT ELSE 0 END AS {b}" for b in RGB)
+    + " FROM reduced JOIN small_cuts USING (request_id, date)")
+
+
+def _preview(spark, sf):
+    return Z.preview(R.scenes_8bit(spark, sf), R.headers(spark, sf), R.scene_boxes(spark, sf), RGB, RES_X, RES_Y, 20, ("date",))
+
+
+@plan("preview_stats", R.sql("mosaic1 cropped reduced shown", ", st AS (" + " UNION ALL ".join(
+    f"SELECT '{stage}' AS stage, request_id, date, '{b}' AS channel, {b} AS v FROM {rel}"
+    for stage, rel in (("mosaic", "mosaic1"), ("cropped", "cropped"), ("reduced", "reduced"), ("display", "shown")) for b in RGB) + """)
+SELECT stage, request_id, date::VARCHAR AS date, channel, count(*) AS pixels, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, count(*) FILTER (WHERE v <> 0) AS nonzero
+FROM st GROUP BY stage, request_id, st.date, channel"""))
+def preview_stats(spark, sf):
+    out = _preview(spark, sf)[1]
+    return out.select("stage", "request_id", day("date").alias("date"), "channel", "pixels", "min", "max", r6("mean").alias("mean"), "nonzero")
 
 
-@plan("preview_pixels", R.sql("reduced small_cuts", "SELECT request_id, row, col, " + ", ".join(
-    f"CASE WHEN n < 16 OR hi_{b} <= lo_{b} + 1e-6 THEN {b} WHEN B4 > 0 OR B3 > 0 OR B2 > 0 THEN floor(greatest(least(({b} - lo_{b}) / (lo_{b} + (hi_{b} - lo_{b}) - lo_{b}), 1), 0) * 255)::INT ELSE 0 END AS {b}" for b in RGB)
-    + " FROM reduced JOIN small_cuts USING (request_id)"))
+@plan("preview_pixels", R.sql("shown", "SELECT request_id, date::VARCHAR AS date, row, col, B4, B3, B2 FROM shown"))
 def preview_pixels(spark, sf):
-    return Z.preview(R.first_scene(spark, sf), R.headers(spark, sf), R.boxes(spark, sf), RGB, RES_X, RES_Y, 20)[0]
+    return _preview(spark, sf)[0].withColumn("date", day("date"))
 
 
 _BOX = {"lon_min": -94.5, "lat_min": 33.0, "lon_max": -91.0, "lat_max": 34.2}
@@ -409,7 +421,9 @@ def _near(centre: str, step: str, limit: str) -> str:
 R.cte("hits", "headers", f"""
 SELECT * FROM headers WHERE lon_min <= {L(_BOX['lon_max'])} AND lon_max >= {L(_BOX['lon_min'])} AND lat_min <= {L(_BOX['lat_max'])} AND lat_max >= {L(_BOX['lat_min'])}""")
 R.cte("frame", "hits", f"""
-SELECT least(ceil(round({L(_BOX['lon_max'] - _BOX['lon_min'])} / min(abs(dx)), 6)), 60)::INT AS W, least(ceil(round({L(_BOX['lat_max'] - _BOX['lat_min'])} / min(abs(dy)), 6)), 60)::INT AS H FROM hits""")
+SELECT ceil(round(w / greatest(greatest(w, h) / 60::DOUBLE, 1), 6))::INT AS W, ceil(round(h / greatest(greatest(w, h) / 60::DOUBLE, 1), 6))::INT AS H FROM (
+  SELECT ceil(round({L(_BOX['lon_max'] - _BOX['lon_min'])} / r, 6)) AS w, ceil(round({L(_BOX['lat_max'] - _BOX['lat_min'])} / r, 6)) AS h
+  FROM (SELECT min(least(abs(dx), abs(dy))) AS r FROM hits))""")
 R.cte("source", "px hits frame", f"""
 SELECT p.tile || '@' || p.date AS scene, date_diff('day', DATE '2024-06-01', p.date) AS ord, p.B4, p.B3, p.B2, W, H,
   (x0 + (col + 0.5::DOUBLE) * dx - {L(_BOX['lon_min'])}) / ({L(_BOX['lon_max'] - _BOX['lon_min'])} / W) AS cx, dx / ({L(_BOX['lon_max'] - _BOX['lon_min'])} / W) AS sx,
@@ -421,17 +435,16 @@ R.cte("spread_r", "spread_c", f"""
 SELECT s.*, t.t::INT AS row, 1 - abs(t.t + 0.5::DOUBLE - cy) / sy AS wr, t.t + 0.5::DOUBLE - cy >= -sy / 2 AND t.t + 0.5::DOUBLE - cy < sy / 2 AS o_r FROM spread_c s, range(60) t(t)
 WHERE {_near('cy', 'sy', 'H')} AND (wc > 1e-9 OR oc)""")
 R.cte("per_scene", "spread_r", "SELECT scene, ord, row, col, max(CASE WHEN oc AND o_r THEN 1 ELSE 0 END) AS ok, " + ", ".join(
-    f"sum(greatest(wc, 0) * greatest(wr, 0) * {b}) / nullif(sum(greatest(wc, 0) * greatest(wr, 0)), 0) AS {b}" for b in RGB)
+    f"coalesce(floor(round(sum(greatest(wc, 0) * greatest(wr, 0) * {b}) FILTER (WHERE {b} > 0) / nullif(sum(greatest(wc, 0) * greatest(wr, 0)) FILTER (WHERE {b} > 0), 0), 6) + 0.5::DOUBLE), 0)::INT AS {b}" for b in RGB)
     + " FROM spread_r WHERE (wr > 1e-9 OR o_r) AND (B4 > 0 OR B3 > 0 OR B2 > 0) GROUP BY scene, ord, row, col")
 
 
-@plan("overlay_scenes", R.sql("per_scene", "SELECT row, col, " + ", ".join(f"round({b}, 4) AS {b}" for b in RGB) + """
+@plan("overlay_scenes", R.sql("per_scene", "SELECT row, col, " + ", ".join(RGB) + """
 FROM per_scene WHERE ok = 1 QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY ord DESC, scene DESC) = 1"""))
 def overlay_scenes(spark, sf):
     px = R.pixels(spark, sf, RGB).select(F.concat_ws("@", "tile", "date").alias("scene"), "tile", "date", "row", "col", *RGB)
     heads = px.filter("row = 0 and col = 0").select("scene", "tile", F.datediff("date", F.lit("2024-06-01")).alias("order")).join(R.headers(spark, sf), "tile")
-    out = Z.overlay_scenes(px.drop("tile", "date"), heads, RGB, _BOX, 60)[0]
-    return out.select("row", "col", *[F.round(b, 4).alias(b) for b in RGB])
+    return Z.overlay_scenes(px.drop("tile", "date"), heads, RGB, _BOX, 60)[0]
 
 
 # ---------------------------------------------------------------- chunks
@@ -448,25 +461,25 @@ def chunk_positions(spark, sf):
 
 R.cte("starts", "", "SELECT * FROM (VALUES (0), (3), (4)) v(s)")
 R.cte("chunked", "chips starts", """
-SELECT tile, a.s AS chunk_row, b.s AS chunk_col, row - a.s AS r, col - b.s AS c, B4, row, col
+SELECT tile, date, a.s AS chunk_row, b.s AS chunk_col, row - a.s AS r, col - b.s AS c, B4, row, col
 FROM chips JOIN starts a ON row BETWEEN a.s AND a.s + 3 JOIN starts b ON col BETWEEN b.s AND b.s + 3""")
 
 
 def _chunked(spark, sf):
-    return chunks.chunk_pixels(R.first_scene(spark, sf, ("B4",)), _tile_sizes(spark, sf), 4, 1)
+    return chunks.chunk_pixels(R.scenes_8bit(spark, sf, ("B4",)), _image_sizes(spark, sf), 4, 1, IMAGE)
 
 
-@plan("chunk_pixels", R.sql("chunked", "SELECT tile, chunk_row, chunk_col, r, c, B4 FROM chunked"))
+@plan("chunk_pixels", R.sql("chunked", "SELECT tile, date::VARCHAR AS date, chunk_row, chunk_col, r, c, B4 FROM chunked"))
 def chunk_pixels(spark, sf):
-    return _chunked(spark, sf).select("tile", "chunk_row", "chunk_col", "r", "c", "B4")
+    return _chunked(spark, sf).select("tile", day("date").alias("date"), "chunk_row", "chunk_col", "r", "c", "B4")
 
 
 @plan("pad_reflect", R.sql("chips", """
 , f AS (SELECT q::INT AS q, CASE WHEN q % 14 < 8 THEN q % 14 ELSE 14 - q % 14 END AS s FROM range(20) r(q))
-SELECT tile, a.q AS r, b.q AS c, B4, (a.q >= 8 OR b.q >= 8)::INT AS padded FROM chips JOIN f a ON a.s = row JOIN f b ON b.s = col"""))
+SELECT tile, date::VARCHAR AS date, a.q AS r, b.q AS c, B4, (a.q >= 8 OR b.q >= 8)::INT AS padded FROM chips JOIN f a ON a.s = row JOIN f b ON b.s = col"""))
 def pad_reflect(spark, sf):
-    one = chunks.chunk_pixels(R.first_scene(spark, sf, ("B4",)), _tile_sizes(spark, sf), 20)
-    return chunks.pad_chunks(one, 20).select("tile", "r", "c", "B4", bit("padded").alias("padded"))
+    one = chunks.chunk_pixels(R.scenes_8bit(spark, sf, ("B4",)), _image_sizes(spark, sf), 20, 0, IMAGE)
+    return chunks.pad_chunks(one, 20).select("tile", day("date").alias("date"), "r", "c", "B4", bit("padded").alias("padded"))
 
 
 def _w(p: str) -> str:
@@ -474,17 +487,17 @@ def _w(p: str) -> str:
 
 
 @plan("blend_chunks", R.sql("chunked", f"""
-, w AS (SELECT tile, row, col, {_w('r')} * {_w('c')} AS w, (B4 + (chunk_row * 7 + chunk_col * 3) % 11) AS v FROM chunked)
-SELECT tile, row, col, least(greatest(round_even(round(sum(w * v) / greatest(sum(w), 1e-6), 9), 0), 0), 255)::INT AS B4 FROM w GROUP BY ALL"""))
+, w AS (SELECT tile, date::VARCHAR AS date, row, col, {_w('r')} * {_w('c')} AS w, (B4 + (chunk_row * 7 + chunk_col * 3) % 11) AS v FROM chunked)
+SELECT tile, date, row, col, least(greatest(round_even(round(sum(w * v) / greatest(sum(w), 1e-6), 9), 0), 0), 255)::INT AS B4 FROM w GROUP BY ALL"""))
 def blend_chunks(spark, sf):
     c = _chunked(spark, sf).withColumn("B4", F.col("B4") + (F.col("chunk_row") * 7 + F.col("chunk_col") * 3) % 11)
-    return chunks.weighted_blend(c, 4, ["B4"])
+    return chunks.weighted_blend(c, 4, ["B4"], IMAGE).withColumn("date", day("date"))
 
 
-@plan("stitch_chunks", R.sql("chips", "SELECT tile, row, col, B4 FROM chips"))
+@plan("stitch_chunks", R.sql("chips", "SELECT tile, date::VARCHAR AS date, row, col, B4 FROM chips"))
 def stitch_chunks(spark, sf):
-    c = chunks.chunk_pixels(R.first_scene(spark, sf, ("B4",)), _tile_sizes(spark, sf), 5)
-    return chunks.stitch_chunks(chunks.pad_chunks(c, 5), 5, 0, ["B4"])
+    c = chunks.chunk_pixels(R.scenes_8bit(spark, sf, ("B4",)), _image_sizes(spark, sf), 5, 0, IMAGE)
+    return chunks.stitch_chunks(chunks.pad_chunks(c, 5), 5, 0, ["B4"], IMAGE).withColumn("date", day("date"))
 
 
 # ---------------------------------------------------------------- fields
@@ -593,9 +606,9 @@ def _invert(_model, x):
     return 255.0 - x
 
 
-@plan("score_chunks", R.sql("chips", "SELECT tile, row, col, (255 - B4)::INT AS B4 FROM chips"))
+@plan("score_chunks", R.sql("chips", "SELECT tile, date::VARCHAR AS date, row, col, (255 - B4)::INT AS B4 FROM chips"))
 def score_chunks(spark, sf):
     padded = chunks.pad_chunks(_chunked(spark, sf), 4)
-    arrays = chunks.chunk_arrays(padded, ["B4"])
-    scored = scoring.score_chunks(arrays, lambda: None, _invert, 4, 1, out_bands=("B4",))
-    return chunks.stitch_chunks(scored, 4, 1, ["B4"])
+    arrays = chunks.chunk_arrays(padded, ["B4"], IMAGE)
+    scored = scoring.score_chunks(arrays, lambda: None, _invert, 4, 1, IMAGE, out_bands=("B4",))
+    return chunks.stitch_chunks(scored, 4, 1, ["B4"], IMAGE).withColumn("date", day("date"))

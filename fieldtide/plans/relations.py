@@ -353,25 +353,34 @@ SELECT vec_id, ((vec_id // 8) % 20)::VARCHAR || '_' || (vec_id // 160)::VARCHAR
 FROM embeddings, range(64) p(pos)""")
 
 
-def first_scene(spark: SparkSession, sf: str, bands: tuple[str, ...] = ("B4", "B3", "B2")) -> DataFrame:
-    """The first date of every tile: one chip per tile, values in 0..255."""
-    px = pixels(spark, sf, bands).filter(F.col("vec_id") % 8 == 0)
-    return px.select("tile", "row", "col", *[F.floor(F.col(b) % 256).cast("int").alias(b) for b in bands])
+def scenes_8bit(spark: SparkSession, sf: str, bands: tuple[str, ...] = ("B4", "B3", "B2")) -> DataFrame:
+    """All chips of all dates with values in 0..255."""
+    return pixels(spark, sf, bands).select("tile", "date", "row", "col", *[F.floor(F.col(b) % 256).cast("int").alias(b) for b in bands])
 
 
-cte("chips", "px", "SELECT tile, row, col, B4 % 256 AS B4, B3 % 256 AS B3, B2 % 256 AS B2 FROM px WHERE vec_id % 8 = 0")
+cte("chips", "px", "SELECT tile, date, row, col, B4 % 256 AS B4, B3 % 256 AS B3, B2 % 256 AS B2 FROM px")
+
+
+def scene_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every box asks for every date."""
+    day = F.date_add(F.lit("2024-06-01").cast("date"), F.col("_k") * 5)
+    return boxes(spark, sf).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("date", day).drop("_k")
+
+
+cte("dboxes", "boxes", "SELECT b.*, DATE '2024-06-01' + (k * 5)::INT AS date FROM boxes b, range(8) r(k)")
 
 
 def mask(spark: SparkSession, sf: str) -> DataFrame:
-    """Crop class per tile pixel, from the first scene's red band."""
-    px = pixels(spark, sf, ("B4",)).filter(F.col("vec_id") % 8 == 0)
-    v = F.col("B4")
+    """Crop class per tile pixel, from the mean red value of all dates."""
+    mean = F.floor(F.sum("B4") / F.count(F.lit(1)))
+    px = pixels(spark, sf, ("B4",)).groupBy("tile", "row", "col").agg(mean.alias("v"))
+    v = F.col("v")
     return px.select("tile", "row", "col", F.when(v > 1500, 1).when(v < 600, 5).when(v < 900, 0).otherwise(3).alias("label"))
 
 
 cte("mask", "px", """
-SELECT tile, row, col, CASE WHEN B4 > 1500 THEN 1 WHEN B4 < 600 THEN 5 WHEN B4 < 900 THEN 0 ELSE 3 END AS label
-FROM px WHERE vec_id % 8 = 0""")
+SELECT tile, row, col, CASE WHEN v > 1500 THEN 1 WHEN v < 600 THEN 5 WHEN v < 900 THEN 0 ELSE 3 END AS label
+FROM (SELECT tile, row, col, floor(sum(B4) / count(*)) AS v FROM px GROUP BY ALL)""")
 
 
 def crops(spark: SparkSession) -> DataFrame:
@@ -383,7 +392,7 @@ cte("crops", "", "SELECT * FROM (VALUES (1,'Corn'),(3,'Rice'),(5,'Soybeans'),(27
 
 def headers(spark: SparkSession, sf: str) -> DataFrame:
     """Georeferencing of every tile: its cell of the region, eight pixels a side, moved by half a pixel for odd tiles."""
-    emb = table(spark, sf, "embeddings").filter(F.col("vec_id") % 8 == 0).select(F.floor(F.col("vec_id") / 8).alias("t"))
+    emb = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("t")).distinct()
     rows = with_cell_bounds(emb, "t")
     t = F.col("t")
     x0 = F.col("lon_min") + (t % 2) * (CHIP_RES * 3)
@@ -401,7 +410,7 @@ SELECT (t % 20)::VARCHAR || '_' || (t // 20)::VARCHAR AS tile, x0, y0, {lit(CHIP
   x0 AS lon_min, y0 - {lit(CHIP_RES_LAT * 8)} AS lat_min, x0 + {lit(CHIP_RES * 8)} AS lon_max, y0 AS lat_max
 FROM (SELECT t, lon_min + (t % 2) * {lit(CHIP_RES * 3)} AS x0, lat_max AS y0
   FROM (SELECT t, {cell_bounds_sql('(t % 20)', '((t // 20) % 20)')}
-    FROM (SELECT vec_id // 8 AS t FROM embeddings WHERE vec_id % 8 = 0)))""")
+    FROM (SELECT DISTINCT vec_id // 8 AS t FROM embeddings)))""")
 
 
 # ---------------------------------------------------------------- acquisitions
@@ -434,11 +443,13 @@ cte("wanted", "", """
 SELECT CASE WHEN (c_custkey // 20) % 10 = 9 THEN '2024-02' ELSE '2024-01' END AS month, (c_custkey % 20)::VARCHAR || '_' || (c_custkey // 20)::VARCHAR AS tile,
   c_custkey % 10 <> 9 AS known FROM customer""")
 cte("coverage", "acq", "SELECT month, date, count(*) AS tiles FROM acq WHERE valid GROUP BY ALL")
-cte("anchor", "coverage", "SELECT month, (list(date ORDER BY tiles DESC, date DESC))[1] AS anchor_date, max(tiles) AS anchor_tiles FROM coverage GROUP BY month")
-cte("nearest", "acq anchor", """
+cte("planacq", "acq wanted", "SELECT acq.* FROM acq JOIN wanted USING (month, tile) WHERE known")
+cte("plancov", "planacq", "SELECT month, date, count(*) AS tiles FROM planacq WHERE valid GROUP BY ALL")
+cte("anchor", "plancov", "SELECT month, (list(date ORDER BY tiles DESC, date DESC))[1] AS anchor_date, max(tiles) AS anchor_tiles FROM plancov GROUP BY month")
+cte("nearest", "planacq anchor", """
 SELECT month, tile, any_value(anchor_date) AS anchor_date,
   (list(date ORDER BY abs(date_diff('day', anchor_date, date)), date DESC) FILTER (WHERE valid))[1] AS chosen
-FROM acq LEFT JOIN anchor USING (month) GROUP BY month, tile""")
+FROM planacq LEFT JOIN anchor USING (month) GROUP BY month, tile""")
 cte("planned", "wanted nearest", """
 SELECT w.month, w.tile, CASE WHEN NOT w.known THEN 'meta_patch_missing' WHEN x.tile IS NULL THEN 'no_dates_in_month'
     WHEN x.chosen IS NULL THEN 'no_valid_observation' ELSE 'valid_tiles' END AS status,

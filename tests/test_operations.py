@@ -37,6 +37,15 @@ def test_anchor_plan(spark):
     assert s["gap_days_hist"] == {"0": 2, "2": 1} and s["top_dates"][0]["date"] == D(9) and s["anchor_coverage_tiles"] == 2
 
 
+def test_tiles_outside_the_plan_do_not_move_the_anchor(spark):
+    q = quality(spark, [("a", D(1), True), ("b", D(1), True), ("a", D(9), True), *[(t, D(9), True) for t in ("out", "far", "gone")]])
+    tiles = spark.createDataFrame([("2024-06", "a", True), ("2024-06", "b", True), ("2024-06", "gone", False)], "month string, tile string, known boolean")
+    planned = P.anchor_plan(tiles, q)
+    assert {(r["tile"], r["date"], r["anchor_date"]) for r in planned.collect()} == {("a", D(1), D(1)), ("b", D(1), D(1)), ("gone", None, None)}
+    s = P.plan_summary(planned, P.date_coverage(P.valid_dates(P.planned_quality(tiles, q)))).first()
+    assert s["anchor_coverage_tiles"] == 2
+
+
 def test_empty_plan(spark):
     q = quality(spark, [("a", D(1), False)])
     tiles = spark.createDataFrame([("2024-06", "a", True)], "month string, tile string, known boolean")

@@ -85,14 +85,81 @@ def test_mosaic_order_and_nodata(spark):
     assert (ext["row0"], ext["row1"], ext["col0"], ext["col1"]) == (0, 2, 0, 3)
 
 
-def test_retile_counts(spark):
-    px = spark.createDataFrame(
-        [("t", 0.5, 0.5, 4), ("t", 1.5, 0.5, 0), ("u", 0.5, 0.5, 9), ("t", 1.5, 1.5, 3), ("t", 9.5, 0.5, 3)], "tile string, x double, y double, v int")
+HEADER = "tile string, x0 double, y0 double, dx double, dy double, lon_min double, lat_min double, lon_max double, lat_max double"
+
+
+def header(tile, x0, y0, dx, dy, h, w):
+    return tile, x0, y0, dx, -dy, x0, y0 - h * dy, x0 + w * dx, y0
+
+
+def test_tiles_overlap_in_number_order(spark):
+    px = image(spark, np.full((2, 2), 3), "10_1").unionByName(image(spark, np.full((2, 2), 8), "2_1"))
+    heads = spark.createDataFrame([header(t, 0.0, 2.0, 1.0, 1.0, 2, 2) for t in ("10_1", "2_1")], HEADER)
+    box = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0)], "request_id int, lon_min double, lat_min double, lon_max double, lat_max double")
+    assert (grid(Z.mosaic(px, heads, box, ["v"], 1.0, 1.0), (2, 2)) == 8).all()
+    assert (grid(Z.mosaic(px, heads, box, ["v"], 1.0, 1.0, last=True), (2, 2)) == 3).all()
+
+
+def test_mosaic_finer_than_its_tiles_has_no_holes(spark):
+    px = image(spark, np.array([[1, 2], [3, 4]]))
+    heads = spark.createDataFrame([header("0_0", 0.0, 2.0, 1.0, 1.0, 2, 2)], HEADER)
+    box = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0)], "request_id int, lon_min double, lat_min double, lon_max double, lat_max double")
+    got = grid(Z.mosaic(px, heads, box, ["v"], 0.25, 0.5, dense=False), (4, 8))
+    assert (got == np.kron([[1, 2], [3, 4]], np.ones((2, 4)))).all()
+
+
+def test_mosaic_layers_stay_apart(spark):
+    px = image(spark, np.full((1, 1), 5)).withColumn("date", F.lit("a")).unionByName(image(spark, np.full((1, 1), 6)).withColumn("date", F.lit("b")))
+    heads = spark.createDataFrame([header("0_0", 0.0, 1.0, 1.0, 1.0, 1, 1)], HEADER)
+    box = spark.createDataFrame([(1, d, 0.0, 0.0, 1.0, 1.0) for d in "abc"],
+                                "request_id int, date string, lon_min double, lat_min double, lon_max double, lat_max double")
+    got = Z.mosaic(px, heads, box, ["v"], 1.0, 1.0, layers=("date",))
+    assert {(r["date"], r["v"]) for r in got.collect()} == {("a", 5), ("b", 6), ("c", 0)}
+
+
+def test_retile_with_two_resolutions(spark):
+    # Pixels are twice as wide as high; the cells cut through tile t, and the other starts a quarter pixel off.
+    img = np.arange(1, 17).reshape(4, 4)
+    px = image(spark, img, "2_0").unionByName(image(spark, np.full((2, 2), 99), "10_0"))
+    heads = spark.createDataFrame([header("2_0", 0.0, 4.0, 2.0, 1.0, 4, 4), header("10_0", 7.5, 2.0, 2.0, 1.0, 2, 2)], HEADER)
+    region = {"lon_min": 0.0, "lat_min": 0.0, "lon_max": 12.0, "lat_max": 6.0}
     done = spark.createDataFrame([("1_1",)], "cell string")
-    region = {"lon_min": 0.0, "lat_min": 0.0, "lon_max": 2.0, "lat_max": 2.0}
-    out, report = Z.retile(px, ["v"], 1.0, region, 2, 2, existing=done)
-    assert [tuple(r) for r in out.collect()] == [("0_0", 0, 0, 4)]
-    assert {r["cell"]: r["status"] for r in report.collect()} == {"0_0": "wrote", "1_0": "empty", "1_1": "skipped"}
+    out, report = Z.retile(px, heads, ["v"], 2.0, 1.0, region, 3, 2, existing=done)
+    got = {(r["cell"], r["row"], r["col"]): r["v"] for r in out.collect()}
+    want = {("0_0", r, c): img[r + 1, c] for r in range(3) for c in range(2)}
+    want |= {("1_0", r, c): img[r + 1, c + 2] for r in range(3) for c in range(2)}
+    want |= {("0_1", 2, c): img[0, c] for c in range(2)}
+    want |= {("2_0", r, c): 99 for r in (1, 2) for c in range(2)}
+    assert got == want
+    assert {r["cell"]: r["status"] for r in report.collect()} == {
+        "0_0": "wrote", "1_0": "wrote", "2_0": "wrote", "0_1": "wrote", "1_1": "skipped", "2_1": "empty"}
+
+
+def test_retile_loses_no_pixel_and_reports_zeros(spark):
+    img = RNG.integers(1, 200, (8, 8))
+    px = image(spark, img, "0_0").unionByName(image(spark, np.zeros((2, 2)), "5_5"))
+    heads = spark.createDataFrame([header("0_0", 0.3, 7.9, 0.5, 0.25, 8, 8), header("5_5", 9.0, 9.0, 0.5, 0.25, 2, 2)], HEADER)
+    region = {"lon_min": 0.0, "lat_min": 0.0, "lon_max": 10.0, "lat_max": 10.0}
+    out, report = Z.retile(px, heads, ["v"], 0.5, 0.25, region, 5, 5)
+    assert sorted(r["v"] for r in out.collect()) == sorted(img.ravel().tolist())
+    rows = {r["cell"]: r for r in report.collect()}
+    assert len(rows) == 25 and rows["4_4"]["status"] == "empty" and rows["4_4"]["source_pixels"] == 4
+    assert sum(r["signal_pixels"] for r in rows.values()) == 64
+
+
+def test_overlay_uses_one_resolution_and_factor(spark):
+    # Two bands with zeros of their own; pixels 2 wide and 1 high on a box of 8 by 2.
+    a = np.array([[[10, 0], [20, 4], [30, 4], [40, 4]], [[10, 4], [20, 4], [0, 4], [40, 4]]])
+    px = image(spark, a, "s", ("p", "q")).withColumnRenamed("tile", "scene")
+    hd = spark.createDataFrame([("s", 1, 0.0, 2.0, 2.0, -1.0, 0.0, 0.0, 8.0, 2.0)], "scene string, order int, " + HEADER.split(", ", 1)[1])
+    box = {"lon_min": 0.0, "lat_min": 0.0, "lon_max": 8.0, "lat_max": 2.0}
+    full = Z.overlay_scenes(px, hd, ["p", "q"], box)[0]
+    assert full.agg(F.max("row"), F.max("col")).first()[:] == (1, 7)  # resolution 1 on both axes
+    q = {(r["row"], r["col"]): r["q"] for r in full.collect()}
+    assert q[0, 1] == 4 and q[1, 0] == 4  # a zero does not pull its neighbours down
+    small = Z.overlay_scenes(px, hd, ["p", "q"], box, max_side=4)[0]
+    assert small.agg(F.max("row"), F.max("col")).first()[:] == (0, 3)
+    assert dict(small.dtypes)["p"] == "int"
 
 
 def test_overlay_matches_brute_force(spark):
