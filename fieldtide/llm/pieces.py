@@ -133,31 +133,36 @@ def segment(units: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.
     unit_starts = np.cumsum(lengths + 1) - lengths - 1
     order, eights = suffix_array(data, max(map(len, vocabulary.pieces), default=1))
     low, high = occurrences(vocabulary, order, eights)
+    # Edges are many: their numbers stay at 32 bits.
+    order = order.astype(np.int32)
+    del eights
     count = np.maximum(high - low, 0)
-    which = np.repeat(np.arange(count.size), count)
+    which = np.repeat(np.arange(count.size, dtype=np.int32), count)
     start = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(which.size)]
-    stop = start + vocabulary.lengths[which]
+    stop = start + vocabulary.lengths[which].astype(np.int32)
     # Characters that no piece covers alone: edges of bytes.
     raw = np.frombuffer(data, np.uint8)
     heads = np.flatnonzero((raw & 0xC0) != 0x80)
     ends = np.append(heads[1:], len(data))
-    heads, ends = heads[raw[heads] != _STOP[0]], ends[raw[heads] != _STOP[0]]
-    char_end = np.zeros(len(data), np.int64)
+    heads, ends = heads[raw[heads] != _STOP[0]].astype(np.int32), ends[raw[heads] != _STOP[0]].astype(np.int32)
+    char_end = np.zeros(len(data), np.int32)
     char_end[heads] = ends
     alone = np.zeros(len(data), bool)
     alone[start[char_end[start] == stop]] = True
     bare = heads[~alone[heads]]
     penalty = float(vocabulary.scores.min(initial=0.0)) - 10
-    kind = np.concatenate([which, np.full(bare.size, -1)])
-    score = np.concatenate([vocabulary.scores[which], np.full(bare.size, penalty)])
+    kind = np.concatenate([which, np.full(bare.size, -1, np.int32)])
+    del which
+    score = np.append(vocabulary.scores, penalty)[kind]
     start, stop = np.concatenate([start, bare]), np.concatenate([stop, char_end[bare]])
     # Edges sorted by position in their units relax all units side by side: those from the first bytes, then the second.
-    unit_of = np.repeat(np.arange(lengths.size), lengths + 1)
+    unit_of = np.repeat(np.arange(lengths.size, dtype=np.int32), lengths + 1)
     longest = int(lengths.max())
     within = (start - unit_starts[unit_of[start]]).astype(np.uint16 if longest < 1 << 16 else np.uint32)
     side = np.argsort(within, kind="stable")
     start, stop, kind, score = start[side], stop[side], kind[side], score[side]
     rounds = np.searchsorted(within[side], np.arange(longest + 1).astype(within.dtype))
+    del within, side
     best = np.full(len(data) + 1, -np.inf)
     best[unit_starts] = 0.0
     for lo, hi in zip(rounds[:-1], rounds[1:]):
@@ -198,7 +203,7 @@ class UnitTable(dict):
     """Units seen so far by number, with their ids. Holds at most about ``most`` units between batches; new ones are
     indexed in parts of about ``index_bytes``."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 600_000, index_bytes: int = 256 << 10):
+    def __init__(self, vocabulary: Vocabulary, most: int = 300_000, index_bytes: int = 192 << 10):
         super().__init__()
         self.vocabulary, self.most, self.index_bytes, self.marks = vocabulary, most, index_bytes, _mark_ids(vocabulary)
         self.forget()
@@ -271,9 +276,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", to: str
     return arranged.mapInArrow(scan, schema)
 
 
-def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str = "decoded", batch_ids: int = 1 << 20) -> DataFrame:
     """``docs`` with the text of ``ids`` in ``to``: pieces joined, marks as spaces, without the leading space. Null ids give
-    the empty text; bytes that are no UTF-8 become replacement characters."""
+    the empty text; bytes that are no UTF-8 become replacement characters. About ``batch_ids`` ids are held as text at a time."""
     schema = docs.drop(to).withColumn(to, F.lit("")).schema
     arranged = docs.drop(to).withColumn("_ids", F.coalesce(F.col(ids), F.expr("cast(array() as array<int>)")))
 
@@ -283,10 +288,12 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str =
             column = batch.column(batch.num_columns - 1)
             flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
             ends = ends - ends[0]
-            out = []
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                raw = b"".join(map(table.__getitem__, flat[a:b].tolist()))
-                out.append(raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*batch.schema.names[:-1], to])
+            for lo, hi in chunks(ends, batch_ids):
+                out = []
+                for a, b in zip(ends[lo:hi].tolist(), ends[lo + 1 : hi + 1].tolist()):
+                    raw = b"".join(map(table.__getitem__, flat[a:b].tolist()))
+                    out.append(raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace"))
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.string())], names=[*part.schema.names[:-1], to])
 
     return arranged.mapInArrow(scan, schema)
