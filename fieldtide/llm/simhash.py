@@ -25,19 +25,24 @@ _BLOCKS = (11, 11, 11, 11, 10, 10)
 _FAN = 8
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Bit majority of the XXH64 hashes of all word shingles; zero without words. Fewer words than a shingle are one."""
+def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 hashes of all word shingles; none without words. Fewer words than a shingle are one."""
     words = text.lower().split()  # bytes: A-Z only, and space with the controls 9 to 13
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = (ends - np.diff(ends, prepend=0))[: len(words) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())), "<u8")
-    return majority(hashes)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())), "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """Bit majority of the hashes of all word shingles; zero without words."""
+    hashes = shingle_hashes(text, shingle, seed)
+    return majority(hashes) if hashes.size else 0
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -189,7 +194,11 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, distance: int = 2) -> DataFrame:
     """One row of each component, with all columns: that of the smallest doc_id, null ids last, ties by text hash."""
-    rows = near_groups(docs, text, doc_id, shingle, distance)
+    return first_rows(docs, near_groups(docs, text, doc_id, shingle, distance), text, doc_id)
+
+
+def first_rows(docs: DataFrame, rows: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``rows`` (doc_id, text_id, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("_keep_id"), F.col("text_id").alias("_keep_text"))
     kept = rows.groupBy("root").agg(F.min(order).alias("k")).select("k._keep_id", "k._keep_text")
     key = text_key(F.coalesce(F.col(text), F.lit("")))
