@@ -13,6 +13,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Usual short notices of licence families, in plain text.
@@ -92,11 +93,13 @@ class LicenceModel:
         return sorted(w for w in words if w in self.telling)
 
 
-def train(other: list[str], seed: int = 3, rounds: int = 300, sparsity: float = 2e-3, per_notice: int = 24) -> LicenceModel:
-    """Proximal gradient with an L1 penalty. Notices are varied by dropping words and by words of other paragraphs around them."""
+def train(other: list[str], seed: int = 3, rounds: int = 300, sparsity: float = 2e-3, per_notice: int = 24,
+          most_words: int = 200) -> LicenceModel:
+    """Proximal gradient with an L1 penalty. Notices are varied by dropping words and by words of other paragraphs around them.
+    Of each of those the first ``most_words`` words count."""
     rng = np.random.default_rng(seed)
     families = ["unknown", *sorted(NOTICES)]
-    background = [_words(t)[:200] for t in other]
+    background = [_words(t)[:most_words] for t in other]
     background = [b for b in background if b] or [["the", "a", "of"]]
     rows, labels = [], []
     for k, family in enumerate(families[1:], 1):
@@ -154,11 +157,24 @@ def train(other: list[str], seed: int = 3, rounds: int = 300, sparsity: float =
     return LicenceModel(families, {names[j]: [round(float(v), 6) for v in w[j]] for j in used}, [float(v) for v in b], least, telling)
 
 
-def background_sample(docs: DataFrame, text: str = "text", most_rows: int = 300) -> list[str]:
-    """Paragraphs of at most ``most_rows`` texts, in an order of hashed texts, without words that name licences."""
-    rows = docs.filter(F.col(text).isNotNull()).orderBy(F.xxhash64(text), F.octet_length(text)).select(F.col(text).alias("t")).limit(most_rows).collect()
-    parts = [p for r in rows for p in re.split(r"[\r\n]+", r["t"])[:40]]
-    return [p for p in parts if not re.search(r"licen[sc]e|copyright|creative commons|spdx", p, re.I)][:5000]
+def background_sample(docs: DataFrame, text: str = "text", most_rows: int = 300, per_text: int = 40, most_paragraphs: int = 5000) -> list[str]:
+    """Paragraphs of at most ``most_rows`` different texts, in an order of hashed texts, without words that name licences.
+
+    At most ``per_text`` of a text and ``most_paragraphs`` in all, picked by a hash of paragraph and text. The bounds do not
+    grow with the data; only training and calibration see the sample, the scan covers every paragraph.
+    """
+    rows = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.octet_length(text).alias("n"), F.col(text).alias("t"))
+    # Copies are one text: hashes are made distinct before the order and the bound, texts looked up afterwards.
+    chosen = [tuple(r) for r in rows.select("h", "n").distinct().orderBy("h", "n").limit(most_rows).collect()]
+    if not chosen:
+        return []
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "h bigint, n int"))
+    texts = {(r["h"], r["n"]): r["t"] for r in rows.join(wanted, ["h", "n"]).groupBy("h", "n").agg(F.min("t").alias("t")).collect()}
+    parts = []
+    for h, n in chosen:
+        own = [p for p in re.split(r"[\r\n]+", texts[h, n]) if not re.search(r"licen[sc]e|copyright|creative commons|spdx", p, re.I)]
+        parts += sorted((xxhash.xxh64_intdigest(p.encode("utf-8", "ignore"), h & (1 << 64) - 1), p) for p in own)[:per_text]
+    return [p for _, p in sorted(parts)[:most_paragraphs]]
 
 
 def scan(docs: DataFrame, model: LicenceModel, text: str = "text", doc_id: str = "doc_id", overlap: float = 0.5) -> DataFrame:
