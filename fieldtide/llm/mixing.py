@@ -51,7 +51,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     the sum holds documents of all sizes; sums run inside buckets and the buckets' totals are added, so no task holds a
     source. Null texts have no words; null sources are a source; repeated rows count each. Reruns agree.
     """
-    rows = docs.withColumn("_size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint"))
+    # Size and tie-break are taken at the scan, so that a caller who drops the text shuffles none of it.
+    rows = docs.withColumns({"_size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint"), "_tie": F.xxhash64(text)})
     sizes = rows.groupBy(F.col(source).alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     plan = targets(sizes, share, weights, most).select(
         F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
@@ -64,16 +65,16 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     counts = counts.select("_source", "_of", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
     rows = rows.join(counts, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_of")))
     swing = F.when(F.col("_bucket") % 2 == 0, F.col("_size")).otherwise(-F.col("_size"))
-    place = F.row_number().over(W.partitionBy(source, "_bucket").orderBy(swing, doc_id, F.xxhash64(text))) + F.col("_ahead")
+    place = F.row_number().over(W.partitionBy(source, "_bucket").orderBy(swing, doc_id, "_tie")) + F.col("_ahead")
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
     upto = lambda k: F.floor(offset(F.col(source), seed) + rate * k)
     rows = rows.withColumn("_place", place)
     rows = rows.withColumn("_copies", upto(F.col("_place")) - upto(F.col("_place") - 1))
-    return rows.drop("_source", "_of", "_ahead", "_bucket", "_buckets", "_place")
+    return rows.drop("_source", "_of", "_ahead", "_bucket", "_buckets", "_place", "_tie")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Every row of ``mix`` as often as it is taken, without the added columns."""
+    """Every row of ``mix`` as often as it is taken, without the columns ``mix`` added."""
     rows = mixed.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
     return rows.drop("_size", "_source_size", "_target", "_copies", "_copy")
 
