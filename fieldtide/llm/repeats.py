@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fieldtide.llm.windows import anchor_offsets, gram_hashes, runs
-from fieldtide.llm.work import byte_views, chunks, saved, text_key
+from fieldtide.llm.work import byte_views, chunks, saved, text_key, unused
 
 _RUN = "key bigint, content bigint, text_id binary, start int, n int"
 _CHUNK = 128 << 10
@@ -245,14 +245,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     cleaned = texts.join(spans, here).select(texts["text_id"], "text", "runs").mapInArrow(_keep(length, with_text), schema)
     # Rows that repeat a document whole give the same result more than once.
     cleaned = cleaned.dropDuplicates(["text_id"])
-    cleaned = cleaned.select(F.col("text_id").alias("_text_id"), *(F.col(c).alias(f"_{c}") for c in cleaned.columns[1:]))
     value = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_key", text_key(value)).join(cleaned, F.col("_key") == F.col("_text_id"), "left")
+    key, found = unused(docs, "_key"), unused(docs, "_found")
+    cleaned = cleaned.select(F.col("text_id").alias(key), F.struct(*cleaned.columns[1:]).alias(found))
+    out = docs.withColumn(key, text_key(value)).join(cleaned, key, "left")
+    zero = F.lit(0).cast("bigint")
     extra = {
         "n_bytes": F.octet_length(value).cast("bigint"),
-        "n_removed": F.coalesce("_n_removed", F.lit(0).cast("bigint")), "n_spans": F.coalesce("_n_spans", F.lit(0).cast("bigint")),
-        "kept_sha256": F.coalesce("_kept_sha256", F.sha2(value, 256)),
+        "n_removed": F.coalesce(f"{found}.n_removed", zero), "n_spans": F.coalesce(f"{found}.n_spans", zero),
+        "kept_sha256": F.coalesce(f"{found}.kept_sha256", F.sha2(value, 256)),
     }
     if with_text:
-        extra["kept"] = F.coalesce("_kept", F.col(text))
+        extra["kept"] = F.coalesce(f"{found}.kept", F.col(text))
     return out.select(*(F.col(c) for c in docs.columns), *(v.alias(k) for k, v in extra.items()))

@@ -27,6 +27,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_key(text: Column | str) -> Column:
     """The first 128 bits of the text's SHA-256; equal texts share it."""
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
