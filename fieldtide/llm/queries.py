@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldtide.llm import licences, mixing, orderhash, topk, warc
+from fieldtide.llm import licences, merkle, mixing, orderhash, topk, warc
 from fieldtide.llm.pieces import Vocabulary, decode, encode
 from fieldtide.llm.quality import Quality
 from fieldtide.llm.repeats import remove_repeats
@@ -97,6 +97,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -
                         (F.sha2("decoded", 256) == F.col("sha256")).alias("round_trip"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs, and whether the received documents, some in lower case, fold to the root."""
+    rows = merkle.manifest(read(spark, sf_dir, "documents"), {"text": merkle.tampered()})
+    folded = merkle.fold(F.col("received_leaf"), F.col("path"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+                       folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_bit_sliced_top_k": op2_bit_sliced_top_k,
@@ -108,5 +117,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-SQL: dict[str, str] = {"op1_warc": warc.SQL, "op2_bit_sliced_top_k": topk.SQL, "op8_source_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_warc": warc.SQL, "op2_bit_sliced_top_k": topk.SQL, "op8_source_mixing": mixing.SQL,
+                       "op13_merkle_manifest": merkle.SQL}
