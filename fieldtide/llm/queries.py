@@ -12,6 +12,7 @@ from fieldtide.llm.quality import Quality
 from fieldtide.llm.repeats import remove_repeats
 from fieldtide.llm.simhash import as_hex, near_groups
 from fieldtide.llm.toxicity import Toxicity, held_out
+from fieldtide.llm.whitening import whitened_rows
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -97,6 +98,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -
                         (F.sha2("decoded", 256) == F.col("sha256")).alias("round_trip"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_rows(read(spark, sf_dir, "embeddings"), components=16)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves, roots and proofs, and whether the received documents, some in lower case, fold to the root."""
     rows = merkle.manifest(read(spark, sf_dir, "documents"), {"text": merkle.tampered()})
@@ -117,6 +122,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {"op1_warc": warc.SQL, "op2_bit_sliced_top_k": topk.SQL, "op8_source_mixing": mixing.SQL,
