@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldtide.llm import licences, merkle, mixing, orderhash, topk, warc
 from fieldtide.llm.pieces import Vocabulary, decode, encode
+from fieldtide.llm.pii import KINDS, personal_data
 from fieldtide.llm.quality import Quality
 from fieldtide.llm.repeats import remove_repeats
 from fieldtide.llm.simhash import as_hex, near_groups
@@ -98,6 +99,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -
                         (F.sha2("decoded", 256) == F.col("sha256")).alias("round_trip"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base_sha256 are those of the fixed patterns; spans are these and the tagger's."""
+    found = personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"), added="pii").select("doc_id", "pii")
+    count = lambda kind: F.size(F.filter("pii.base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2("pii.base_text", 256).alias("base_sha256"),
+                        F.col("pii.spans_text").alias("spans"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_rows(read(spark, sf_dir, "embeddings"), components=16)
 
@@ -122,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_pii": op11_pii,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
