@@ -5,7 +5,7 @@ elapsed days. A series holds at most one row per calendar day (``unique_dates``
 aggregate), so a window partition is bounded by the days of a season, however skewed the raw pixels were.
 
 The row operators share one window partitioning, so a chain of them costs one shuffle. Operators that reduce a season
-to dates gather it into arrays once and go on without windows.
+to dates gather it once and run the same rules in ``season_kernel``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from fieldtide import constants as C
 from fieldtide.functions import series as A
 from fieldtide.functions.dates import month_day_number
 from fieldtide.functions.series import snap, window_length, window_lengths
+from fieldtide.operators.season_kernel import detected_seasons
 
 ROUND = 9  # positions of extremes are picked on values rounded here, so last-bit noise cannot move them
 
@@ -186,58 +187,22 @@ def season_arrays(
     obs: DataFrame, key: Sequence[str], values: Sequence[str], date: str = "date", window: int = C.SAVGOL_WINDOW,
     poly: int = C.SAVGOL_POLY, min_points: int = C.MIN_POINTS,
 ) -> DataFrame:
-    """One row per key: ``dates``, ``n``, and per value column its count, smoothed array and usable flag.
-
-    Several readings of a day are averaged first, so a group holds at most the days of a season; the group is gathered
-    once and no window pass follows. Columns added per value ``v``: ``v_valid``, ``v_smooth`` (null when there are too few
-    points).
-    """
-    gathered = unique_dates(obs, key, values, date).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(date, *values))).alias("_p"))
-    pick = lambda c: F.transform("_p", lambda p: p[c])
-    rows = gathered.select(*key, pick(date).alias("dates"), F.size("_p").alias("n"), *[pick(v).alias(f"_{v}") for v in values])
-    rows = rows.withColumns({
-        "_w": window_length(F.col("n"), window, poly),
-        **{f"{v}_valid": F.size(F.filter(f"_{v}", lambda y: y.isNotNull())) for v in values},
-    })
-    matrix = A.weight_matrix(F.col("_w"), window, poly)
-    rows = rows.withColumns({
-        "_m": matrix,
-        **{f"_f_{v}": F.when((F.col("n") >= 3) & (F.col(f"{v}_valid") >= min_points), A.fill(F.col(f"_{v}"))) for v in values},
-    })
-    rows = rows.withColumns({f"{v}_smooth": A.smooth(F.col(f"_f_{v}"), F.col("_m"), F.col("_w")) for v in values})
+    """One row per key: ``dates``, ``n``, and per value column ``v`` its ``v_valid`` and ``v_smooth`` (null when there are
+    too few points)."""
+    rows = detected_seasons(obs, key, values, date, window, poly, min_points, arrays=True)
     return rows.select(*key, "dates", "n", *[f"{v}_valid" for v in values], *[f"{v}_smooth" for v in values])
 
 
-def with_detection(rows: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Adds per value ``v`` to the rows of ``season_arrays``: ``v_start``, ``v_end`` (dates) and ``v_rule``."""
-    rows = rows.withColumns({
-        **{f"_d_{v}": A.slopes(F.col(f"{v}_smooth")) for v in values},
-        **{f"_k_{v}": A.first_maximum(F.col(f"{v}_smooth")) for v in values},
-    })
-    inside = lambda v: (F.col(f"_k_{v}") > 0) & (F.col(f"_k_{v}") < F.col("n") - 1)
-    rows = rows.withColumns({
-        f"_h_{v}": F.when(inside(v), A.harvest_positions(F.col(f"{v}_smooth"), F.col(f"_d_{v}"), F.col(f"_k_{v}")))
-        for v in values
-    })
-    added = {}
-    for v in values:
-        rule = F.when(F.col(f"{v}_smooth").isNull(), "insufficient_data").when(~inside(v), "boundary_fallback")
-        added[f"{v}_start"] = F.get("dates", F.col(f"_h_{v}.start_i"))
-        added[f"{v}_end"] = F.get("dates", F.col(f"_h_{v}.end_i"))
-        added[f"{v}_rule"] = rule.otherwise(F.col(f"_h_{v}.rule"))
-    return rows.withColumns(added).drop(*[f"_{x}_{v}" for v in values for x in ("d", "k", "h")])
-
-
 def detect_harvest(
     series: DataFrame, key: Sequence[str], y: str = "y", date: str = "date", min_points: int = C.MIN_POINTS,
-    window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_POLY,
+    window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_POLY, daily: bool = False,
 ) -> DataFrame:
-    """One row per series: ``start``, ``end`` (null when not detected), ``start_rule`` and counts."""
-    rows = with_detection(season_arrays(series, key, [y], date, window, poly, min_points), [y])
+    """One row per series: ``start``, ``end`` (null when not detected), ``start_rule`` and counts. With ``daily`` a series
+    has one row per date already."""
+    rows = detected_seasons(series, key, [y], date, window, poly, min_points, daily=daily)
     return rows.select(
         *key, F.col(f"{y}_start").alias("start"), F.col(f"{y}_end").alias("end"), F.col(f"{y}_rule").alias("start_rule"),
-        "n", F.col(f"{y}_valid").alias("n_valid"), F.array_min("dates").alias("first_date"),
-        F.array_max("dates").alias("last_date"),
+        "n", F.col(f"{y}_valid").alias("n_valid"), "first_date", "last_date",
     )
 
 
@@ -281,30 +246,25 @@ def sowing_window(settings: DataFrame) -> DataFrame:
     return settings.withColumns({"_ws": month_day_number(F.col("window_start")), "_we": month_day_number(F.col("window_end"))})
 
 
-def first_greenup(smoothed: Column) -> Column:
-    """First rising date inside the sowing window, which lies in the year of the first date."""
-    dates = F.col("dates")
-    year = F.year(F.get(dates, F.lit(0)))
-
-    def inside(d: Column) -> Column:
-        return (F.year(d) == year) & (F.month(d) * 100 + F.dayofmonth(d)).between(F.col("_ws"), F.col("_we"))
-
-    return F.when(F.col("_ws").isNotNull(), F.get(A.rising_dates(dates, smoothed, inside), F.lit(0)))
+def first_greenup(rising: Column, first_date: Column) -> Column:
+    """First of the rising dates inside the sowing window, which lies in the year of the first date."""
+    year = F.year(first_date)
+    inside = lambda d: (F.year(d) == year) & (F.month(d) * 100 + F.dayofmonth(d)).between(F.col("_ws"), F.col("_we"))
+    return F.when(F.col("_ws").isNotNull(), F.array_min(F.filter(rising, inside)))
 
 
 def estimate_seeding(
     obs: DataFrame, key: Sequence[str], seeding: DataFrame, crop: str = "crop", date: str = "date",
-    min_points: int = C.MIN_POINTS, window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_POLY,
+    min_points: int = C.MIN_POINTS, window: int = C.SAVGOL_WINDOW, poly: int = C.SAVGOL_POLY, daily: bool = False,
 ) -> DataFrame:
     """One row per series: green-up, sowing date, source index, rule and the settings used.
 
     ``seeding`` is the settings dimension (one row per crop). Crops without a window keep blank results.
     """
-    rows = season_arrays(obs, key, ("ndvi", "evi"), date, window, poly, min_points)
+    rows = detected_seasons(obs, key, ("ndvi", "evi"), date, window, poly, min_points, daily=daily)
     rows = rows.join(sowing_window(seeding), crop, "left")
-    rows = rows.withColumns({"_n": first_greenup(F.col("ndvi_smooth")), "_year": F.year(F.get("dates", F.lit(0)))})
-    rows = rows.withColumn("_e", F.when(F.col("_n").isNull(), first_greenup(F.col("evi_smooth"))))
-    found = seeding_from_greenup(F.col("_n"), F.col("_e"), F.col("offset_days"), F.col("_year"))
+    found = seeding_from_greenup(*(first_greenup(F.col(f"{v}_rising"), F.col("first_date")) for v in ("ndvi", "evi")),
+                                 F.col("offset_days"), F.year("first_date"))
     return rows.withColumn("_f", found).select(
         *key, F.col("_f.greenup").alias("greenup"), F.col("_f.seeding").alias("seeding"),
         F.col("_f.source").alias("greenup_source"), F.col("_f.rule").alias("greenup_rule"),

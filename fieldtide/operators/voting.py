@@ -124,24 +124,21 @@ def repair_end(start: Column, end: Column, candidates: Column, last_date: Column
 
 def season_events(
     obs: DataFrame, key: Sequence[str], windows: DataFrame, seeding: DataFrame, crop: str = "crop",
-    date: str = "date", min_points: int | None = None, gt_year: int | None = None,
+    date: str = "date", min_points: int | None = None, gt_year: int | None = None, daily: bool = False,
 ) -> DataFrame:
     """Harvest start and end, sowing estimate and overlap with the target window: one row per series.
 
-    ``obs`` holds ``ndvi``, ``ndwi``, ``evi`` with one row per key and date. ``gt_year`` fixes the year of the target
-    window in the overlap score; by default the year of the data is used. Each season is gathered once; detection on
-    all three indices, the votes and the green-up search are projections of that row.
+    ``obs`` holds ``ndvi``, ``ndwi``, ``evi``; ``daily`` says that it has one row per key and date already. ``gt_year``
+    fixes the year of the target window in the overlap score; by default the year of the data is used. Each season is
+    gathered once and detected on all three indices; the votes and the green-up choice are projections of that row.
     """
     indices = ("ndvi", "ndwi", "evi")
     n_min = C.MIN_POINTS if min_points is None else min_points
-    rows = seasons.season_arrays(obs, key, indices, date, min_points=n_min).filter(F.col("ndvi_valid") >= n_min)
-    rows = seasons.with_detection(rows, indices)
+    rows = seasons.detected_seasons(obs, key, indices, date, min_points=n_min, daily=daily).filter(F.col("ndvi_valid") >= n_min)
     rows = rows.join(windows, crop, "left").join(seasons.sowing_window(seeding), crop, "left")
-    rows = rows.withColumns({
-        "first_date": F.array_min("dates"), "last_date": F.array_max("dates"),
-        "_gn": seasons.first_greenup(F.col("ndvi_smooth")),
+    grouped = rows.withColumns({
+        f"_g_{v}": seasons.first_greenup(F.col(f"{v}_rising"), F.col("first_date")) for v in ("ndvi", "evi")
     })
-    grouped = rows.withColumn("_ge", F.when(F.col("_gn").isNull(), seasons.first_greenup(F.col("evi_smooth"))))
 
     year = F.year("first_date")
     ends = F.array(*[F.col(f"{x}_end") for x in indices])
@@ -153,7 +150,7 @@ def season_events(
     picked = grouped.withColumns({
         "_v": closest(sources, t_start, F.col("first_date"), "start"),
         "_end0": majority(ends, F.col("last_date"), "end"),
-        "_seed": seasons.seeding_from_greenup(F.col("_gn"), F.col("_ge"), F.col("offset_days"), year),
+        "_seed": seasons.seeding_from_greenup(F.col("_g_ndvi"), F.col("_g_evi"), F.col("offset_days"), year),
     }).withColumns({
         "start": F.col("_v.date"),
         "end": repair_end(F.col("_v.date"), F.col("_end0"), ends, F.col("last_date")),

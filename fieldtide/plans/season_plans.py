@@ -73,7 +73,7 @@ def persistent_below(spark, sf):
 SELECT {K}, coalesce(s_date::VARCHAR, '') AS start, coalesce(e_date::VARCHAR, '') AS "end", rule AS start_rule, n::INT AS n, n_valid::INT AS n_valid
 FROM detected"""))
 def detect_harvest(spark, sf):
-    out = S.detect_harvest(R.long_observations(spark, sf), KEY)
+    out = S.detect_harvest(R.long_observations(spark, sf), KEY, daily=True)
     return out.select(*KEY, day("start").alias("start"), day("end").alias("end"), "start_rule", "n", "n_valid")
 
 
@@ -117,7 +117,7 @@ JOIN (SELECT x.year, x.tile, x.crop, max(x.e_date) FILTER (WHERE x.e_date >= y.c
 
 
 def _candidates(spark, sf):
-    found = S.detect_harvest(R.long_observations(spark, sf), KEY)
+    found = S.detect_harvest(R.long_observations(spark, sf), KEY, daily=True)
     rows = found.join(R.windows(spark), "crop", "left")
     return rows.withColumns({
         "t_start": D.month_day_in_year(F.col("year"), F.col("start_md")), "t_end": D.month_day_in_year(F.col("year"), F.col("end_md"))})
@@ -173,7 +173,7 @@ _SOWN = """coalesce(coalesce(gn, ge)::VARCHAR, '') AS greenup,
 SELECT o.year, o.tile, o.crop, {_SOWN}, coalesce(offset_days, -1)::BIGINT AS offset_days
 FROM (SELECT DISTINCT year, tile, crop FROM obs) o LEFT JOIN sown USING (year, tile, crop)"""))
 def seeding(spark, sf):
-    out = S.estimate_seeding(R.observations(spark, sf), R.SERIES, R.seeding(spark))
+    out = S.estimate_seeding(R.observations(spark, sf), R.SERIES, R.seeding(spark), daily=True)
     return out.select(*R.SERIES, day("greenup").alias("greenup"), day("seeding").alias("seeding"), "greenup_source",
                       "greenup_rule", num("offset_days").alias("offset_days"))
 
@@ -189,7 +189,7 @@ WHERE EXISTS (SELECT 1 FROM detected d WHERE d.year = e.year AND d.tile = e.tile
 
 
 def _events(spark, sf):
-    return V.season_events(R.observations(spark, sf), R.SERIES, R.windows(spark), R.seeding(spark))
+    return V.season_events(R.observations(spark, sf), R.SERIES, R.windows(spark), R.seeding(spark), daily=True)
 
 
 @plan("season_events", R.sql("events_", """
@@ -413,16 +413,24 @@ def union_summaries(spark, sf):
     return out.withColumns({"Date": F.coalesce("Date", F.lit("")), "div_start": num("div_start")})
 
 
-@plan("farm_summary_rows", R.sql("timeline", """
-SELECT crop AS "Crop", tile AS "FarmID", coalesce(max(date) FILTER (WHERE harvest = 'Start')::VARCHAR, '') AS "HarvestStart",
-  coalesce(max(date) FILTER (WHERE harvest = 'End')::VARCHAR, '') AS "HarvestEnd", coalesce(min(greenup_source) FILTER (WHERE seeding_event <> '' AND date = first_sown), '') AS "SeedingSource"
-FROM (SELECT *, min(date) FILTER (WHERE seeding_event <> '') OVER (PARTITION BY tile, crop) AS first_sown FROM timeline WHERE year = 1997) GROUP BY tile, crop"""))
+@plan("farm_summary_rows", R.sql("timeline seeding", """
+, t AS (SELECT timeline.*, s.offset_days, s.window_start, s.window_end FROM timeline LEFT JOIN seeding s USING (crop))
+SELECT year, crop AS "Crop", tile AS "FarmID", coalesce(max(date) FILTER (WHERE harvest = 'Start')::VARCHAR, '') AS "HarvestStart",
+  coalesce(max(date) FILTER (WHERE harvest = 'End')::VARCHAR, '') AS "HarvestEnd",
+  coalesce(max(date) FILTER (WHERE contains(seeding_event, 'GreenupStart'))::VARCHAR, '') AS "GreenupStart",
+  coalesce(max(date) FILTER (WHERE contains(seeding_event, 'EstimatedSeedingDate'))::VARCHAR, '') AS "EstimatedSeedingDate",
+  coalesce(max(nullif(greenup_source, '')) FILTER (WHERE seeding_event <> ''), '') AS "SeedingSource",
+  coalesce(max(nullif(greenup_rule, '')) FILTER (WHERE seeding_event <> ''), '') AS "SeedingRule",
+  coalesce((max(offset_days) FILTER (WHERE seeding_event <> ''))::VARCHAR, '') AS "SeedingOffsetDays",
+  coalesce(max(window_start) FILTER (WHERE seeding_event <> ''), '') AS "SeedingWindowStart",
+  coalesce(max(window_end) FILTER (WHERE seeding_event <> ''), '') AS "SeedingWindowEnd", '' AS "SourceCSV"
+FROM t GROUP BY year, tile, crop"""))
 def farm_summary_rows(spark, sf):
     from fieldtide.sources.sinks import farm_summary_rows as layout
 
-    rows = O.row_numbers(_timeline(spark, sf).filter("year = 1997").withColumn("farm_id", F.col("tile")), ["crop", "farm_id"])
-    out = layout(O.farm_season_summary(rows))
-    return out.select("Crop", "FarmID", "HarvestStart", "HarvestEnd", "SeedingSource")
+    key = ("year", "crop", "farm_id")
+    rows = O.row_numbers(_timeline(spark, sf).withColumn("farm_id", F.col("tile")), key)
+    return layout(O.farm_season_summary(rows, key))
 
 
 @plan("season_summary_round_trip", R.sql("timeline", """
