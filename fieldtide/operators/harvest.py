@@ -52,11 +52,14 @@ def harvest_by_crop(predictions: DataFrame, tiles: DataFrame, boxes: DataFrame)
     )
 
 
-def missing_tiles(predictions: DataFrame, tiles: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Tiles of each request's box without any prediction in the request's year."""
+def missing_tiles(predictions: DataFrame, tiles: DataFrame, boxes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tiles of each request's box without any prediction in the request's year; with ``by`` (such as crop), without one
+    of each of the values that these columns take in that year."""
     pairs = spatial.tiles_intersecting(tiles, boxes, box_cols=("request_id", "year"))
-    have = predictions.select("year", "tile").distinct()
-    return pairs.join(have, ["year", "tile"], "left_anti").select("request_id", "year", "tile")
+    have = predictions.select("year", "tile", *by).distinct()
+    if by:
+        pairs = pairs.join(predictions.select("year", *by).distinct(), "year")
+    return pairs.join(have, ["year", "tile", *by], "left_anti").select("request_id", "year", "tile", *by)
 
 
 def predictions_for_tiles(predictions: DataFrame, selected: DataFrame) -> DataFrame:

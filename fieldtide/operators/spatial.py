@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fieldtide import constants as C
 from fieldtide.functions.geometry import boxes_overlap, grid_edge
 from fieldtide.functions.text import tile_i, tile_j, tile_name
+from fieldtide.operators.stats import exact_medians
 
 BOUNDS = ("lon_min", "lat_min", "lon_max", "lat_max")
 
@@ -195,21 +196,22 @@ def limit_tiles(tiles: DataFrame, n: int) -> DataFrame:
     return natural_tile_order(tiles).limit(n)
 
 
-def resolution_check(tiles: DataFrame) -> DataFrame:
-    """Median resolution and number of reference systems; tiles without one are skipped. One row."""
-    return tiles.filter(F.col("crs").isNotNull()).agg(
-        F.median("dx").alias("res_x"), F.median("dy").alias("res_y"), F.count_distinct("crs").alias("crs_count"),
-        F.count(F.lit(1)).alias("tiles"), F.min("crs").alias("crs"),
-    ).withColumn("violation", F.when(F.col("crs_count") == 0, "no_tiles").when(F.col("crs_count") > 1, "mixed_crs"))
+def resolution_check(tiles: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """Median resolution and number of reference systems; tiles without one are skipped. One row, or one per key."""
+    counted = tiles.groupBy(*key).agg(F.count_distinct("crs").alias("crs_count"), F.count("crs").alias("tiles"), F.min("crs").alias("crs"))
+    medians = exact_medians(tiles.filter(F.col("crs").isNotNull()), key, {"res_x": F.col("dx"), "res_y": F.col("dy")})
+    out = counted.unionByName(medians, allowMissingColumns=True).groupBy(*key)
+    out = out.agg(*[F.max(c).alias(c) for c in ("res_x", "res_y", "crs_count", "tiles", "crs")])
+    return out.withColumn("violation", F.when(F.col("crs_count") == 0, "no_tiles").when(F.col("crs_count") > 1, "mixed_crs"))
 
 
 def mosaic_size(tiles: DataFrame, res_x: Column, res_y: Column, bands: int = 3, bytes_per_value: int = 1,
                 key: Sequence[str] = (), warn_gib: float = 8.0) -> DataFrame:
     """Width, height, bytes and GiB of a whole mosaic, and whether it reaches the memory warning."""
-    rows = tiles.groupBy(*key).agg(
-        F.min("lon_min").alias("lon_min"), F.min("lat_min").alias("lat_min"), F.max("lon_max").alias("lon_max"),
-        F.max("lat_max").alias("lat_max"), F.median(res_x).alias("_rx"), F.median(res_y).alias("_ry"),
-    )
+    bounds = tiles.groupBy(*key).agg(F.min("lon_min").alias("lon_min"), F.min("lat_min").alias("lat_min"),
+                                     F.max("lon_max").alias("lon_max"), F.max("lat_max").alias("lat_max"))
+    medians = exact_medians(tiles, key, {"_rx": res_x, "_ry": res_y})
+    rows = bounds.unionByName(medians, allowMissingColumns=True).groupBy(*key).agg(*[F.max(c).alias(c) for c in (*BOUNDS, "_rx", "_ry")])
     side = lambda hi, lo, r: F.ceil((F.col(hi) - F.col(lo)) / F.greatest(F.col(r), F.lit(1e-12))).cast("bigint")
     rows = rows.withColumns({"width": side("lon_max", "lon_min", "_rx"), "height": side("lat_max", "lat_min", "_ry")})
     rows = rows.withColumn("bytes", F.col("width") * F.col("height") * bands * bytes_per_value)

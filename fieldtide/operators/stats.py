@@ -1,12 +1,20 @@
-"""Exact percentiles of integers from value histograms."""
+"""Exact percentiles from value histograms.
+
+``histogram_percentiles`` ranks all values of a key in one task and is meant for values of a small domain (days,
+counts). ``values_at_ranks`` has no such bound: a key's values are dealt out by range, and ranks are found by prefix
+sums of two levels, first over the ranges, then inside the one range that holds a rank.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldtide.functions.indices import round_half_even_ratio
+from fieldtide.session import ensure_checkpoint_dir
 
 
 def value_histogram(rows: DataFrame, key: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
@@ -51,10 +59,53 @@ def histogram_percentiles(
     return found.select(*group, "n", *carry, *out)
 
 
+def values_at_ranks(hist: DataFrame, key: Sequence[str], ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row per key of a histogram (key, value, freq): n, and per name of ``ranks`` the value at that zero-based rank.
+
+    ``ranks`` maps a name to a function of the count n. Values may be of any ordered type. Their ranges over the tasks
+    follow a sample and are written to the checkpoint folder, so that both levels see the same ones. Null keys are keys.
+    """
+    ensure_checkpoint_dir(hist.sparkSession)
+    dealt = hist.repartitionByRange(*key, "value").withColumn("_part", F.spark_partition_id()).checkpoint()
+    parts = dealt.groupBy(*key, "_part").agg(F.sum("freq").alias("_held"))
+    whole = W.partitionBy(*key)
+    ahead = F.sum("_held").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.select(*key, "_part", "_held", F.coalesce(ahead, F.lit(0)).alias("_ahead"), F.sum("_held").over(whole).alias("n"))
+    asked = F.array(*[F.struct(F.lit(name).alias("_name"), rank(F.col("n")).cast("bigint").alias("_rank")) for name, rank in ranks.items()])
+    here = F.filter(asked, lambda a: (a["_rank"] >= F.col("_ahead")) & (a["_rank"] < F.col("_ahead") + F.col("_held")))
+    wanted = parts.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_part").alias("_at"), "_ahead", "n", here.alias("_asked"))
+    wanted = wanted.filter(F.size("_asked") > 0)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key], F.col("_part") == F.col("_at"))
+    inside = W.partitionBy(*key, "_part").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = dealt.join(wanted, same).withColumn("_cum", F.sum("freq").over(inside) + F.col("_ahead"))
+    rows = rows.select(*key, "n", "value", "_cum", F.inline("_asked")).filter(F.col("_cum") > F.col("_rank"))
+    found = rows.groupBy(*key, "n", "_name").agg(F.min("value").alias("value"))
+    return found.groupBy(*key, "n").agg(*[F.min(F.when(F.col("_name") == name, F.col("value"))).alias(name) for name in ranks])
+
+
 def percentile_int(rows: DataFrame, key: Sequence[str], value: str, quantiles: Sequence[int]) -> DataFrame:
-    """Percentiles of one integer column per key."""
-    hist = value_histogram(rows, key, {value: F.col(value)})
-    return histogram_percentiles(hist, key, quantiles).drop("measure")
+    """Percentiles of one integer column per key, whatever its domain; interpolated and rounded as above."""
+    known = rows.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).cast("bigint").alias("value"))
+    below = lambda q: lambda n: F.floor(F.lit(q) * (n - 1) / F.lit(100))
+    ranks = {f"_lo{q}": below(q) for q in quantiles}
+    ranks |= {f"_hi{q}": lambda n, low=below(q): F.least(low(n) + 1, n - 1) for q in quantiles}
+    found = values_at_ranks(known.agg(F.count(F.lit(1)).alias("freq")), key, ranks)
+    out = []
+    for q in quantiles:
+        rest = (F.lit(q) * (F.col("n") - 1)) % 100
+        out.append(round_half_even_ratio(F.col(f"_lo{q}") * (F.lit(100) - rest) + F.col(f"_hi{q}") * rest, 100).alias(f"p{q}"))
+    return found.select(*key, "n", *out)
+
+
+def exact_medians(rows: DataFrame, key: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
+    """One row per key: the median of each measure, the mean of the two middle values of an even count. Nulls and NaN are
+    left out; a key without values has no row, a measure without values is null."""
+    named = F.array(*[F.struct(F.lit(m).alias("_measure"), c.cast("double").alias("value")) for m, c in measures.items()])
+    long = rows.select(*key, F.inline(named)).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    hist = long.groupBy(*key, "_measure", "value").agg(F.count(F.lit(1)).alias("freq"))
+    found = values_at_ranks(hist, [*key, "_measure"], {"_a": lambda n: F.floor((n - 1) / 2), "_b": lambda n: F.floor(n / 2)})
+    middle = (F.col("_a") + F.col("_b")) / 2
+    return found.groupBy(*key).agg(*[F.max(F.when(F.col("_measure") == m, middle)).alias(m) for m in measures])
 
 
 def class_histogram(pixels: DataFrame, key: Sequence[str], label: str = "label") -> DataFrame:

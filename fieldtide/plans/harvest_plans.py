@@ -81,11 +81,13 @@ def grid_cells_for_boxes(spark, sf):
 
 
 @plan("missing_tiles", R.sql("pairs predictions", """
-SELECT request_id, year, tile FROM pairs x WHERE NOT EXISTS (
-  SELECT 1 FROM predictions p WHERE p.year = x.year AND p.tile = x.tile AND p.crop = 'Rye' AND p.pred_end_doy > 360)"""))
+, p AS (SELECT year, tile, crop, pred_end_doy > 360 AS late FROM predictions)
+SELECT request_id, x.year, tile, crop, late::INT AS late FROM pairs x JOIN (SELECT DISTINCT year, crop, late FROM p) c ON c.year = x.year
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.year = x.year AND p.tile = x.tile AND p.crop = c.crop AND p.late = c.late)"""))
 def missing_tiles(spark, sf):
-    late = R.predictions(spark, sf).filter("crop = 'Rye' and pred_end_doy > 360")
-    return harvest.missing_tiles(late, R.tiles(spark, sf), R.boxes(spark, sf))
+    """Tiles of a request that lack an early or a late season of a crop."""
+    p = R.predictions(spark, sf).withColumn("late", F.col("pred_end_doy") > 360)
+    return harvest.missing_tiles(p, R.tiles(spark, sf), R.boxes(spark, sf), by=("crop", "late")).withColumn("late", bit("late"))
 
 
 @plan("predictions_for_tiles", R.sql("predictions pairs", """
@@ -246,6 +248,16 @@ def percentile_int(spark, sf):
     return stats.percentile_int(R.table(spark, sf, "lineitem"), ["l_suppkey"], "l_quantity", (10, 50, 90))
 
 
+@plan("percentile_unbounded", f"""
+WITH g AS (SELECT l_returnflag, l_linestatus, list(v ORDER BY v) AS v FROM (
+  SELECT l_returnflag, l_linestatus, round(l_extendedprice * 100)::BIGINT AS v FROM lineitem) GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, len(v) AS n, {', '.join(f"{_pct_sql('v', q)} AS p{q}" for q in (0, 1, 25, 50, 99, 100))} FROM g""")
+def percentile_unbounded(spark, sf):
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("bigint")
+    rows = R.table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", cents.alias("cents"))
+    return stats.percentile_int(rows, ["l_returnflag", "l_linestatus"], "cents", (0, 1, 25, 50, 99, 100))
+
+
 @plan("doy_roundtrip", f"""
 SELECT o_orderkey, dayofyear(o_orderdate)::INT AS doy, {_date_sql('year(o_orderdate)', 'dayofyear(o_orderdate)')} AS back,
   {_date_sql('(year(o_orderdate) + 1)', '366')} AS clamped, least((dayofyear(o_orderdate) - 1) // 5, 72)::INT AS bin,
@@ -379,20 +391,40 @@ def limit_tiles(spark, sf):
     return first.select("tile", F.row_number().over(w).cast("bigint").alias("position"))
 
 
-@plan("resolution_check", R.sql("headers", """
-SELECT round(median(dx), 6) AS res_x, round(median(dy), 6) AS res_y, 1 AS crs_count, count(*) AS tiles, '' AS violation FROM headers"""))
+_TILE_I = "split_part(tile, '_', 1)::INT"
+_SYSTEMS = f"""systems AS (SELECT tile, dx * (1 + {_TILE_I} % 5) AS dx, dy * (1 + {_TILE_I} % 4) AS dy,
+  CASE WHEN {_TILE_I} % 7 = 6 THEN NULL WHEN {_TILE_I} % 7 = 5 THEN 'EPSG:32615' ELSE 'EPSG:4326' END AS crs FROM headers)"""
+
+
+def _systems(spark, sf):
+    """Headers of several resolutions and two reference systems, some without one."""
+    from fieldtide.functions.text import tile_i
+
+    i = tile_i(F.col("tile"))
+    crs = F.when(i % 7 == 5, "EPSG:32615").when(i % 7 != 6, "EPSG:4326")
+    return R.headers(spark, sf).withColumns({"dx": F.col("dx") * (1 + i % 5), "dy": F.col("dy") * (1 + i % 4), "crs": crs})
+
+
+@plan("resolution_check", R.sql("headers", f"""
+, {_SYSTEMS}
+SELECT name, round(median(dx), 6) AS res_x, round(median(dy), 6) AS res_y, count(DISTINCT crs)::INT AS crs_count, count(crs) AS tiles,
+  CASE count(DISTINCT crs) WHEN 0 THEN 'no_tiles' WHEN 1 THEN '' ELSE 'mixed_crs' END AS violation
+FROM (SELECT unnest(['all', coalesce(crs, 'none')]) AS name, crs, CASE WHEN crs IS NOT NULL THEN dx END AS dx, CASE WHEN crs IS NOT NULL THEN dy END AS dy FROM systems)
+GROUP BY name"""))
 def resolution_check(spark, sf):
-    out = spatial.resolution_check(R.headers(spark, sf))
-    return out.select(r6("res_x").alias("res_x"), r6("res_y").alias("res_y"), F.col("crs_count").cast("int").alias("crs_count"),
+    tiles = _systems(spark, sf).withColumn("name", F.explode(F.array(F.lit("all"), F.coalesce("crs", F.lit("none")))))
+    out = spatial.resolution_check(tiles, ["name"])
+    return out.select("name", r6("res_x").alias("res_x"), r6("res_y").alias("res_y"), F.col("crs_count").cast("int").alias("crs_count"),
                       "tiles", F.coalesce("violation", F.lit("")).alias("violation"))
 
 
 @plan("mosaic_size", R.sql("headers", f"""
-SELECT split_part(tile, '_', 1)::INT % 4 AS part, ceil((max(lon_max) - min(lon_min)) / {R.lit(R.CHIP_RES)})::BIGINT AS width,
-  ceil((max(lat_max) - min(lat_min)) / {R.lit(R.CHIP_RES_LAT)})::BIGINT AS height, 0 AS large FROM headers GROUP BY 1"""))
+, {_SYSTEMS}
+SELECT {_TILE_I} % 4 AS part, ceil((max(lon_max) - min(lon_min)) / median(s.dx))::BIGINT AS width,
+  ceil((max(lat_max) - min(lat_min)) / median(-s.dy))::BIGINT AS height, 0 AS large FROM headers JOIN systems s USING (tile) GROUP BY 1"""))
 def mosaic_size(spark, sf):
     from fieldtide.functions.text import tile_i
 
-    h = R.headers(spark, sf).withColumn("part", tile_i(F.col("tile")) % 4)
+    h = _systems(spark, sf).withColumn("part", tile_i(F.col("tile")) % 4)
     out = spatial.mosaic_size(h, F.col("dx"), -F.col("dy"), key=("part",))
     return out.select("part", "width", "height", bit("large").alias("large"))
