@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldtide.session import ensure_checkpoint_dir
 
 _SHIFT = 1 << 31
+_BLOCK = 256
 
 
 def pixel_runs(mask: DataFrame, group: Sequence[str] = ("tile", "label")) -> DataFrame:
@@ -26,15 +29,71 @@ def pixel_runs(mask: DataFrame, group: Sequence[str] = ("tile", "label")) -> Dat
     )
 
 
+def run_table(mask: DataFrame, group: Sequence[str] = ("tile", "label")) -> DataFrame:
+    """(group, row, first, last): the horizontal runs of a mask, one row each."""
+    w = W.partitionBy(*group, "row").orderBy("col")
+    island = mask.select(*group, "row", "col", (F.col("col") - F.row_number().over(w)).alias("_island"))
+    return island.groupBy(*group, "row", "_island").agg(F.min("col").alias("first"), F.max("col").alias("last")).drop("_island")
+
+
 def run_edges(runs: DataFrame, group: Sequence[str] = ("tile", "label")) -> DataFrame:
-    """Pairs (u, v), u < v, of runs that touch vertically.
+    """Pairs (u, v), u < v, of runs of neighbouring rows whose columns overlap.
 
-    Each pixel looks only at the pixel above it, so the work is linear in pixels; no pairs of runs are formed.
+    Runs meet by blocks of ``_BLOCK`` columns: a long run is in several, and an overlap counts in the block in which it
+    begins, so a block of two rows holds a bounded number of runs and no pair comes twice.
+    """
+    node = (F.col("row").cast("bigint") * _SHIFT + F.col("first")).alias("node")
+    block = F.explode(F.sequence(F.floor(F.col("first") / _BLOCK), F.floor(F.col("last") / _BLOCK))).alias("_block")
+    rows = runs.select(*group, "row", "first", "last", node, block)
+    above = rows.select(*group, (F.col("row") + 1).alias("row"), "_block", F.col("first").alias("_a"), F.col("last").alias("_b"), F.col("node").alias("u"))
+    pairs = rows.join(above, [*group, "row", "_block"])
+    meets = (F.col("first") <= F.col("_b")) & (F.col("_a") <= F.col("last"))
+    begins = F.floor(F.greatest("first", "_a") / _BLOCK) == F.col("_block")
+    return pairs.filter(meets & begins).select(*group, "u", F.col("node").alias("v"))
+
+
+def _contract(names: list[str]):
+    """Edges of each batch as stars around the smallest node of their component in that batch."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = (batch.column(c).to_numpy() for c in ("u", "v"))
+            group = np.zeros(u.size, np.int64)
+            for name in names:
+                codes = batch.column(name).dictionary_encode()
+                at = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+                group = np.unique(group * (len(codes.dictionary) + 1) + at, return_inverse=True)[1]
+            order = np.lexsort((np.concatenate([u, v]), np.tile(group, 2)))
+            g, n = np.tile(group, 2)[order], np.concatenate([u, v])[order]
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (n[1:] != n[:-1])])
+            ids = np.empty(order.size, np.int64)
+            ids[order] = np.cumsum(new) - 1
+            a, b = ids[: u.size], ids[u.size :]
+            root = np.arange(int(new.sum()))
+            while True:
+                low = np.minimum(root[a], root[b])
+                if np.array_equal(root[a], root[b]):
+                    break
+                np.minimum.at(root, root[a], low)
+                np.minimum.at(root, root[b], low)
+                root = root[root]
+            first = order[new]  # an edge end that stands for each node
+            rest = np.flatnonzero(root != np.arange(root.size))
+            at = first[rest] % max(1, u.size)
+            out = {name: batch.column(name).take(pa.array(at)) for name in names}
+            value = n[new]
+            yield pa.RecordBatch.from_pydict({**out, "u": pa.array(value[root[rest]]), "v": pa.array(value[rest])})
+
+    return contract
+
+
+def contracted(edges: DataFrame, group: Sequence[str] = ("tile", "label"), band: int = 1024) -> DataFrame:
+    """Fewer edges of the same components: what a task sees of a band of rows becomes stars, before any round.
+
+    Any part of the edges may be contracted by itself, so neither the bands nor the batches matter for the result.
     """
-    w = W.partitionBy(*group, "col").orderBy("row")
-    above = F.when(F.lag("row").over(w) == F.col("row") - 1, F.lag("node").over(w))
-    pairs = runs.select(*group, above.alias("u"), F.col("node").alias("v"))
-    return pairs.filter("u is not null").distinct()
+    rows = edges.repartition(*group, F.floor(F.col("v") / (_SHIFT * band))).sortWithinPartitions(*group, "v")
+    return rows.mapInArrow(_contract(list(group)), rows.schema)
 
 
 def _large_star(edges: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -81,9 +140,12 @@ def connected_components(mask: DataFrame, group: Sequence[str] = ("tile", "label
 
     Components are ordered as a row-by-row scan first meets them.
     """
-    runs = pixel_runs(mask.filter(F.col("label") != 0), group)
-    found = roots(run_edges(runs, group), group)
-    return runs.join(found, [*group, "node"], "left").select(
+    kept = mask.filter(F.col("label") != 0)
+    ensure_checkpoint_dir(mask.sparkSession)
+    runs = run_table(kept, group).checkpoint()
+    found = roots(contracted(run_edges(runs, group), group), group)
+    # Pixels are met again only here, to name their runs.
+    return pixel_runs(kept, group).join(found, [*group, "node"], "left").select(
         *mask.columns, F.coalesce("root", "node").alias("component")
     )
 
