@@ -66,17 +66,19 @@ def needs_download(
     )
 
 
-def incomplete_outputs(tiles: DataFrame, files: DataFrame, min_mb: float = 120.0, include_missing: bool = True) -> DataFrame:
-    """Class of each tile's output: ``missing``, ``small`` or ``kept``, and whether it should run again."""
+def incomplete_outputs(tiles: DataFrame, files: DataFrame, min_mb: float = 120.0, include_missing: bool = True,
+                       key: Sequence[str] = ("tile",)) -> DataFrame:
+    """Class of each tile's output (or of each ``key``, such as tile and month): ``missing``, ``small`` or ``kept``, and
+    whether it should run again."""
     limit = int(round(min_mb * 1024 * 1024))
-    sized = files.groupBy("tile").agg(F.max("length").alias("bytes"))
-    rows = tiles.select("tile").distinct().join(sized, "tile", "left")
+    sized = files.groupBy(*key).agg(F.max("length").alias("bytes"))
+    rows = tiles.select(*key).distinct().join(sized, list(key), "left")
     kind = F.when(F.col("bytes").isNull(), "missing").when(F.col("bytes") < limit, "small").otherwise("kept")
     rows = rows.withColumn("kind", kind)
     again = F.col("kind") == "small"
     if include_missing:
         again = again | (F.col("kind") == "missing")
-    return rows.select("tile", F.coalesce("bytes", F.lit(0).cast("bigint")).alias("bytes"), "kind", again.alias("rerun"))
+    return rows.select(*key, F.coalesce("bytes", F.lit(0).cast("bigint")).alias("bytes"), "kind", again.alias("rerun"))
 
 
 def dedupe_keep_first(rows: DataFrame, key: Sequence[str] = ("tile",), order: str = "position") -> DataFrame:
@@ -195,8 +197,13 @@ def shared_records(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     return a.select(*key).intersect(b.select(*key))
 
 
+def months_present(files: DataFrame, months: DataFrame) -> DataFrame:
+    """``months`` (year, month) with ``present``: whether any tile has a date in the month. Files meet it as months."""
+    seen = files.select(F.year("date").alias("year"), F.month("date").alias("month")).distinct().withColumn("present", F.lit(True))
+    return months.join(seen, ["year", "month"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
 def month_present(files: DataFrame, year: int, month: int) -> bool:
     """Whether any tile has a date in the month; stops at the first hit."""
     hit = files.filter((F.year("date") == year) & (F.month("date") == month))
     return not hit.select(F.lit(1)).limit(1).isEmpty()
-

@@ -221,11 +221,14 @@ def needs_download(spark, sf):
 
 
 @plan("incomplete_outputs", R.sql("bandfiles custtiles", """
-SELECT c.tile, coalesce(f.length, 0)::BIGINT AS bytes, CASE WHEN f.tile IS NULL THEN 'missing' WHEN f.length < 198 * 1048576 THEN 'small' ELSE 'kept' END AS kind,
-  (f.tile IS NULL OR f.length < 198 * 1048576)::INT AS rerun FROM custtiles c LEFT JOIN (SELECT tile, max(length) AS length FROM bandfiles WHERE month(date) = 3 GROUP BY tile) f USING (tile)"""))
+SELECT c.tile, m.month::INT AS month, coalesce(f.length, 0)::BIGINT AS bytes, CASE WHEN f.tile IS NULL THEN 'missing' WHEN f.length < 198 * 1048576 THEN 'small' ELSE 'kept' END AS kind,
+  (f.tile IS NULL OR f.length < 198 * 1048576)::INT AS rerun FROM custtiles c JOIN range(1, 13) m(month) ON true
+  LEFT JOIN (SELECT tile, month(date) AS month, max(length) AS length FROM bandfiles GROUP BY ALL) f ON f.tile = c.tile AND f.month = m.month"""))
 def incomplete_outputs(spark, sf):
-    files = _band_files(spark, sf).filter(F.month("date") == 3)
-    return audit.incomplete_outputs(_cust_tiles(spark, sf), files, 198.0).withColumn("rerun", bit("rerun"))
+    """Every tile in every month of the year."""
+    files = _band_files(spark, sf).withColumn("month", F.month("date"))
+    wanted = _cust_tiles(spark, sf).select("tile", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    return audit.incomplete_outputs(wanted, files, 198.0, key=("tile", "month")).withColumn("rerun", bit("rerun"))
 
 
 @plan("run_progress", """
@@ -285,10 +288,11 @@ def split_audit(spark, sf):
 
 
 @plan("shared_records", R.sql("predictions", """
-SELECT tile, crop, pred_start_doy FROM predictions WHERE year = 1996 INTERSECT SELECT tile, crop, pred_start_doy FROM predictions WHERE year = 1997"""))
+SELECT year, tile, crop, pred_start_doy FROM predictions INTERSECT SELECT year - 1, tile, crop, pred_start_doy FROM predictions"""))
 def shared_records(spark, sf):
+    """Records of every year that come back in the next one."""
     p = R.predictions(spark, sf)
-    return audit.shared_records(p.filter("year = 1996"), p.filter("year = 1997"), ("tile", "crop", "pred_start_doy"))
+    return audit.shared_records(p, p.withColumn("year", F.col("year") - 1), ("year", "tile", "crop", "pred_start_doy"))
 
 
 @plan("dedupe_keep_first", "SELECT l_suppkey AS tile, (list(l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey))[1] AS l_partkey FROM lineitem GROUP BY l_suppkey")
@@ -311,10 +315,29 @@ def _out_paths(spark, sf):
 
 
 @plan("existing_outputs", R.sql("outpaths custtiles", """
-SELECT c.tile, coalesce(p.path, '') AS path, coalesce(p.d::VARCHAR, '') AS date FROM custtiles c LEFT JOIN (SELECT * FROM outpaths WHERE o_orderkey % 3 = 1) p USING (tile)"""))
+SELECT 'all' AS policy, c.tile, coalesce(p.path, '') AS path, coalesce(p.d::VARCHAR, '') AS date FROM custtiles c LEFT JOIN (SELECT * FROM outpaths WHERE o_orderkey % 3 = 1) p USING (tile)
+UNION ALL
+SELECT 'latest', c.tile, coalesce(p.path, ''), CASE WHEN p.path IS NULL OR split_part(c.tile, '_', 1)::INT % 4 = 3 THEN '' ELSE (DATE '2024-01-01' + (length(c.tile) * 40 + split_part(c.tile, '_', 1)::INT)::INT)::VARCHAR END
+FROM custtiles c LEFT JOIN (SELECT * FROM outpaths WHERE o_orderkey % 3 = 0) p USING (tile)"""))
 def existing_outputs(spark, sf):
-    out = audit.existing_outputs(_cust_tiles(spark, sf).select("tile"), _out_paths(spark, sf).select("path"), "all")
-    return out.select("tile", F.coalesce("path", F.lit("")).alias("path"), day("date").alias("date"))
+    """Dated names under one policy; under the other, dates from sidecar documents, of which every fourth is damaged."""
+    from fieldtide.sources.tables import read_sidecars
+
+    tiles, paths = _cust_tiles(spark, sf).select("tile"), _out_paths(spark, sf).select("path")
+    i = T.tile_i(F.col("tile"))
+    used = F.date_add(F.lit("2024-01-01").cast("date"), F.length("tile") * 40 + i)
+    # A folder a column of tiles, one array of documents in each; folders of dated outputs lie beside them.
+    doc = F.struct(F.col("tile").alias("meta_patch"), F.date_format(used, "yyyy-MM-dd").alias("date"))
+    held = tiles.groupBy(i.alias("i")).agg(F.to_json(F.collect_list(doc)).alias("value"))
+    held = held.withColumn("value", F.when(F.col("i") % 4 == 3, F.substring("value", 1, 20)).otherwise(F.col("value")))
+    root = _folder(spark) + "/sidecars"
+    for kind, text in (("plain", F.col("value")), ("dated", F.regexp_replace("value", "2024-", "1999-"))):
+        held.select(F.concat(F.lit(kind + "_"), F.col("i").cast("string")).alias("name"), text.alias("value")).write.mode("append").partitionBy("name").text(root)
+    notes = read_sidecars(spark, root, "*.txt", dateless=r"/name=plain_\d+()/")
+    parts = [("all", None), ("latest", notes)]
+    out = [audit.existing_outputs(tiles, paths, policy, side).withColumn("policy", F.lit(policy)) for policy, side in parts]
+    out = out[0].unionByName(out[1])
+    return out.select("policy", "tile", F.coalesce("path", F.lit("")).alias("path"), day("date").alias("date"))
 
 
 @plan("date_from_output_name", R.sql("outpaths", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN d::VARCHAR ELSE '' END AS date FROM outpaths"))
@@ -470,10 +493,14 @@ def select_tiles(spark, sf):
 
 
 @plan("month_present", """
-SELECT strftime(o_orderdate, '%Y-%m') AS month, 1 AS present FROM orders GROUP BY 1""")
+WITH m AS (SELECT DISTINCT year(o_orderdate)::INT + y.k::INT AS year, x.month::INT AS month FROM orders, range(-1, 2) y(k), range(1, 13) x(month))
+SELECT m.year, m.month, EXISTS (SELECT 1 FROM orders WHERE year(o_orderdate) = m.year AND month(o_orderdate) = m.month)::INT AS present FROM m""")
 def month_present(spark, sf):
-    o = R.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"))
-    return o.groupBy(D.month_tag(F.year("d"), F.month("d")).alias("month")).agg(F.lit(1).alias("present"))
+    """Months of the years that have files and of those around them."""
+    files = R.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"))
+    year = F.explode(F.sequence(F.year("date") - 1, F.year("date") + 1)).alias("year")
+    months = files.select(year).distinct().select("year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    return audit.months_present(files, months).withColumn("present", bit("present"))
 
 
 @plan("bbox_corners", R.sql("tiles", """
@@ -564,21 +591,34 @@ def _event_stream(spark, sf):
 @plan("latest_job_state", """
 SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at, (list(event_id ORDER BY ts DESC, event_id DESC))[1] AS job_id, (list(event_type ORDER BY ts DESC, event_id DESC))[1] AS state FROM events GROUP BY user_id""")
 def latest_job_state(spark, sf):
+    """Events come out of order, a file a micro-batch; the state is read from the stream's sink."""
     from fieldtide.streaming import ingest
 
-    jobs = _event_stream(spark, sf).select("user_id", "ts", "event_id", F.col("event_type").alias("state"))
-    base = _folder(spark)
-    out = ingest.latest_job_state(ingest.land(jobs, base + "/jobs", base + "/ckpt"), "user_id", "ts", "event_id")
+    base, events = _folder(spark), R.table(spark, sf, "events")
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(base + "/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    jobs = stream.select("user_id", "ts", "event_id", F.col("event_type").alias("state"))
+    out = ingest.keep_latest(ingest.latest_job_state(jobs, "user_id", "ts", "event_id"), base + "/jobs", base + "/ckpt", "user_id")
     return out.select("user_id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "job_id", "state")
 
 
-@plan("rolling_coverage", "SELECT ts::DATE::VARCHAR AS date, count(*) AS scenes FROM events GROUP BY 1")
+@plan("rolling_coverage", """
+SELECT ts::DATE::VARCHAR AS date, count(DISTINCT user_id) AS tiles, count(*) AS scenes FROM events
+WHERE ts::DATE + 1 <= (SELECT max(ts) FROM events) - INTERVAL 5 DAY GROUP BY ts::DATE""")
 def rolling_coverage(spark, sf):
+    """Four files in the order of time, then the first days again, too late to count. Days that may still change are open."""
     from fieldtide.streaming import ingest
 
     base = _folder(spark)
-    landed = ingest.land(_event_stream(spark, sf).select("ts", "user_id"), base + "/scenes", base + "/ckpt")
-    return ingest.rolling_coverage(landed, tile="user_id").select(day("date").alias("date"), "scenes")
+    events = R.table(spark, sf, "events").select("ts", "user_id")
+    part = F.floor((F.dayofmonth("ts") - 1) / 8)
+    parts = [events.filter(part == k) for k in range(4)]
+    late = parts[0].withColumn("user_id", F.col("user_id") + 1_000_000)
+    for rows in (*parts, late):
+        rows.coalesce(1).write.mode("append").parquet(base + "/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    out = ingest.land(ingest.rolling_coverage(stream, tile="user_id", exact=True), base + "/days", base + "/ckpt")
+    return out.select(day("date").alias("date"), "tiles", "scenes")
 
 
 @plan("exact_coverage", "SELECT ts::DATE::VARCHAR AS date, count(DISTINCT user_id) AS tiles FROM events GROUP BY 1")

@@ -136,9 +136,9 @@ def channel_stats(spark, sf):
 
 
 @plan("stack_bands", R.sql("px", """
-SELECT f.tile, f.date::VARCHAR AS date, f.row, f.col, f.B4, c.B11
-FROM px f JOIN (SELECT tile, date, row // 2 AS r, col // 2 AS c, B11 FROM px WHERE row % 2 = 0 AND col % 2 = 0) c
-  ON f.tile = c.tile AND f.date = c.date AND f.row // 2 = c.r AND f.col // 2 = c.c"""))
+, fine AS MATERIALIZED (SELECT tile, date, row, col, row // 2 AS r, col // 2 AS c, B4 FROM px),
+coarse AS MATERIALIZED (SELECT tile, date, row // 2 AS r, col // 2 AS c, B11 FROM px WHERE row % 2 = 0 AND col % 2 = 0)
+SELECT tile, f.date::VARCHAR AS date, row, col, B4, B11 FROM fine f JOIN coarse USING (tile, date, r, c)"""))
 def stack_bands(spark, sf):
     px = R.pixels(spark, sf, ("B4", "B11"))
     coarse = px.filter("row % 2 = 0 and col % 2 = 0").select(
@@ -279,12 +279,16 @@ def retile_report(spark, sf):
 
 
 @plan("run_report", R.sql("cellreport", """
+, marked AS (SELECT date, CASE WHEN source_pixels % 7 = 3 THEN 'failed' ELSE status END AS status FROM cellreport)
 SELECT date::VARCHAR AS date, count(*) FILTER (WHERE status = 'wrote') AS wrote, count(*) FILTER (WHERE status = 'skipped') AS skipped,
-  count(*) FILTER (WHERE status = 'empty') AS empty, 0 AS failed FROM cellreport GROUP BY cellreport.date"""))
+  count(*) FILTER (WHERE status = 'empty') AS empty, count(*) FILTER (WHERE status = 'failed') AS failed FROM marked GROUP BY marked.date"""))
 def run_report(spark, sf):
+    """Some cells count as failed, by their number of source pixels."""
     from fieldtide.sources.sinks import run_report as report
 
-    return report(_retiled(spark, sf)[1], {}, ("date",)).withColumn("date", day("date"))
+    cells = _retiled(spark, sf)[1]
+    cells = cells.withColumn("status", F.when(F.col("source_pixels") % 7 == 3, "failed").otherwise(F.col("status")))
+    return report(cells, {}, ("date",)).withColumn("date", day("date"))
 
 
 @plan("retile_bands", R.sql("incell", """
@@ -550,11 +554,12 @@ def farms(spark, sf):
 v AS (SELECT k.tile, c.crop, k.farm_id, p.date, p.B2 / 10000::DOUBLE AS b, p.B4 / 10000::DOUBLE AS r, p.B8 / 10000::DOUBLE AS n, p.B11 / 10000::DOUBLE AS s
   FROM kept k JOIN comp m ON m.tile = k.tile AND m.label = k.label AND m.root = k.root JOIN px p ON p.tile = m.tile AND p.row = m.row AND p.col = m.col JOIN crops c ON c.label = k.label)
 SELECT tile, crop, farm_id, date::VARCHAR AS date, round(avg(greatest(least((n - r) / (n + r + 1e-10), 1), -1)), 6) AS ndvi,
-  round(avg(greatest(least((n - s) / (n + s + 1e-10), 1), -1)), 6) AS ndwi FROM v GROUP BY tile, crop, farm_id, v.date"""))
+  round(avg(greatest(least((n - s) / (n + s + 1e-10), 1), -1)), 6) AS ndwi,
+  round(avg(greatest(least(2.5::DOUBLE * (n - r) / (n + 6 * r - 7.5::DOUBLE * b + 1 + 1e-10::DOUBLE), 1), -1)), 6) AS evi FROM v GROUP BY tile, crop, farm_id, v.date"""))
 def farm_date_means(spark, sf):
     c, found = _farms(spark, sf)
     out = O.farm_date_means(R.pixels(spark, sf), components.farm_pixels(c, found, R.crops(spark)))
-    return out.select("tile", "crop", "farm_id", day("date").alias("date"), r6("ndvi").alias("ndvi"), r6("ndwi").alias("ndwi"))
+    return out.select("tile", "crop", "farm_id", day("date").alias("date"), *[r6(c).alias(c) for c in ("ndvi", "ndwi", "evi")])
 
 
 # ---------------------------------------------------------------- models

@@ -61,6 +61,7 @@ def write_season_summary(timeline: DataFrame, path: str, overwrite: bool = False
 
 
 def farm_summary_rows(summary: DataFrame) -> DataFrame:
+    """Summaries in the file layout, all as text, nulls empty; a year stays in front."""
     source = {
         "Crop": "crop", "FarmID": "farm_id", "HarvestStart": "harvest_start", "HarvestEnd": "harvest_end",
         "GreenupStart": "greenup_start", "EstimatedSeedingDate": "estimated_seeding_date",
@@ -71,11 +72,13 @@ def farm_summary_rows(summary: DataFrame) -> DataFrame:
         (_text(source[c]) if c in source else _text("source_csv") if "source_csv" in summary.columns else F.lit("")).alias(c)
         for c in C.FARM_SUMMARY_COLUMNS
     ]
-    return summary.select(*cols)
+    return summary.select(*[c for c in ("year",) if c in summary.columns], *cols)
 
 
 def write_farm_summary(summary: DataFrame, path: str, overwrite: bool = False) -> None:
-    farm_summary_rows(summary).orderBy("Crop", "FarmID").write.mode(_mode(overwrite)).option("header", True).csv(path)
+    rows = farm_summary_rows(summary)
+    order = [c for c in ("year", "Crop", "FarmID") if c in rows.columns]
+    rows.orderBy(*order).write.mode(_mode(overwrite)).option("header", True).csv(path)
 
 
 def write_harvest_report(result: DataFrame, path: str, overwrite: bool = False) -> None:

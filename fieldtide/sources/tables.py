@@ -92,6 +92,24 @@ def scenes_with_raster(scenes: DataFrame, files: DataFrame, suffix: str = "_3B_A
     return scenes.join(named.filter(F.col("id") != ""), "id")
 
 
+def read_sidecars(spark: SparkSession, root: str, glob: str = "*.json", dateless: str = r"/(\d+_\d+)\.meta\.json$") -> DataFrame:
+    """(tile, date) from the sidecar documents of outputs whose own name holds no date.
+
+    Only documents whose path matches ``dateless`` are wanted: the condition is on the path alone, so the others are left
+    out before they are opened. A document without ``meta_patch`` counts for the tile that the pattern's group finds in
+    its path; unreadable ones and those without a real date are left out.
+    """
+    schema = "meta_patch string, date string, _corrupt string"
+    docs = (
+        spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", "_corrupt").json(root)
+    )
+    path = F.col("_metadata.file_path")
+    docs = docs.filter(path.rlike(dateless)).select("*", F.nullif(F.regexp_extract(path, dateless, 1), F.lit("")).alias("_tile"))
+    rows = docs.filter(F.col("_corrupt").isNull()).select(F.coalesce(blank_to_null(F.col("meta_patch")), "_tile").alias("tile"), parse_date(F.col("date")).alias("date"))
+    return rows.filter(F.col("tile").isNotNull() & F.col("date").isNotNull())
+
+
 def read_season_summary(spark: SparkSession, path: str) -> DataFrame:
     """Typed season summary rows from the CSV twins; old header names are accepted, empty cells are null."""
     raw = spark.read.option("header", True).csv(path)

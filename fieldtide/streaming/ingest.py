@@ -23,14 +23,15 @@ def ingest_observations(
     )
 
 
-def rolling_coverage(scenes: DataFrame, late_days: int = 5, time: str = "ts", tile: str = "tile") -> DataFrame:
+def rolling_coverage(scenes: DataFrame, late_days: int = 5, time: str = "ts", tile: str = "tile", exact: bool = False) -> DataFrame:
     """Tiles seen per acquisition day; scenes up to ``late_days`` late are still counted.
 
-    Exact distinct counts are not available on streams, so the count is approximate.
+    The count of tiles is approximate; ``exact`` keeps the day's set of tiles in the state, which a tile grid bounds.
     """
+    tiles = F.size(F.collect_set(tile)).cast("bigint") if exact else F.approx_count_distinct(tile)
     return (
         scenes.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, f"{late_days} days").groupBy(F.window(time, "1 day").alias("day"))
-        .agg(F.approx_count_distinct(tile).alias("tiles"), F.count(F.lit(1)).alias("scenes"))
+        .agg(tiles.alias("tiles"), F.count(F.lit(1)).alias("scenes"))
         .select(F.col("day.start").cast("date").alias("date"), "tiles", "scenes")
     )
 
@@ -50,6 +51,26 @@ def latest_job_state(jobs: DataFrame, key: str = "job_key", updated: str = "upda
     return jobs.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
+def keep_latest(stream: DataFrame, target: str, checkpoint: str, key: str = "job_key") -> DataFrame:
+    """Run a keyed aggregate in update mode to its end, and return its newest row per key.
+
+    Every micro-batch replaces a folder of its own below ``target`` with the rows it changed, so a batch that is run again
+    after a failure leaves the same rows. The last batch of a key holds its state.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{target}/batch={batch}")
+
+    query = (
+        stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rows = stream.sparkSession.read.parquet(target).drop("batch")
+    rest = [c for c in stream.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(key, "_r.*")
+
+
 def land(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
     """Append everything the stream has now to a Parquet folder exactly once, and return the folder as a table.
 
