@@ -10,8 +10,11 @@ share a whole window only with suffixes of its own column; a round therefore kee
 belongs to the newest column and costs time linear in the strings. A window repeats when its suffix shares at least the
 window's length with a neighbour in that order.
 
-An anchor with more than ``most_strings`` strings is dealt out again, as single windows under their own hash, so that no
-task holds a large group. All rows count: nothing is capped or sampled.
+An anchor with many strings is dealt out again under a longer context: the anchor and the ``_CONTEXT`` bytes to its right,
+or to its left for windows that end before these. Each part is a collection of its own, built column-wise. What is still
+large there is dealt out by whole windows, which repeat if there are two of them. All rows count: nothing is capped or
+sampled. Strings and windows are taken for equal by 128 bits of their SHA-256, as texts are; inside a collection the
+construction compares their bytes.
 """
 
 from __future__ import annotations
@@ -25,11 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldtide.llm.windows import anchor_offsets, gram_hashes, runs
+from fieldtide.llm.windows import GRAM, anchor_offsets, runs
 from fieldtide.llm.work import byte_views, chunks, saved, text_key, unused
 
-_RUN = "key bigint, content bigint, text_id binary, start int, n int"
+_RUN = "key bigint, content binary, text_id binary, start int, n int"
 _CHUNK = 128 << 10
+_CONTEXT = 76  # of the 152 bytes of a window beside its anchor, one side has as many
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:16]
 
 
 def _text_runs(length: int):
@@ -38,10 +46,13 @@ def _text_runs(length: int):
             data, offsets = byte_views(batch.column("text"))
             ids = batch.column("text_id").cast(pa.binary())
             for lo, hi in chunks(offsets, _CHUNK):
-                r = runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
+                part = data[offsets[lo] : offsets[hi]]
+                r = runs(part, offsets[lo : hi + 1] - offsets[lo], length)
                 if r["n"].size:
+                    view, first = memoryview(part), r["at"]
+                    content = [_digest(view[a:b]) for a, b in zip(first.tolist(), (first + r["n"] + length - 1).tolist())]
                     yield pa.record_batch({
-                        "key": r["anchor"], "content": r["content"], "text_id": ids.take(pa.array(r["doc"] + lo)),
+                        "key": r["anchor"], "content": pa.array(content, pa.binary()), "text_id": ids.take(pa.array(r["doc"] + lo)),
                         "start": r["start"].astype(np.int32), "n": r["n"].astype(np.int32),
                     })
 
@@ -116,7 +127,7 @@ def _build(length: int, batch_strings: int):
                 found = repeated_windows([r[2] for r in rows], np.array([r[0] for r in rows]), counts, length, folder)
             spans = [_ranges(found[k, : counts[k]] | (r[4] > 1)) for k, r in enumerate(rows)]
             return pa.record_batch([
-                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
                 pa.array(spans, pa.list_(pa.int32())),
             ], names=["key", "content", "spans"])
 
@@ -138,29 +149,74 @@ def _build(length: int, batch_strings: int):
 
 
 def _cut(length: int):
-    """Bytes of each wanted run; of a hot run, the hash of each of its windows."""
+    """Bytes of each wanted run."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "content", "bytes", "n", "copies", "window", "at")}
+            out: list[tuple] = []
             for text, wanted in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("wanted").to_pylist()):
-                for w in wanted:
-                    raw = text[w["start"] : w["start"] + w["n"] + length - 1]
-                    if w["hot"]:
-                        hashes = gram_hashes(np.frombuffer(raw, np.uint8), [length])[length].view(np.int64)
-                        parts = [(None, int(h), k) for k, h in enumerate(hashes)]
-                    else:
-                        parts = [(raw, None, None)]
-                    for piece, window, at in parts:
-                        for k, v in zip(out, (w["key"], w["content"], piece, w["n"], w["copies"], window, at)):
-                            out[k].append(v)
-            if out["key"]:
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
+                out += [(w["key"], w["content"], text[w["start"] : w["start"] + w["n"] + length - 1], w["n"], w["copies"]) for w in wanted]
+            if out:
+                types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["key", "content", "bytes", "n", "copies"])
 
     return cut
 
 
+def _refine(length: int, whole: bool):
+    """The parts of a string: its windows with the context to the right of the anchor, and those with it to the left;
+    with ``whole`` every window by itself, without its bytes. ``at`` is a part's first window."""
+
+    def key_of(data: bytes) -> int:
+        return int.from_bytes(hashlib.sha256(data).digest()[16:24], "little", signed=True)
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strings, counts = batch.column("bytes").to_pylist(), batch.column("n").to_pylist()
+            out: list[tuple] = []
+            anchors = anchor_offsets(strings, length).tolist() if strings else []
+            for k, (raw, n, anchor) in enumerate(zip(strings, counts, anchors)):
+                if whole:
+                    parts = [(key_of(raw[a : a + length]), raw[a : a + length], a, 1) for a in range(n)]
+                else:
+                    turn = min(max(0, anchor - _CONTEXT), n)  # from here on the window holds the right context
+                    parts = [(key_of(b"l" + raw[anchor - _CONTEXT : anchor + GRAM]), raw[: turn + length - 1], 0, turn)] if turn else []
+                    if turn < n:
+                        parts.append((key_of(b"r" + raw[anchor : anchor + GRAM + _CONTEXT]), raw[turn : n + length - 1], turn, n - turn))
+                out += [(k, key, _digest(data), None if whole else data, at, size) for key, data, at, size in parts]
+            if out:
+                own, key, content, data, at, size = zip(*out)
+                own = pa.array(own)
+                yield pa.record_batch({
+                    "whole_key": batch.column("key").take(own), "whole": batch.column("content").take(own), "at": pa.array(at, pa.int32()),
+                    "key": pa.array(key, pa.int64()), "content": pa.array(content, pa.binary()), "bytes": pa.array(data, pa.binary()),
+                    "n": pa.array(size, pa.int32()), "copies": batch.column("copies").take(own)})
+
+    return refine
+
+
+def _collections(strings: DataFrame, length: int, most_strings: int, batch_strings: int, level: int = 0) -> DataFrame:
+    """(key, content, spans) of distinct strings (key, content, bytes, n, copies): the repeated windows of each."""
+    if level == 2:  # single windows
+        return strings.filter("copies > 1").select("key", "content", F.array(F.lit(0), F.lit(1)).alias("spans"))
+    large = strings.groupBy("key").agg(F.count(F.lit(1)).alias("strings")).filter(F.col("strings") > most_strings).select("key")
+    build = _build(length, batch_strings)
+    schema = "key bigint, content binary, spans array<int>"
+    columnwise = lambda rows: rows.repartition("key").sortWithinPartitions("key", "content").mapInArrow(build, schema).filter(F.size("spans") > 0)
+    if large.isEmpty():
+        return columnwise(strings)
+    fields = "whole_key bigint, whole binary, at int, key bigint, content binary, bytes binary, n int, copies bigint"
+    hot = strings.join(large, "key", "left_semi").select(*strings.columns).dropDuplicates(["key", "content"])
+    parts = saved(hot.mapInArrow(_refine(length, level == 1), fields), "parts")
+    below = parts.groupBy("key", "content").agg(F.sum("copies").alias("copies"), F.min("n").alias("n"), F.min("bytes").alias("bytes"))
+    below = saved(below.select("key", "content", "bytes", "n", "copies"), "strings")
+    found = parts.select("whole_key", "whole", "at", "key", "content").join(
+        _collections(below, length, most_strings, batch_strings, level + 1), ["key", "content"])
+    lifted = found.groupBy(F.col("whole_key").alias("key"), F.col("whole").alias("content")).agg(
+        F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("at")))).alias("spans"))
+    return columnwise(strings.join(large, "key", "left_anti").select(*strings.columns)).unionByName(lifted)
+
+
 def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 200,
                   most_strings: int = 32_768, batch_strings: int = 2_000) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): the texts with their ids, and per text the repeated windows as (start, spans) of its runs.
@@ -179,24 +235,17 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", l
         F.sum("copies").alias("copies"), F.min(F.struct("text_id", "start", "n")).alias("at")), "strings")
     groups = strings.groupBy("key").agg(F.count(F.lit(1)).alias("strings")).filter("strings > 1")
     lone = strings.filter("copies > 1").select("key", "content", F.array(F.lit(0), F.col("at.n")).alias("spans"))
-    shared = strings.join(groups, "key").select("key", "content", "copies", "at.*", (F.col("strings") > most_strings).alias("hot"))
+    shared = strings.join(groups, "key").select("key", "content", "copies", "at.*")
     # One row for each text that holds the first occurrence of a string: a text has boundedly many strings.
     first = texts.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"))
-    asked = shared.groupBy("text_id").agg(F.collect_list(F.struct("key", "content", "copies", "start", "n", "hot")).alias("wanted"))
+    asked = shared.groupBy("text_id").agg(F.collect_list(F.struct("key", "content", "copies", "start", "n")).alias("wanted"))
     asked = asked.join(first, "text_id").withColumnRenamed("doc_id", "first_id")
     here = (texts["text_id"] == asked["text_id"]) & texts["doc_id"].eqNullSafe(asked["first_id"])
     pieces = texts.join(asked, here).select("text", "wanted").mapInArrow(
-        _cut(length), "key bigint, content bigint, bytes binary, n int, copies bigint, window bigint, at int")
-    pieces = saved(pieces, "pieces")
-    cold = pieces.filter("window is null").select("key", "content", "bytes", "n", "copies")
-    built = cold.repartition("key").sortWithinPartitions("key", "content").mapInArrow(
-        _build(length, batch_strings), "key bigint, content bigint, spans array<int>")
-    # A hot anchor's windows are strings of their own, each alone under its hash: only its count can be above one.
-    hot = pieces.filter("window is not null").select("key", "content", "copies", "window", "at").distinct()
-    total = hot.groupBy("window").agg(F.sum("copies").alias("total")).filter("total > 1")
-    parts = hot.join(total, "window").groupBy("key", "content").agg(
-        F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("spans"))
-    spans = lone.join(groups, "key", "left_anti").unionByName(built.filter(F.size("spans") > 0)).unionByName(parts)
+        _cut(length), "key bigint, content binary, bytes binary, n int, copies bigint")
+    # Rows that repeat a document whole are read more than once; the construction passes over the second.
+    spans = _collections(saved(pieces, "pieces"), length, most_strings, batch_strings)
+    spans = lone.join(groups, "key", "left_anti").unionByName(spans)
     spans = wanted.join(spans, ["key", "content"]).groupBy("text_id").agg(
         F.collect_list(F.struct("start", "spans")).alias("runs"))
     return texts, spans

@@ -59,16 +59,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.nda
     """Runs of windows with one anchor in each document of ``data``; document d is ``data[offsets[d]:offsets[d + 1]]``.
 
     The anchor of a window is the leftmost of its smallest grams, so a run ends where that gram leaves the window even if
-    the same gram follows. Returns per run: doc, start (in the document), n (windows), anchor, content (hash of all bytes
-    of the run). A run is shorter than a window, so its first and last window cover it and stand for its content.
+    the same gram follows. Returns per run: doc, start (in the document), at (in ``data``), n (windows), anchor.
     """
     count = data.size - length + 1
-    out = {"doc": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "n": np.zeros(0, np.int64),
-           "anchor": np.zeros(0, np.int64), "content": np.zeros(0, np.int64)}
     if count <= 0:
-        return out
-    hashes = gram_hashes(data, [GRAM, length])
-    grams = _mix(hashes[GRAM])
+        return {name: np.zeros(0, np.int64) for name in ("doc", "start", "at", "n", "anchor")}
+    grams = _mix(gram_hashes(data, [GRAM])[GRAM])
     anchor = sliding_min(grams, length - GRAM + 1)
     # Windows that reach past their document are cut out, document by document.
     ends = np.maximum(offsets[1:] - length + 1, offsets[:-1])
@@ -84,12 +80,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.nda
     size = np.diff(np.append(first, count))
     keep = valid[first]
     first, size = first[keep], size[keep]
-    last = first + size - 1
-    whole = hashes[length]
-    content = _mix(whole[first] * np.uint64(0xD6E8FEB86659FD93) + _mix(whole[last] + size.astype(np.uint64)))
     owner = np.searchsorted(offsets, first, "right") - 1
-    return {"doc": owner, "start": first - offsets[owner], "n": size, "anchor": anchor[first].view(np.int64),
-            "content": content.view(np.int64)}
+    return {"doc": owner, "start": first - offsets[owner], "at": first, "n": size, "anchor": anchor[first].view(np.int64)}
 
 
 def anchor_offsets(strings: list[bytes], length: int) -> np.ndarray:
