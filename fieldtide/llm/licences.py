@@ -2,8 +2,10 @@
 
 A multinomial logistic regression over sparse word n-grams (one or two words) is trained on the driver, from notices
 below and a bounded sample of other paragraphs, and pruned to few hundred weights. Scoring uses DataFrame functions
-only, without a shuffle: paragraphs that hold no weighted word are unknown at once, of the others the n-grams are looked up.
-The least probability that counts as known is calibrated on paragraphs kept out of training.
+only; nothing but the found notices is shuffled. Paragraphs are blocks between blank lines. Of each line that holds a
+weighted word two readings are scored, the line alone and the lines around it joined, so that notices on one line and
+notices wrapped over several are both met. The least probability that counts as known is calibrated on paragraphs kept
+out of training. A prediction is confirmed when the template that fits best, of all families, is one of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +20,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Usual short notices of licence families, in plain text.
 NOTICES: dict[str, tuple[str, ...]] = {
+    "agpl": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -30,6 +37,10 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "Use of this source code is governed by a BSD-style license.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
+    "bsl-1.0": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -42,13 +53,24 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "isc": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ),
     "mit": (
@@ -60,6 +82,10 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "ofl-1.1": (
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "SPDX-License-Identifier: OFL-1.1",
+    ),
     "public-domain": (
         "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has waived all copyright under CC0 1.0.",
@@ -148,11 +174,10 @@ def train(other: list[str], seed: int = 3, rounds: int = 300, sparsity: float =
         w -= rate * (x[fit].T @ d)
         b -= rate * d.sum(axis=0)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * sparsity / len(families), 0)
-    # Calibration: the least chance at which no held-out unknown paragraph passes for a family, from 0.3 up.
-    p = chances(x[held])
-    top = p[:, 1:].max(axis=1)
-    wrong = top[(labels[held] == 0) | (p[:, 1:].argmax(axis=1) + 1 != labels[held])]
-    least = float(np.clip(wrong.max(initial=0.0) + 0.02, 0.3, 0.9))
+    # Calibration: the least chance at which no held-out unknown paragraph passes for a family, from 0.3 up. Which of two
+    # alike families a mutilated notice belongs to is left to the templates.
+    top = chances(x[held])[:, 1:].max(axis=1)
+    least = float(np.clip(top[labels[held] == 0].max(initial=0.0) + 0.02, 0.3, 0.9))
     used = np.flatnonzero(np.abs(w).sum(axis=1) > 0)
     return LicenceModel(families, {names[j]: [round(float(v), 6) for v in w[j]] for j in used}, [float(v) for v in b], least, telling)
 
@@ -172,45 +197,67 @@ def background_sample(docs: DataFrame, text: str = "text", most_rows: int = 300,
     texts = {(r["h"], r["n"]): r["t"] for r in rows.join(wanted, ["h", "n"]).groupBy("h", "n").agg(F.min("t").alias("t")).collect()}
     parts = []
     for h, n in chosen:
-        own = [p for p in re.split(r"[\r\n]+", texts[h, n]) if not re.search(r"licen[sc]e|copyright|creative commons|spdx", p, re.I)]
+        own = [p for p in re.split(_LINE, texts[h, n]) if p and not re.search(r"licen[sc]e|copyright|creative commons|spdx", p, re.I)]
         parts += sorted((xxhash.xxh64_intdigest(p.encode("utf-8", "ignore"), h & (1 << 64) - 1), p) for p in own)[:per_text]
     return [p for _, p in sorted(parts)[:most_paragraphs]]
 
 
+_BLANK = r"(?>\r\n|\r|\n)(?:[ \t]*(?>\r\n|\r|\n))+"  # atomic: a CR LF is one line end
+_LINE = r"\r\n|\r|\n"
+_BEFORE, _AFTER = 4, 8
+
+
 def scan(docs: DataFrame, model: LicenceModel, text: str = "text", doc_id: str = "doc_id", overlap: float = 0.5) -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity, confirmed) of every paragraph of a known family.
+    """(doc_id, paragraph, family, line, lines, probability, similarity, confirmed): the known families of every paragraph.
 
-    Paragraphs are numbered from 0 by line breaks. ``similarity`` is the largest share of a notice of that family, by
-    n-grams, that the paragraph holds; ``confirmed`` from ``overlap`` up. Null and empty texts have no paragraphs.
+    Paragraphs are numbered from 0, as are their lines; ``lines`` is how many were joined for the reading that fits best.
+    ``similarity`` is the largest share of a notice of the family, by n-grams, that this reading holds; ``confirmed`` from
+    ``overlap`` up, if no notice of another family is held to a larger share. Null and empty texts have no paragraphs;
+    rows that repeat a document whole give its notices once.
     """
     # Constant tables are single literals once folded, which keeps the plan small.
     strings = lambda names: F.split(F.lit("\t".join(names)), "\t")
     clean = lambda c: F.filter(F.transform(F.split(F.lower(c), _SPLIT), lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
-    # A text or paragraph without a hint is unknown: skipping it changes nothing.
+    # A text, paragraph or line without a hint is unknown: skipping it changes nothing.
     hinted = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), strings(model.hints))
     pieces = docs.filter(F.col(text).isNotNull() & hinted(F.col(text)))
-    pieces = pieces.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, r"[\r\n]+")).alias("paragraph", "body")).filter(hinted(F.col("body")))
+    pieces = pieces.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, _BLANK)).alias("paragraph", "block"))
+    pieces = pieces.filter(hinted(F.col("block"))).withColumn("all", F.split("block", _LINE))
+    pieces = pieces.select("doc_id", "copy", "paragraph", "all", F.posexplode("all").alias("line", "body")).filter(hinted(F.col("body")))
+    start = F.greatest(F.col("line") - _BEFORE, F.lit(0))
+    around = F.slice("all", start + 1, F.col("line") + _AFTER - start)
+    readings = F.array(
+        F.struct(F.col("line").alias("line"), F.lit(1).alias("lines"), F.col("body").alias("body")),
+        F.struct(start.alias("line"), F.size(around).alias("lines"), F.array_join(around, " ").alias("body")))
+    own = ("doc_id", "copy", "paragraph")
+    pieces = pieces.select(*own, F.inline(readings)).filter((F.col("lines") == 1) | (F.length("body") > 0))
+    keep = (*own, "line", "lines")
     # explode of a single array: a row as before, but later filters stay above it and compute nothing again.
     once = lambda c: F.explode(F.array(c))
-    pieces = pieces.select("doc_id", "paragraph", once(clean(F.col("body"))).alias("w"))
+    pieces = pieces.select(*keep, once(clean(F.col("body"))).alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
-    pieces = pieces.withColumn("g", F.array_distinct(F.concat("w", pairs)))
+    pieces = pieces.select(*keep, once(F.array_distinct(F.concat("w", pairs))).alias("g"))
     names = sorted(model.weights)
     # Places of the weighted n-grams, then one sum of weights per family.
     places = F.transform(F.array_intersect("g", strings(names)), lambda g: F.array_position(strings(names), g).cast("int") - 1)
-    scored = pieces.select("doc_id", "paragraph", "w", places.alias("at"))
     table = F.from_json(F.lit(json.dumps([model.weights[g] for g in names])), "array<array<double>>")
-    start = F.from_json(F.lit(json.dumps(model.intercepts)), "array<double>")
+    first = F.from_json(F.lit(json.dumps(model.intercepts)), "array<double>")
     added = lambda z, i: F.zip_with(z, F.get(table, i), lambda a, b: a + b)
-    scored = scored.select("doc_id", "paragraph", "w", once(F.aggregate("at", start, added)).alias("z"))
+    scored = pieces.select(*keep, "g", once(F.aggregate(places, first, added)).alias("z"))
     known = F.slice("z", 2, len(model.families) - 1)
-    total = lambda: F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max("z")))
+    total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max("z")))
     scored = scored.withColumns({
         "family": F.get(strings(model.families), F.array_position(known, F.array_max(known)).cast("int")),
-        "probability": F.exp(F.array_max(known) - F.array_max("z")) / total(), "above": F.array_max(known) > F.get("z", F.lit(0))})
+        "probability": F.exp(F.array_max(known) - F.array_max("z")) / total, "above": F.array_max(known) > F.get("z", F.lit(0))})
     scored = scored.filter((F.col("probability") >= model.least) & F.col("above"))
-    scored = scored.withColumn("held", F.concat("w", F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))))
-    share = lambda notice: F.size(F.array_intersect("held", strings(_grams(_words(notice))))) / float(len(_grams(_words(notice))))
-    similarity = F.coalesce(*(F.when(F.col("family") == f, F.greatest(*(share(n) for n in ns), F.lit(0.0))) for f, ns in sorted(NOTICES.items())))
-    scored = scored.withColumn("similarity", similarity)
-    return scored.select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= overlap).alias("confirmed"))
+    share = lambda notice: F.size(F.array_intersect("g", strings(_grams(_words(notice))))) / float(len(_grams(_words(notice))))
+    fits = F.array(*(F.struct(F.greatest(*(share(n) for n in ns), F.lit(0.0)).alias("similarity"), F.lit(f).alias("family")) for f, ns in sorted(NOTICES.items())))
+    scored = scored.select(*keep, "family", "probability", once(fits).alias("fits"))
+    similarity = F.get(F.filter("fits", lambda x: x["family"] == F.col("family")), F.lit(0))["similarity"]
+    best = F.array_max(F.transform("fits", lambda x: x["similarity"]))
+    scored = scored.withColumns({"similarity": similarity, "confirmed": (similarity >= overlap) & (similarity >= best)})
+    # The reading that fits best, of equal ones the shortest and first. A paragraph has few known families.
+    chosen = F.max(F.struct("confirmed", "similarity", (-F.col("lines")).alias("short"), (-F.col("line")).alias("early"), "probability")).alias("b")
+    found = scored.groupBy(*own, "family").agg(chosen)
+    return found.select("doc_id", "paragraph", "family", (-F.col("b.early")).alias("line"), (-F.col("b.short")).alias("lines"),
+                        F.col("b.probability").alias("probability"), F.col("b.similarity").alias("similarity"), F.col("b.confirmed").alias("confirmed"))

@@ -276,6 +276,6 @@ def test_licences(spark, docs, empty):
     texts = [(1, "Prose first.\nReleased under the MIT License.\nmore"), (2, "Licensed under CC BY-NC 4.0."), (3, "a license to kill"),
              (4, None), (5, ""), (None, "x\r\n\r\nThis work is licensed under the GNU General Public License, version 3.")]
     df = spark.createDataFrame([(*t, "clash") for t in texts], "doc_id bigint, text string, family string")
-    got = licences.scan(df, model).select("doc_id", "paragraph", "family", "confirmed").collect()
-    same(got, [(1, 1, "mit", True), (2, 0, "cc-by-nc", True), (None, 1, "gpl", True)])
+    got = licences.scan(df, model).select("doc_id", "paragraph", "line", "family", "confirmed").collect()
+    same(got, [(1, 0, 1, "mit", True), (2, 0, 0, "cc-by-nc", True), (None, 1, 0, "gpl", True)])
     assert licences.scan(empty, model).count() == 0 and licences.scan(docs, model).count() == 0
