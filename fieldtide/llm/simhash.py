@@ -52,7 +52,7 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > hashes.size, bitorder="little").tobytes(), "little")
 
 
-def _signed(x: int) -> int:
+def signed_code(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
-            codes = pa.array([_signed(fingerprint(t.as_py(), shingle)) for t in texts], pa.int64())
+            codes = pa.array([signed_code(fingerprint(t.as_py(), shingle)) for t in texts], pa.int64())
             yield pa.record_batch([batch.column("doc_id"), batch.column("text_id"), codes], names=["doc_id", "text_id", "fp"])
 
     return rows.mapInArrow(scan, f"doc_id {kind}, text_id binary, fp bigint")
@@ -170,7 +170,7 @@ def _link(distance: int):
 
 def linked(codes: DataFrame, distance: int = 2) -> DataFrame:
     """(node, root) of every code in ``fp`` (distinct) that has a link of at most ``distance`` differing bits."""
-    tops = F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("top"))
+    tops = F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(signed_code(m))).alias("top"))
                      for k, m in enumerate(_masks(distance))))
     filed = codes.select("fp", F.inline(tops)).select("part", "top", "fp")
     filed = filed.repartition("part", "top").sortWithinPartitions("part", "top", gray_rank(F.col("fp")))

@@ -20,13 +20,33 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, and a lost executor costs no earlier work."""
+    """``df`` written to the shared folder and read again: cuts the lineage, and a lost executor costs no earlier work.
+
+    The table stays until ``release`` is told that its readers have been written themselves.
+    """
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """Folders of the tables ``saved`` has written and not released."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Remove tables of ``saved`` that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(folder)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it (case aside)."""
     taken = {c.lower() for c in df.columns}
