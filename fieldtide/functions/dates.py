@@ -87,10 +87,6 @@ def max_doy_for_month(year: Column, month: Column) -> Column:
     return F.dayofyear(F.last_day(month_start(year, month)))
 
 
-def next_day(date: Column) -> Column:
-    return F.date_add(date, 1)
-
-
 def month_tag(year: Column, month: Column) -> Column:
     return F.format_string("%04d-%02d", year, month)
 

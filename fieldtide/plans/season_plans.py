@@ -234,17 +234,26 @@ def _timeline(spark, sf):
     return O.timeline_with_events(R.observations(spark, sf), _events(spark, sf), R.SERIES)
 
 
-@plan("season_timeline", R.sql("timeline", """
-SELECT year, tile, crop, date::VARCHAR AS date, round(coalesce(ndvi, -9), 6) AS ndvi, round(coalesce(evi, -9), 6) AS evi, harvest, seeding_event,
+@plan("season_timeline", R.sql("timeline seeding", """
+, t AS (SELECT timeline.*, s.offset_days, s.window_start, s.window_end FROM timeline LEFT JOIN seeding s USING (crop))
+SELECT year, tile, crop, date::VARCHAR AS date, round(coalesce(ndvi, -9), 6) AS ndvi, round(coalesce(ndwi, -9), 6) AS ndwi, round(coalesce(evi, -9), 6) AS evi, harvest, seeding_event,
   CASE WHEN harvest = 'Start' THEN rule ELSE '' END AS start_rule,
+  CASE WHEN harvest = 'Start' THEN coalesce(div_start, -1) ELSE -1 END::BIGINT AS div_start,
   CASE WHEN harvest = 'End' THEN coalesce(div_end, -1) ELSE -1 END::BIGINT AS div_end,
-  CASE WHEN seeding_event <> '' THEN greenup_source ELSE '' END AS greenup_source FROM timeline"""))
+  round(CASE WHEN harvest = 'Start' THEN coalesce(iou, -9) ELSE -9 END, 6) AS iou,
+  CASE WHEN seeding_event <> '' THEN greenup_source ELSE '' END AS greenup_source,
+  CASE WHEN seeding_event <> '' THEN greenup_rule ELSE '' END AS greenup_rule,
+  CASE WHEN seeding_event <> '' THEN coalesce(offset_days, -1) ELSE -1 END::BIGINT AS seeding_offset_days,
+  CASE WHEN seeding_event <> '' THEN coalesce(window_start, '') ELSE '' END AS seeding_window_start,
+  CASE WHEN seeding_event <> '' THEN coalesce(window_end, '') ELSE '' END AS seeding_window_end FROM t"""))
 def season_timeline(spark, sf):
     t = _timeline(spark, sf)
     miss = lambda c: r6(F.coalesce(c, F.lit(-9.0))).alias(c)
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return t.select(*R.SERIES, day("date").alias("date"), miss("ndvi"), miss("evi"), "harvest", "seeding_event",
-                    text("start_rule"), num("div_end").alias("div_end"), text("greenup_source"))
+    whole = lambda c: num(c).alias(c)
+    return t.select(*R.SERIES, day("date").alias("date"), miss("ndvi"), miss("ndwi"), miss("evi"), "harvest", "seeding_event",
+                    text("start_rule"), whole("div_start"), whole("div_end"), miss("iou"), text("greenup_source"), text("greenup_rule"),
+                    whole("seeding_offset_days"), text("seeding_window_start"), text("seeding_window_end"))
 
 
 @plan("farm_season_summary", R.sql("timeline", """

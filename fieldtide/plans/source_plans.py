@@ -9,7 +9,8 @@ from fieldtide.functions import dates as D, indices as X, text as T
 from fieldtide.operators import features, harvest, spatial
 from fieldtide.plans import relations as R
 from fieldtide.plans.operation_plans import _folder
-from fieldtide.plans.registry import bit, day, num, plan, r6
+from fieldtide.plans import harvest_plans, season_plans  # noqa: F401 (their SQL is used below)
+from fieldtide.plans.registry import SQL, day, num, plan, r6
 
 
 # ---------------------------------------------------------------- artifacts
@@ -22,8 +23,9 @@ FROM held p JOIN tiles t USING (tile) JOIN (SELECT year, count(*) AS n, count(DI
 def artifact_round_trip(spark, sf):
     """Two versions are published and a third fails its check; a reader sees the second."""
     from fieldtide.sources import artifacts
+    from fieldtide.sources.files import artifact_path
 
-    tiles, path = R.tiles(spark, sf), _folder(spark) + "/artifact"
+    tiles, path = R.tiles(spark, sf), artifact_path(_folder(spark), 2024, "monthly", "all_indices", "artifact")
     p = R.predictions(spark, sf).join(tiles.select("tile"), "tile", "left_semi")
     years = R.crops(spark).select("crop", F.array(F.lit(2019)).alias("train_years"), F.array(F.lit(2020)).alias("test_years"))
     document = lambda rows: harvest.artifact_metadata(rows, rows, tiles, years)
@@ -40,6 +42,61 @@ def artifact_round_trip(spark, sf):
                       r6("lon_min").alias("lon_min"), r6("lat_max").alias("lat_max"), "prediction_row_count", "tile_count")
 
 
+@plan("harvest_report_round_trip", SQL["harvest_report"])
+def harvest_report_round_trip(spark, sf):
+    """The report as a CSV file, read back."""
+    from fieldtide.plans.harvest_plans import harvest_by_crop
+    from fieldtide.sources.sinks import write_harvest_report
+
+    path = _folder(spark) + "/report"
+    write_harvest_report(harvest_by_crop(spark, sf), path)
+    out = spark.read.option("header", True).csv(path)
+    whole = {"Start DOY": "int", "End DOY": "int", "Tiles": "bigint", "Test MAE (days)": "double"}
+    return out.select(*[F.col(f"`{c}`").cast(whole.get(c, "string")).alias(c) for c in out.columns])
+
+
+@plan("farm_summary_round_trip", SQL["farm_summary_rows"])
+def farm_summary_round_trip(spark, sf):
+    """Summaries of all years as CSV files, read back; empty cells come back empty."""
+    from fieldtide.operators import observations as O
+    from fieldtide.plans.season_plans import _timeline
+    from fieldtide.sources.sinks import write_farm_summary
+
+    key, path = ("year", "crop", "farm_id"), _folder(spark) + "/farms"
+    write_farm_summary(O.farm_season_summary(O.row_numbers(_timeline(spark, sf).withColumn("farm_id", F.col("tile")), key), key), path)
+    out = spark.read.option("header", True).csv(path)
+    return out.select(F.col("year").cast("int").alias("year"), *[F.coalesce(c, F.lit("")).alias(c) for c in C.FARM_SUMMARY_COLUMNS])
+
+
+@plan("build_records_all", R.sql("flagged windows labelled", """
+, inside AS (SELECT year, tile, crop, date, round(ndvi, 4) AS ndvi, round(ndwi, 4) AS ndwi, round(evi, 4) AS evi FROM flagged LEFT JOIN windows USING (crop)
+  WHERE start_md IS NULL OR month(date) * 100 + day(date) BETWEEN replace(start_md, '-', '')::INT AND replace(end_md, '-', '')::INT),
+r AS (SELECT year, tile, crop, any_value(start_doy) AS start_doy, any_value(end_doy) AS end_doy, count(coalesce(ndvi, ndwi, evi)) AS n
+  FROM inside JOIN labelled USING (year, tile, crop) GROUP BY ALL
+  HAVING n >= 2 AND any_value(start_doy) IS NOT NULL AND any_value(end_doy) IS NOT NULL AND any_value(start_doy) <= any_value(end_doy)),
+b AS (SELECT year, tile, crop, least((dayofyear(date) - 1) // 5, 72)::INT AS bin, avg(ndvi) AS ndvi, avg(ndwi) AS ndwi, avg(evi) AS evi FROM inside GROUP BY ALL),
+long AS (SELECT year, tile, crop, bin, 0 AS channel, ndvi::FLOAT::DOUBLE AS v FROM b WHERE ndvi IS NOT NULL UNION ALL SELECT year, tile, crop, bin, 1, ndwi::FLOAT::DOUBLE FROM b WHERE ndwi IS NOT NULL
+  UNION ALL SELECT year, tile, crop, bin, 2, evi::FLOAT::DOUBLE FROM b WHERE evi IS NOT NULL),
+grid AS (SELECT r.*, channel, x.bin::INT AS bin FROM r, range(3) c(channel), range(73) x(bin))
+SELECT g.year, g.tile, g.crop, g.start_doy::INT AS start_doy, g.end_doy::INT AS end_doy, g.n::INT AS num_observations, g.channel::INT AS channel, g.bin,
+  round((CASE WHEN o.v IS NOT NULL THEN o.v WHEN l.bin IS NULL OR n.bin IS NULL THEN 0 ELSE (n.v - l.v) / (n.bin - l.bin) * (g.bin - l.bin) + l.v END::FLOAT)::DOUBLE, 6) AS value
+FROM grid g LEFT JOIN long o ON g.year = o.year AND g.tile = o.tile AND g.crop = o.crop AND g.channel = o.channel AND g.bin = o.bin
+ASOF LEFT JOIN long l ON g.year = l.year AND g.tile = l.tile AND g.crop = l.crop AND g.channel = l.channel AND g.bin >= l.bin
+ASOF LEFT JOIN long n ON g.year = n.year AND g.tile = n.tile AND g.crop = n.crop AND g.channel = n.channel AND g.bin <= n.bin
+UNION ALL
+SELECT r.year, r.tile, r.crop, r.start_doy::INT, r.end_doy::INT, r.n::INT, 3, x.bin::INT,
+  round(coalesce(((b.ndvi IS NOT NULL)::INT + (b.ndwi IS NOT NULL)::INT + (b.evi IS NOT NULL)::INT) / 3::DOUBLE, 0)::FLOAT::DOUBLE, 6)
+FROM r JOIN range(73) x(bin) ON true LEFT JOIN b ON b.year = r.year AND b.tile = r.tile AND b.crop = r.crop AND b.bin = x.bin"""))
+def build_records_all(spark, sf):
+    """Records of all three indices and the share of them that a bin has."""
+    from fieldtide.plans.season_plans import _flagged
+
+    out = features.build_records(_flagged(spark, sf), "all_indices", R.windows(spark), round4=True)
+    rows = out.select(*R.SERIES, "start_doy", "end_doy", "num_observations", F.posexplode("x").alias("channel", "_v"))
+    rows = rows.select(*R.SERIES, "start_doy", "end_doy", "num_observations", "channel", F.posexplode("_v").alias("bin", "_x"))
+    return rows.select(*R.SERIES, "start_doy", "end_doy", "num_observations", "channel", "bin", r6("_x").alias("value"))
+
+
 @plan("model_metrics", """
 SELECT p_type AS crop, 'all_indices' AS feature_set, round(avg(round(p_retailprice * 100)::BIGINT) / 100::DOUBLE, 1) AS test_mae_days, '2019' AS train_years, '2020,2021' AS test_years
 FROM part GROUP BY p_type""")

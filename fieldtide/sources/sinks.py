@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldtide import constants as C
-from fieldtide.operators.harvest import harvest_report
+from fieldtide.operators.harvest import harvest_report, sort_predictions
 
 
 def _mode(overwrite: bool) -> str:
@@ -17,7 +17,7 @@ def write_predictions(df: DataFrame, path: str, overwrite: bool = False) -> None
 
     The sort is a range partitioning, so the parts are globally ordered without one task holding everything.
     """
-    df.select(*C.PREDICTION_COLUMNS).orderBy("crop", "tile").write.mode(_mode(overwrite)).option("header", True).csv(path)
+    sort_predictions(df.select(*C.PREDICTION_COLUMNS)).write.mode(_mode(overwrite)).option("header", True).csv(path)
 
 
 def write_artifact_metadata(doc: DataFrame, path: str, bounds: DataFrame | None = None, overwrite: bool = False) -> None:
