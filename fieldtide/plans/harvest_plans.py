@@ -171,7 +171,9 @@ SELECT year, count(*)::BIGINT AS prediction_row_count, count(DISTINCT crop) AS c
   CASE WHEN count(*) FILTER (WHERE crop = 'Rice') > 0 THEN '1995,1996,1997' ELSE '1995,1996' END AS trained_years,
   CASE WHEN count(*) FILTER (WHERE crop IN ('Corn', 'Rice')) > 0 THEN '1998' ELSE '' END AS evaluated_years,
   count(*) FILTER (WHERE num_observations IS NOT NULL) AS input_record_count,
-  round(min(lon_min), 6) AS lon_min, round(max(lat_max), 6) AS lat_max
+  round(min(lon_min), 6) AS lon_min, round(min(lat_min), 6) AS lat_min, round(max(lon_max), 6) AS lon_max, round(max(lat_max), 6) AS lat_max,
+  'The selected model was trained on ' || CASE WHEN count(*) FILTER (WHERE crop = 'Rice') > 0 THEN '1995, 1996, 1997' ELSE '1995, 1996' END
+    || ' and evaluated on ' || CASE WHEN count(*) FILTER (WHERE crop IN ('Corn', 'Rice')) > 0 THEN '1998' ELSE '' END || '.' AS training_note
 FROM predictions p JOIN tiles t USING (tile) GROUP BY year"""))
 def artifact_metadata(spark, sf):
     p = R.predictions(spark, sf)
@@ -182,7 +184,7 @@ def artifact_metadata(spark, sf):
     return doc.select(
         "year", "prediction_row_count", "crop_count", "tile_count", F.array_join("crops", ",").alias("crops"),
         F.array_join("trained_years", ",").alias("trained_years"), F.array_join("evaluated_years", ",").alias("evaluated_years"),
-        "input_record_count", r6("supported_region.lon_min").alias("lon_min"), r6("supported_region.lat_max").alias("lat_max"))
+        "input_record_count", *[r6(f"supported_region.{c}").alias(c) for c in spatial.BOUNDS], "training_note")
 
 
 @plan("artifact_bounds", R.sql("predictions tiles", """

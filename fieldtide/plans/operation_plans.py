@@ -257,18 +257,25 @@ def interrupted_jobs(spark, sf):
 cells AS (SELECT b.request_id, c.i || '_' || c.j AS tile FROM boxes b JOIN (SELECT i, j, """ + R.cell_bounds_sql("i", "j") + """ FROM range(20) a(i), range(20) b(j)) c
   ON c.lon_min <= b.lon_max AND c.lon_max >= b.lon_min AND c.lat_min <= b.lat_max AND c.lat_max >= b.lat_min),
 n AS (SELECT request_id, count(*) AS cells, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM outs o WHERE o.tile = cells.tile)) AS lacking FROM cells GROUP BY ALL),
+m AS (SELECT DISTINCT b.request_id FROM boxes b JOIN (SELECT min(lon_min) AS lon_min, min(lat_min) AS lat_min, max(lon_max) AS lon_max, max(lat_max) AS lat_max
+  FROM tiles WHERE split_part(tile, '_', 1)::INT % 4 = 3 AND split_part(tile, '_', 2)::INT < 3 GROUP BY split_part(tile, '_', 1)) o
+  ON o.lon_min <= b.lon_max AND o.lon_max >= b.lon_min AND o.lat_min <= b.lat_max AND o.lat_max >= b.lat_min),
 h AS (SELECT b.request_id, count(DISTINCT o.tile) AS hits FROM boxes b JOIN outs o ON o.lon_min <= b.lon_max AND o.lon_max >= b.lon_min AND o.lat_min <= b.lat_max AND o.lat_max >= b.lat_min GROUP BY ALL)
 SELECT b.request_id, coalesce(n.cells, 0)::INT AS cells, coalesce(hits, 0)::INT AS outputs, coalesce(lacking, 0)::INT AS missing_cells,
-  CASE WHEN (coalesce(hits, 0) > 0 AND hits >= coalesce(n.cells, 0)) OR coalesce(lacking, 0) = 0 THEN 'ready'
+  CASE WHEN m.request_id IS NOT NULL OR (coalesce(hits, 0) > 0 AND hits >= coalesce(n.cells, 0)) OR coalesce(lacking, 0) = 0 THEN 'ready'
     WHEN b.request_id % 4 = 0 THEN 'attach' WHEN b.request_id % 4 = 1 THEN 'not_available' ELSE 'new' END AS decision
-FROM boxes b LEFT JOIN n USING (request_id) LEFT JOIN h USING (request_id)"""))
+FROM boxes b LEFT JOIN n USING (request_id) LEFT JOIN h USING (request_id) LEFT JOIN m USING (request_id)"""))
 def request_plan(spark, sf):
+    """Mosaics cover strips of the columns without outputs, near the lower edge."""
     boxes = R.boxes(spark, sf)
     outs = R.tiles(spark, sf).filter(T.tile_i(F.col("tile")) % 4 != 3)
     k = F.col("request_id")
     keyed = boxes.withColumn("job_key", F.concat(F.lit("k"), k.cast("string")))
     jobs = keyed.select("job_key", F.when(k % 4 == 0, "running").when(k % 4 == 1, "completed").when(k % 4 == 2, "failed").alias("state")).filter("state is not null")
-    return audit.request_plan(keyed, outs, jobs)
+    i, j = T.tile_i(F.col("tile")), T.tile_j(F.col("tile"))
+    strips = R.tiles(spark, sf).filter((i % 4 == 3) & (j < 3)).groupBy(i.cast("string").alias("tile")).agg(
+        *[F.min(c).alias(c) for c in ("lon_min", "lat_min")], *[F.max(c).alias(c) for c in ("lon_max", "lat_max")])
+    return audit.request_plan(keyed, outs, jobs, strips)
 
 
 @plan("split_audit", R.sql("predictions", """

@@ -135,6 +135,17 @@ def channel_stats(spark, sf):
     return out.select("tile", day("date").alias("date"), "channel", "min", "max", r6("mean").alias("mean"), "nonzero", "pixels", r6("signal_fraction").alias("signal_fraction"))
 
 
+@plan("scl_policies", R.sql("px", """
+SELECT tile, date::VARCHAR AS date, count(*) FILTER (WHERE scl NOT IN (3, 8, 9, 10, 11)) AS bad, count(*) FILTER (WHERE scl IN (4, 5, 6, 7)) AS keep,
+  count(*) FILTER (WHERE scl IN (4, 5, 7)) AS keep_land, count(*) FILTER (WHERE scl <> 6) AS not_water, count(*) FILTER (WHERE scl <= 7) AS cloud FROM px GROUP BY tile, px.date"""))
+def scl_policies(spark, sf):
+    """Usable pixels of an image under each mask policy."""
+    usable = lambda *a: F.count_if(X.scl_valid(F.col("scl"), *a))
+    out = R.pixels(spark, sf).groupBy("tile", "date").agg(
+        usable("bad").alias("bad"), usable("keep").alias("keep"), usable("keep", True).alias("keep_land"), usable("not_water").alias("not_water"), usable("cloud").alias("cloud"))
+    return out.withColumn("date", day("date"))
+
+
 @plan("stack_bands", R.sql("px", """
 , fine AS MATERIALIZED (SELECT tile, date, row, col, row // 2 AS r, col // 2 AS c, B4 FROM px),
 coarse AS MATERIALIZED (SELECT tile, date, row // 2 AS r, col // 2 AS c, B11 FROM px WHERE row % 2 = 0 AND col % 2 = 0)
@@ -325,6 +336,17 @@ def resample_bilinear(spark, sf):
     return out.withColumns({"B4": r6("B4"), "date": day("date")})
 
 
+@plan("resample_bilinear_down", R.sql("chips", """
+, p AS (SELECT r.t AS tr, c.t AS tc, (r.t + 0.5::DOUBLE) * 8::DOUBLE / 3::DOUBLE - 0.5::DOUBLE AS y, (c.t + 0.5::DOUBLE) * 8::DOUBLE / 5::DOUBLE - 0.5::DOUBLE AS x FROM range(3) r(t), range(5) c(t)),
+w AS (SELECT tile, date::VARCHAR AS date, tr::INT AS row, tc::INT AS col, B4, (1 - abs(y - row)) * (1 - abs(x - col)) AS w
+  FROM chips JOIN p ON row IN (floor(y), floor(y) + 1) AND col IN (floor(x), floor(x) + 1) WHERE (1 - abs(y - row)) * (1 - abs(x - col)) > 1e-12)
+SELECT tile, date, row, col, round(sum(w * B4) / sum(w), 6) AS B4 FROM w GROUP BY ALL"""))
+def resample_bilinear_down(spark, sf):
+    px = R.scenes_8bit(spark, sf, ("B4",))
+    out = Z.resample_bilinear(px, _image_sizes(spark, sf, target_height=3, target_width=5), ["B4"], IMAGE)
+    return out.withColumns({"B4": r6("B4"), "date": day("date")})
+
+
 @plan("block_average", R.sql("chips", """
 , w AS (SELECT tile, date::VARCHAR AS date, r.t::INT AS row, c.t::INT AS col, B4, (least((row + 1) * 3 / 8::DOUBLE, r.t + 1) - greatest(row * 3 / 8::DOUBLE, r.t)) * (least((col + 1) * 3 / 8::DOUBLE, c.t + 1) - greatest(col * 3 / 8::DOUBLE, c.t)) AS w
   FROM chips, range(3) r(t), range(3) c(t) WHERE least((row + 1) * 3 / 8::DOUBLE, r.t + 1) > greatest(row * 3 / 8::DOUBLE, r.t) AND least((col + 1) * 3 / 8::DOUBLE, c.t + 1) > greatest(col * 3 / 8::DOUBLE, c.t))
