@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldtide import constants as C
 from fieldtide.functions.dates import doy_to_date
 from fieldtide.operators import spatial, stats
 
