@@ -9,7 +9,6 @@ from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 import fieldtide

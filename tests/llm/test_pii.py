@@ -7,7 +7,6 @@ import re
 import numpy as np
 import pytest
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
 
 import fieldtide
 from fieldtide.llm import pii
