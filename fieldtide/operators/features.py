@@ -112,7 +112,8 @@ def lay_out(bins: Column, field: str, n_bins: int = C.NUM_BINS, between: bool =
         gap = line if between else zeros(after["bin"] - here["bin"] - 1)
         return F.when(after.isNull() | (after["bin"] == here["bin"] + 1), first).otherwise(F.concat(first, gap))
 
-    drawn = F.coalesce(F.flatten(F.transform(pairs, stretch)), F.array().cast("array<float>"))
+    # Without any value the one pair is empty and draws nothing.
+    drawn = F.flatten(F.transform(F.filter(pairs, lambda p: p["a"].isNotNull()), stretch))
     before = F.coalesce(F.try_element_at(seen, F.lit(1))["bin"], F.lit(n_bins))
     after = n_bins - 1 - F.coalesce(F.try_element_at(seen, F.lit(-1))["bin"], F.lit(n_bins - 1))
     return F.concat(zeros(before), drawn, zeros(after))

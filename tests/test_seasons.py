@@ -261,6 +261,14 @@ def test_records_match_numpy(spark):
         assert (r["start_doy"], r["end_doy"]) == (last("Start"), last("End"))
 
 
+def test_record_without_values_of_one_index(spark):
+    rows = [(2021, "0_0", "Corn", BASE + dt.timedelta(days=20 * k), .1 * k, None, None, "", k) for k in range(4)]
+    df = spark.createDataFrame(rows, "year int, tile string, crop string, date date, ndvi double, ndwi double, evi double, harvest string, row_no int")
+    x = features.build_records(df, labelled_only=False).first()["x"]
+    assert [len(c) for c in x] == [constants.NUM_BINS] * 4
+    assert set(x[1]) == set(x[2]) == {0.0}
+
+
 def test_feature_sets():
     with pytest.raises(ValueError):
         features.feature_names("other")
