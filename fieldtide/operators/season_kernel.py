@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from fieldtide import constants as C
 from fieldtide.functions.series import savgol_length, savgol_weights
 
-CELLS = 1 << 19
+CELLS = 1 << 17
 
 
 def snap(value: np.ndarray, digits: int = 9) -> np.ndarray:

@@ -20,6 +20,17 @@ from fieldtide.functions.series import snap, window_length, window_lengths
 from fieldtide.operators.season_kernel import detected_seasons
 
 ROUND = 9  # positions of extremes are picked on values rounded here, so last-bit noise cannot move them
+PART_ROWS = 1 << 17  # rows of whole series that a task holds at a time
+
+
+def by_series(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``rows`` hashed by ``key`` into parts of about ``PART_ROWS`` rows.
+
+    Their number follows the rows, so what a task sorts or gathers does not grow with the table. Windows and groupings
+    whose keys include ``key`` need no further exchange. The count of a scanned table is read off its footers.
+    """
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(least, -(-rows.count() // PART_ROWS)), *key)
 
 
 def unique_dates(obs: DataFrame, key: Sequence[str], values: Sequence[str], date: str = "date") -> DataFrame:

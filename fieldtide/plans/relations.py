@@ -90,16 +90,11 @@ FROM lineitem""")
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per year, tile, crop and date, with some missing values."""
-    li = table(spark, sf, "lineitem")
-    # Grouped on the short keys; names are made from the reduced rows.
-    g = li.groupBy("l_suppkey", "l_returnflag", F.to_date("l_shipdate").alias("date")).agg(
-        F.sum(_whole("l_discount")).alias("d"), F.sum(_whole("l_tax")).alias("t"),
-        F.sum(F.col("l_quantity").cast("bigint")).alias("q"), F.count(F.lit(1)).alias("c"),
-    ).select(
-        F.year("date").alias("year"), _tile_of(F.col("l_suppkey")).alias("tile"), _crop_of(F.col("l_returnflag")).alias("crop"),
-        "date", "d", "t", "q", "c",
-    )
+    """One row per year, tile, crop and date, with some missing values. The rows are hashed by year, tile and crop."""
+    from fieldtide.operators.seasons import by_series
+
+    g = by_series(lines(spark, sf), SERIES).groupBy(*SERIES, "date").agg(
+        F.sum("d").alias("d"), F.sum("t").alias("t"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("c"))
     part = lambda v, scale, mod, gap: F.when(F.col(v) % mod != gap, F.col(v).cast("double") / (F.col("c") * scale).cast("double"))
     return g.select(
         "year", "tile", "crop", "date", part("d", 10, 11, 3).alias("ndvi"), part("t", 8, 13, 5).alias("ndwi"),
@@ -227,7 +222,7 @@ FROM rising r JOIN seeding s USING (crop) GROUP BY ALL""")
 def long_observations(spark: SparkSession, sf: str) -> DataFrame:
     from fieldtide.operators.seasons import long_indices
 
-    return long_indices(observations(spark, sf), SERIES, ("ndvi", "ndwi", "evi"))
+    return long_indices(observations(spark, sf), SERIES, ("ndvi", "ndwi", "evi"), partition=False)
 
 
 def windows(spark: SparkSession) -> DataFrame:

@@ -30,6 +30,26 @@ def test_fill_gaps(spark):
     assert S.fill_gaps(series(spark, [None, None]), ["k"]).filter("filled is not null").isEmpty()
 
 
+def test_parts_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(600).selectExpr("cast(id % 40 as string) AS k", "date_add(DATE'2021-01-01', cast(id / 40 as int)) AS date", "double(id) AS y")
+    monkeypatch.setattr(S, "PART_ROWS", 20)
+    parts = S.by_series(rows, ["k"]).withColumn("p", F.spark_partition_id())
+    assert parts.rdd.getNumPartitions() == 30 and S.by_series(rows.limit(40), ["k"]).rdd.getNumPartitions() < 30
+    assert parts.groupBy("k").agg(F.count_distinct("p").alias("n")).filter("n > 1").isEmpty() and parts.count() == 600
+
+
+def test_series_plans_shuffle_once_into_small_parts(spark, monkeypatch):
+    from fieldtide.plans import relations as R, season_plans
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(S, "PART_ROWS", 100)
+    readings = R.lines(spark, sf).count()
+    for plan in (season_plans.gap_fill, season_plans.persistent_below, season_plans.bin_features, season_plans.interpolate_inside):
+        df = plan(spark, sf)
+        assert df._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+        assert df.rdd.getNumPartitions() == -(-readings // 100)
+
+
 def test_weights():
     assert np.allclose(np.array(A.savgol_weights(11, 3)[5]) * 429, [-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36])
     assert [A.savgol_length(n) for n in (1, 2, 3, 4, 5, 6, 9, 10, 11, 40)] == [1, 1, 3, 3, 5, 5, 9, 9, 11, 11]
