@@ -197,6 +197,26 @@ def test_season_summary_files(spark, tmp_path):
     assert tables.typed_season_summary(old).first()["div_start"] == 3.0
 
 
+def test_artifact_round_trip_passes_over_the_readings_once(spark, monkeypatch):
+    from fieldtide.plans import relations as R, source_plans
+
+    sf, seen, real = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0), R.predictions
+
+    def counted(spark, sf):
+        rows = real(spark, sf)
+
+        def tick(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(tick, rows.schema)
+
+    monkeypatch.setattr(R, "predictions", counted)
+    assert source_plans.artifact_round_trip(spark, sf).count() > 0
+    assert seen.value == real(spark, sf).count()
+
+
 def test_season_summary_files_do_not_follow_the_tiles(spark, tmp_path):
     t = spark.range(400).selectExpr("cast(2020 + id % 2 as int) AS year", "concat(id, '_0') AS tile", "'Corn' AS crop", "DATE'2021-01-01' AS date", *[
         f"cast(null as {kind}) AS {c}" for c, kind in (("ndvi", "double"), ("ndwi", "double"), ("evi", "double"), ("harvest", "string"), ("start_rule", "string"),
