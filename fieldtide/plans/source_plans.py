@@ -64,7 +64,8 @@ def farm_summary_round_trip(spark, sf):
     from fieldtide.plans.season_plans import _timeline
     from fieldtide.sources.sinks import write_farm_summary
 
-    key, path = ("year", "crop", "farm_id"), _folder(spark) + "/farms"
+    # The order of the key is that of the timeline's rows, which are not sorted again.
+    key, path = ("year", "farm_id", "crop"), _folder(spark) + "/farms"
     write_farm_summary(O.farm_season_summary(O.row_numbers(_timeline(spark, sf).withColumn("farm_id", F.col("tile")), key), key), path)
     out = spark.read.option("header", True).csv(path)
     return out.select(F.col("year").cast("int").alias("year"), *[F.coalesce(c, F.lit("")).alias(c) for c in C.FARM_SUMMARY_COLUMNS])

@@ -240,6 +240,23 @@ def test_farm_summary_and_reports(spark, tmp_path):
     sinks.write_run_report(rep, str(tmp_path / "r"), {})
 
 
+def test_farm_summary_runs_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    s = spark.range(400).repartition(4).selectExpr("cast(2020 + id % 2 as int) AS year", "'Corn' AS crop", "cast(id as string) AS farm_id", *[
+        f"cast(null as string) AS {c}" for c in ("harvest_start", "harvest_end", "greenup_start", "estimated_seeding_date", "seeding_source", "seeding_rule",
+                                                 "seeding_offset_days", "seeding_window_start", "seeding_window_end")])
+
+    def tick(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    sinks.write_farm_summary(s.mapInArrow(tick, s.schema), str(tmp_path / "f"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "f"))
+    assert back.count() == 400 and back.select("FarmID").distinct().count() == 400
+    assert seen.value == 400
+
+
 def test_pixel_tables(spark, tmp_path):
     rows = [("1_2", D(1), r, c, 5, None if r else 6, 4) for r in range(2) for c in range(2)] + [("1_2", D(2), 0, 0, 5, None, 4), ("3_4", D(1), 0, 0, 1, 1, 4)]
     px = spark.createDataFrame(rows, "tile string, date date, row int, col int, B4 int, B8 int, scl int")
