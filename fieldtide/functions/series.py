@@ -6,8 +6,6 @@ the season is gathered once, and everything after is a projection.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import Column, functions as F
 
@@ -20,7 +18,6 @@ def snap(value: Column, digits: int = 9) -> Column:
     return F.rint(value * scale) / scale
 
 
-@lru_cache(maxsize=None)
 def savgol_weights(window: int, poly: int) -> tuple[tuple[float, ...], ...]:
     """Row ``e`` holds the weights that evaluate the window's least-squares polynomial at position ``e``."""
     poly = min(poly, window - 1)

@@ -2,7 +2,10 @@
 
 import datetime as dt
 import json
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -21,6 +24,14 @@ cloudpickle.register_pickle_by_value(fieldtide)
 
 # ---------------------------------------------------------------- seasons
 
+def test_kernel_travels_without_the_package(tmp_path):
+    (tmp_path / "k.pkl").write_bytes(cloudpickle.dumps(K._kernel(["k"], ["y"], False, 11, 3, 11)))
+    load = "import sys; from pyspark import cloudpickle; cloudpickle.loads(open('k.pkl', 'rb').read()); print('fieldtide' in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", load], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "False", done.stderr[-400:]
+
+
 def seasons_of(rng, many):
     for k in range(many):
         n = rng.choice([1, 2, 3, 5, 8, 11, 12, 25, 60])
