@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fieldtide.functions.indices import round_half_even_ratio
 from fieldtide.session import ensure_checkpoint_dir
 
+RANGE_ROWS = 1 << 17  # distinct values of a range, which one task sorts
+
 
 def value_histogram(rows: DataFrame, key: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
     """Counts per key, measure and value. Nulls are left out.
@@ -63,10 +65,13 @@ def values_at_ranks(hist: DataFrame, key: Sequence[str], ranks: Mapping[str, Cal
     """One row per key of a histogram (key, value, freq): n, and per name of ``ranks`` the value at that zero-based rank.
 
     ``ranks`` maps a name to a function of the count n. Values may be of any ordered type. Their ranges over the tasks
-    follow a sample and are written to the checkpoint folder, so that both levels see the same ones. Null keys are keys.
+    follow a sample and are written to the checkpoint folder, so that both levels see the same ones; their number follows
+    the counted rows of the histogram, about ``RANGE_ROWS`` each. Null keys are keys.
     """
     ensure_checkpoint_dir(hist.sparkSession)
-    dealt = hist.repartitionByRange(*key, "value").withColumn("_part", F.spark_partition_id()).checkpoint()
+    hist = hist.checkpoint()
+    ranges = max(hist.sparkSession.sparkContext.defaultParallelism, -(-hist.count() // RANGE_ROWS))
+    dealt = hist.repartitionByRange(ranges, *key, "value").withColumn("_part", F.spark_partition_id()).checkpoint()
     parts = dealt.groupBy(*key, "_part").agg(F.sum("freq").alias("_held"))
     whole = W.partitionBy(*key)
     ahead = F.sum("_held").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
@@ -77,7 +82,8 @@ def values_at_ranks(hist: DataFrame, key: Sequence[str], ranks: Mapping[str, Cal
     wanted = wanted.filter(F.size("_asked") > 0)
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key], F.col("_part") == F.col("_at"))
     inside = W.partitionBy(*key, "_part").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = dealt.join(wanted, same).withColumn("_cum", F.sum("freq").over(inside) + F.col("_ahead"))
+    # The few wanted ranges are the hashed side, so that only rows of those ranges are ever sorted.
+    rows = dealt.join(wanted.hint("shuffle_hash"), same).withColumn("_cum", F.sum("freq").over(inside) + F.col("_ahead"))
     rows = rows.select(*key, "n", "value", "_cum", F.inline("_asked")).filter(F.col("_cum") > F.col("_rank"))
     found = rows.groupBy(*key, "n", "_name").agg(F.min("value").alias("value"))
     return found.groupBy(*key, "n").agg(*[F.min(F.when(F.col("_name") == name, F.col("value"))).alias(name) for name in ranks])

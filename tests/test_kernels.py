@@ -104,6 +104,17 @@ def test_percentiles_of_an_unbounded_column(spark):
         assert found == (len(values), *expected)
 
 
+def test_ranges_follow_the_rows_and_only_wanted_ones_are_sorted(spark, monkeypatch):
+    monkeypatch.setattr(stats, "RANGE_ROWS", 10, raising=False)
+    hist = spark.range(400).selectExpr("'a' AS k", "id * 3 AS value", "1L AS freq")
+    asked, real = [], type(hist).repartitionByRange
+    monkeypatch.setattr(type(hist), "repartitionByRange", lambda self, *a: asked.append(a[0]) or real(self, *a))
+    found = stats.values_at_ranks(hist, ["k"], {"mid": lambda n: F.floor(n / 2), "top": lambda n: n - 1})
+    assert asked == [max(40, spark.sparkContext.defaultParallelism)]
+    assert tuple(found.first()) == ("a", 400, 600, 1197)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_key_runs_in_many_tasks(spark):
     rows = spark.range(400_000).select(F.lit("k").alias("k"), F.xxhash64("id").alias("value"), F.lit(1).cast("bigint").alias("freq"))
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
