@@ -3,7 +3,7 @@ Burrows-Wheeler transform.
 
 Every text is cut into runs of windows (``windows.py``). Runs under an anchor of only one occurrence cannot repeat and go
 no further; equal runs are one string with a count. The other strings of an anchor are a small collection, aligned at
-the anchor. The transform of many collections is built together, column by column from the right: each round reads the
+the anchor; those without a stretch around it in common with another one share no window and are left out. The transform of many collections is built together, column by column from the right: each round reads the
 next symbol of every string from a sequential file of columns, inserts it in front of the string's suffix, and rewrites
 the file that holds the order of the suffixes with the common prefix of neighbours. Strings are aligned, so a suffix can
 share a whole window only with suffixes of its own column; a round therefore keeps the block of the transform that
@@ -26,13 +26,14 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from fieldtide.llm.windows import GRAM, anchor_offsets, runs
+from fieldtide.llm.windows import GRAM, anchor_offsets, runs, stretch_hashes
 from fieldtide.llm.work import byte_views, chunks, saved, text_key, unused
 
 _RUN = "key bigint, content binary, text_id binary, start int, n int"
-_CHUNK = 128 << 10
+_CHUNK = 32 << 10  # its hashes stay in cache
 _CONTEXT = 76  # of the 152 bytes of a window beside its anchor, one side has as many
 
 
@@ -45,16 +46,18 @@ def _text_runs(length: int):
         for batch in batches:
             data, offsets = byte_views(batch.column("text"))
             ids = batch.column("text_id").cast(pa.binary())
-            for lo, hi in chunks(offsets, _CHUNK):
+            for lo, hi in chunks(offsets, 8 * _CHUNK):
                 part = data[offsets[lo] : offsets[hi]]
-                r = runs(part, offsets[lo : hi + 1] - offsets[lo], length)
-                if r["n"].size:
-                    view, first = memoryview(part), r["at"]
-                    content = [_digest(view[a:b]) for a, b in zip(first.tolist(), (first + r["n"] + length - 1).tolist())]
-                    yield pa.record_batch({
-                        "key": r["anchor"], "content": pa.array(content, pa.binary()), "text_id": ids.take(pa.array(r["doc"] + lo)),
-                        "start": r["start"].astype(np.int32), "n": r["n"].astype(np.int32),
-                    })
+                own, found = offsets[lo : hi + 1] - offsets[lo], []
+                for a, b in chunks(own, _CHUNK):
+                    r = runs(part[own[a] : own[b]], own[a : b + 1] - own[a], length)
+                    found.append((r["anchor"], r["at"] + own[a], r["n"], r["start"], r["doc"] + lo + a))
+                anchor, first, n, start, doc = (np.concatenate(c) for c in zip(*found))
+                if n.size:
+                    view = memoryview(part)
+                    content = [_digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + length - 1).tolist())]
+                    yield pa.record_batch({"key": anchor, "content": pa.array(content, pa.binary()), "text_id": ids.take(pa.array(doc)),
+                                           "start": start.astype(np.int32), "n": n.astype(np.int32)})
 
     return scan
 
@@ -87,16 +90,19 @@ def repeated_windows(strings: list[bytes], group: np.ndarray, counts: np.ndarray
     rank = np.unique(group, return_inverse=True)[1]
     order = np.argsort(rank, kind="stable")
     block = rank[order] * 257
-    np.stack([order, np.zeros(many, np.int64)]).tofile(state)
     found = np.zeros((many, int(counts.max())), bool)
-    with columns.open("rb") as source:
+    # The state keeps its size and is written over in place: a file cut to nothing and written anew goes to disk each round.
+    with columns.open("rb", 0) as source, state.open("w+b", 0) as held:
+        held.write(np.stack([order, np.zeros(many, np.int64)]))
         for column in range(right + left):
-            symbols = np.fromfile(source, np.uint16, many)
-            order, common = np.fromfile(state, np.int64).reshape(2, many)
-            key = block + symbols[order]
+            symbols = np.frombuffer(source.read(2 * many), np.uint16)
+            held.seek(0)
+            order, common = np.frombuffer(held.read(16 * many), np.int64).reshape(2, many)
+            own = symbols[order]
+            key = block + own
             new = np.argsort(key, kind="stable")
             key = key[new]
-            same = np.flatnonzero((key[1:] == key[:-1]) & (symbols[order[new[1:]]] != 0)) + 1
+            same = np.flatnonzero((key[1:] == key[:-1]) & (own[new[1:]] != 0)) + 1
             longer = np.zeros(many + 1, np.int64)
             if same.size:
                 first, last = new[same - 1] + 1, new[same]
@@ -106,54 +112,111 @@ def repeated_windows(strings: list[bytes], group: np.ndarray, counts: np.ndarray
                     shared[far] = _range_minima(np.append(common, 0), first[far], last[far])
                 longer[same] = np.minimum(shared + 1, length)
             order = order[new]
-            np.stack([order, longer[:many]]).tofile(state)
-            start = anchors[order] + (right - 1 - column)
-            hit = (start >= 0) & (start < counts[order]) & (np.maximum(longer[:-1], longer[1:]) >= length)
-            found[order[hit], start[hit]] = True
+            held.seek(0)
+            held.write(np.stack([order, longer[:many]]))
+            far = np.flatnonzero(np.maximum(longer[:-1], longer[1:]) >= length)
+            if far.size:
+                here = order[far]
+                start = anchors[here] + (right - 1 - column)
+                hit = (start >= 0) & (start < counts[here])
+                found[here[hit], start[hit]] = True
     return found
 
 
-def _ranges(flags: np.ndarray) -> list[int]:
-    """Starts and ends of the runs of true flags, one after the other."""
-    steps = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return steps.tolist()
+def may_share(strings: list[bytes], group: np.ndarray, length: int, steps: int = 4) -> np.ndarray:
+    """Whether each string has a stretch around its anchor in common with another of its group that a shared window needs.
+
+    A window has 0 to ``length - GRAM`` bytes left of its anchor. Dealt to ``steps`` ranges of that number, all windows of
+    a range cover the bytes from the range's first number left of the anchor to those that its last number leaves on the
+    right. Strings that share a window share one of these stretches, so their hashes agree: no shared window is missed.
+    """
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    starts = np.cumsum(sizes) - sizes
+    anchors = anchor_offsets(strings, length)
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    bounds = np.linspace(0, length - GRAM + 1, steps + 1).astype(np.int64)
+    shared = np.zeros(sizes.size, bool)
+    for first, last in zip(bounds[:-1], bounds[1:]):
+        at, stretch = anchors - first, int(length - (last - 1 - first))
+        here = np.flatnonzero((at >= 0) & (at + stretch <= sizes) & (first < last))
+        key, own = stretch_hashes(data, starts[here] + at[here], stretch), group[here]
+        order = np.lexsort((key, own))
+        same = (key[order[1:]] == key[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+        shared[here[order[1:][same]]] = True
+        shared[here[order[:-1][same]]] = True
+    return shared
+
+
+def _ranges(flags: np.ndarray) -> pa.ListArray:
+    """Starts and ends of the runs of true flags of each row, one after the other."""
+    edges = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, at = np.nonzero(edges)
+    offsets = np.searchsorted(row, np.arange(flags.shape[0] + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at.astype(np.int32)))
 
 
 def _build(length: int, batch_strings: int):
+    """Only strings that ``may_share`` a window with another are built; those that do not have what their copies say."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(rows: list[tuple], found: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
+                                    _ranges(found)], names=["key", "content", "spans"])
+
         def solve(rows: list[tuple]) -> pa.RecordBatch:
             counts = np.array([r[3] for r in rows])
             with tempfile.TemporaryDirectory() as folder:
                 found = repeated_windows([r[2] for r in rows], np.array([r[0] for r in rows]), counts, length, folder)
-            spans = [_ranges(found[k, : counts[k]] | (r[4] > 1)) for k, r in enumerate(rows)]
-            return pa.record_batch([
-                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
-                pa.array(spans, pa.list_(pa.int32())),
-            ], names=["key", "content", "spans"])
+            whole = np.array([r[4] > 1 for r in rows])
+            found[whole] = np.arange(found.shape[1]) < counts[whole, None]
+            return result(rows, found)
+
+        def sift(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+            shared = may_share([r[2] for r in rows], np.array([r[0] for r in rows]), length)
+            return [r for r, s in zip(rows, shared) if s], [r for r, s in zip(rows, shared) if not s and r[4] > 1]
+
+        def alone(rows: list[tuple]) -> pa.RecordBatch:
+            return result(rows, np.arange(max(r[3] for r in rows)) < np.array([r[3] for r in rows])[:, None])
 
         rows: list[tuple] = []
+        held: list[tuple] = []  # whole groups of strings that are to be built
         seen: tuple | None = None
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "bytes", "n", "copies"))):
                 if seen == r[:2]:
                     continue  # the same text was read twice
                 if len(rows) >= batch_strings and r[0] != rows[-1][0]:
-                    yield solve(rows)
-                    rows = []
+                    some, rest = sift(rows)
+                    if rest:
+                        yield alone(rest)
+                    held, rows = held + some, []
+                    if len(held) >= batch_strings:
+                        yield solve(held)
+                        held = []
                 rows.append(r)
                 seen = r[:2]
         if rows:
-            yield solve(rows)
+            some, rest = sift(rows)
+            if rest:
+                yield alone(rest)
+            held += some
+        if held:
+            yield solve(held)
 
     return build
 
 
 def _cut(length: int):
-    """Bytes of each wanted run."""
+    """Bytes of each wanted run. Of copies of a text that come one after the other, the first is read."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: bytes | None = None
         for batch in batches:
             out: list[tuple] = []
+            ids = batch.column("text_id").to_pylist()
+            first = [k for k, key in enumerate(ids) if key != (ids[k - 1] if k else last)]
+            last = ids[-1] if ids else last
+            batch = batch.take(pa.array(first, pa.int64()))
             for text, wanted in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("wanted").to_pylist()):
                 out += [(w["key"], w["content"], text[w["start"] : w["start"] + w["n"] + length - 1], w["n"], w["copies"]) for w in wanted]
             if out:
@@ -217,19 +280,14 @@ def _collections(strings: DataFrame, length: int, most_strings: int, batch_strin
     return columnwise(strings.join(large, "key", "left_anti").select(*strings.columns)).unionByName(lifted)
 
 
-def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 200,
-                  most_strings: int = 32_768, batch_strings: int = 2_000) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): the texts with their ids, and per text the repeated windows as (start, spans) of its runs.
-
-    texts has text_id, doc_id, text for all rows of at least ``length`` bytes; of equal texts all rows are there, and
-    spans has one row for each distinct text.
-    """
-    texts = docs.select(text_key(F.col(text)).alias("text_id"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    texts = texts.filter(F.octet_length("text") >= length)
-    found = texts.select("text_id", "text").mapInArrow(_text_runs(length), _RUN)
-    again = found.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
-    same = found.join(again, "key", "left_semi").groupBy("key", "content", "text_id", "start", "n")
-    wanted = saved(same.agg(F.count(F.lit(1)).alias("copies")), "runs")
+def repeated_runs(docs: DataFrame, text: str = "text", length: int = 200, most_strings: int = 32_768,
+                  batch_strings: int = 2_000) -> DataFrame:
+    """(text_id, runs): for each distinct text with repeated windows, these as (start, spans) of its runs."""
+    texts = docs.select(text_key(F.col(text)).alias("text_id"), F.col(text).alias("text")).filter(F.octet_length("text") >= length)
+    found = texts.mapInArrow(_text_runs(length), _RUN)
+    # The texts are scanned once: runs are counted by anchor where they have been dealt out by it.
+    again = found.withColumn("rows", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("rows > 1")
+    wanted = saved(again.groupBy("key", "content", "text_id", "start", "n").agg(F.count(F.lit(1)).alias("copies")), "runs")
 
     strings = saved(wanted.groupBy("key", "content").agg(
         F.sum("copies").alias("copies"), F.min(F.struct("text_id", "start", "n")).alias("at")), "strings")
@@ -237,48 +295,63 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     lone = strings.filter("copies > 1").select("key", "content", F.array(F.lit(0), F.col("at.n")).alias("spans"))
     shared = strings.join(groups, "key").select("key", "content", "copies", "at.*")
     # One row for each text that holds the first occurrence of a string: a text has boundedly many strings.
-    first = texts.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"))
     asked = shared.groupBy("text_id").agg(F.collect_list(F.struct("key", "content", "copies", "start", "n")).alias("wanted"))
-    asked = asked.join(first, "text_id").withColumnRenamed("doc_id", "first_id")
-    here = (texts["text_id"] == asked["text_id"]) & texts["doc_id"].eqNullSafe(asked["first_id"])
-    pieces = texts.join(asked, here).select("text", "wanted").mapInArrow(
+    pieces = texts.join(asked, "text_id").select("text_id", "text", "wanted").mapInArrow(
         _cut(length), "key bigint, content binary, bytes binary, n int, copies bigint")
-    # Rows that repeat a document whole are read more than once; the construction passes over the second.
+    # Copies of a text may be read more than once; the construction passes over the second.
     spans = _collections(saved(pieces, "pieces"), length, most_strings, batch_strings)
     spans = lone.join(groups, "key", "left_anti").unionByName(spans)
-    spans = wanted.join(spans, ["key", "content"]).groupBy("text_id").agg(
-        F.collect_list(F.struct("start", "spans")).alias("runs"))
-    return texts, spans
+    return wanted.join(spans, ["key", "content"]).groupBy("text_id").agg(F.collect_list(F.struct("start", "spans")).alias("runs"))
 
 
-def _keep(length: int, with_text: bool):
-    """Bytes outside all repeated windows."""
+def _gone(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, runs: pa.StructArray, length: int) -> np.ndarray:
+    """Which bytes of ``data`` a repeated window covers; text t has ``counts[t]`` of the runs."""
+    spans, start = pc.struct_field(runs, "spans"), pc.struct_field(runs, "start").to_numpy(zero_copy_only=False).astype(np.int64)
+    start += np.repeat(offsets[:-1], counts)
+    each = np.repeat(start, pc.list_value_length(spans).to_numpy(zero_copy_only=False) // 2)
+    at = spans.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+    edges = np.zeros(data.size + 1, np.int32)
+    np.add.at(edges, each + at[:, 0], 1)
+    np.add.at(edges, each + at[:, 1] - 1 + length, -1)
+    return np.cumsum(edges)[:-1] > 0
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for key, text, found in zip(batch.column("text_id").to_pylist(),
-                                        batch.column("text").cast(pa.large_binary()).to_pylist(),
-                                        batch.column("runs").to_pylist()):
-                edges = np.zeros(len(text) + 1, np.int32)
-                for run in found:
-                    spans = np.asarray(run["spans"]).reshape(-1, 2) + run["start"]
-                    np.add.at(edges, spans[:, 0], 1)
-                    np.add.at(edges, spans[:, 1] - 1 + length, -1)
-                gone = np.cumsum(edges)[:-1] > 0
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                n_spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                out.append((key, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(),
-                            kept.decode("utf-8", "ignore") if with_text else None))
-            names = ("text_id", "n_removed", "n_spans", "kept_sha256", "kept")
-            types = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
-
-    return keep
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 200,
-                   with_text: bool = False, most_strings: int = 32_768, batch_strings: int = 2_000) -> DataFrame:
+
+def _keep(length: int, with_text: bool):
+    """Bytes outside all repeated windows, for the rows that have any; neighbours of one text are cut once."""
+
+    def keep(key: pa.Array, text: pa.Array, runs: pa.Array) -> pa.Array:
+        rows = np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False))
+        own = key.take(pa.array(rows))
+        new = np.append(np.ones(min(1, rows.size), bool), pc.not_equal(own[1:], own[:-1]).to_numpy(zero_copy_only=False).astype(bool))
+        heads = pa.array(rows[new])
+        data, offsets = byte_views(text.take(heads))
+        runs = runs.take(heads)
+        out: list[tuple] = []
+        for lo, hi in chunks(offsets, 8 * _CHUNK):
+            mine, own = runs.slice(lo, hi - lo), offsets[lo : hi + 1] - offsets[lo]
+            part = data[offsets[lo] : offsets[hi]]
+            gone = _gone(part, own, pc.list_value_length(mine).to_numpy(zero_copy_only=False), mine.flatten(), length)
+            rising = gone.copy()
+            rising[1:] &= ~gone[:-1]
+            rising[own[:-1]] = gone[own[:-1]]
+            removed, spans = (np.add.reduceat(flags, own[:-1], dtype=np.int64).tolist() for flags in (gone, rising))
+            kept = memoryview(part[~gone])
+            ends = np.append(0, own[1:] - np.cumsum(removed)).tolist()
+            for a, b, n_removed, n_spans in zip(ends[:-1], ends[1:], removed, spans):
+                out.append((n_removed, n_spans, hashlib.sha256(kept[a:b]).hexdigest(),
+                            str(kept[a:b], "utf-8", "ignore") if with_text else None))
+        types = {"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
+        fields = list(types)[: 4 if with_text else 3]
+        found = pa.StructArray.from_arrays([pa.array([r[k] for r in out], types[c]) for k, c in enumerate(fields)], fields)
+        place = np.full(len(key), -1)
+        place[rows] = np.cumsum(new) - 1
+        return found.take(pa.array(place, mask=place < 0))
+
+    return F.arrow_udf(keep, "n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string" * with_text)
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, with_text: bool = False,
+                   most_strings: int = 32_768, batch_strings: int = 2_000) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 (lower-case hex) and, if ``with_text``, kept.
 
     Texts are UTF-8 bytes; a null text is empty. A byte goes when a string of ``length`` bytes that covers it also
@@ -286,24 +359,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     bytes of characters that a removal has cut. Rows repeat as they do in the input; equal texts lose equal bytes; a
     text shorter than ``length`` is kept. Added names must not be among the columns of ``docs``.
     """
-    texts, spans = repeated_runs(docs, text, doc_id, length, most_strings, batch_strings)
-    first = texts.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"))
-    spans = spans.join(first, "text_id").withColumnRenamed("doc_id", "first_id")
-    here = (texts["text_id"] == spans["text_id"]) & texts["doc_id"].eqNullSafe(spans["first_id"])
-    schema = "text_id binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
-    cleaned = texts.join(spans, here).select(texts["text_id"], "text", "runs").mapInArrow(_keep(length, with_text), schema)
-    # Rows that repeat a document whole give the same result more than once.
-    cleaned = cleaned.dropDuplicates(["text_id"])
+    spans = repeated_runs(docs, text, length, most_strings, batch_strings)
     value = F.coalesce(F.col(text), F.lit(""))
-    key, found = unused(docs, "_key"), unused(docs, "_found")
-    cleaned = cleaned.select(F.col("text_id").alias(key), F.struct(*cleaned.columns[1:]).alias(found))
-    out = docs.withColumn(key, text_key(value)).join(cleaned, key, "left")
+    key, whole, found = unused(docs, "_key"), unused(docs, "_whole"), unused(docs, "_found")
+    # The text is hashed before the rows are dealt out by it, and travels once.
+    rows = docs.withColumn(whole, F.sha2(value, 256)).withColumn(key, F.unhex(F.substring(whole, 1, 32)))
+    rows = rows.join(spans.select(F.col("text_id").alias(key), F.col("runs").alias(found)), key, "left")
+    runs = F.col(found)
+    rows = rows.withColumn(found, _keep(length, with_text)(F.col(key), F.when(runs.isNotNull(), F.col(text)), runs))
     zero = F.lit(0).cast("bigint")
     extra = {
         "n_bytes": F.octet_length(value).cast("bigint"),
         "n_removed": F.coalesce(f"{found}.n_removed", zero), "n_spans": F.coalesce(f"{found}.n_spans", zero),
-        "kept_sha256": F.coalesce(f"{found}.kept_sha256", F.sha2(value, 256)),
+        "kept_sha256": F.coalesce(f"{found}.kept_sha256", whole),
     }
     if with_text:
         extra["kept"] = F.coalesce(f"{found}.kept", F.col(text))
-    return out.select(*(F.col(c) for c in docs.columns), *(v.alias(k) for k, v in extra.items()))
+    return rows.select(*(F.col(c) for c in docs.columns), *(v.alias(k) for k, v in extra.items()))

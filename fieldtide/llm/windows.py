@@ -84,10 +84,21 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.nda
     return {"doc": owner, "start": first - offsets[owner], "at": first, "n": size, "anchor": anchor[first].view(np.int64)}
 
 
-def anchor_offsets(strings: list[bytes], length: int) -> np.ndarray:
-    """Distance of the anchor from the start of each run."""
-    width = length - GRAM + 1
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    starts = np.cumsum(sizes) - sizes
-    grams = _mix(gram_hashes(np.frombuffer(b"".join(strings), np.uint8), [GRAM])[GRAM])
-    return np.argmin(grams[starts[:, None] + np.arange(width)], axis=1)
+def anchor_offsets(strings: list[bytes], length: int, block: int = 256) -> np.ndarray:
+    """Distance of the anchor from the start of each run: it lies in the run's first window. Blocks of strings stay in cache."""
+    width, found = length - GRAM + 1, [np.zeros(0, np.int64)]
+    for k in range(0, len(strings), block):
+        first = b"".join([s[:length] for s in strings[k : k + block]])
+        grams = np.zeros(len(first), np.uint64)
+        grams[: len(first) - GRAM + 1] = _mix(gram_hashes(np.frombuffer(first, np.uint8), [GRAM])[GRAM])
+        found.append(np.argmin(grams.reshape(-1, length)[:, :width], axis=1))
+    return np.concatenate(found)
+
+
+def stretch_hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The polynomial hash of the ``size`` bytes from each of the places ``at``."""
+    powers = np.array([pow(_BASE, size - 1 - i, 1 << 64) for i in range(size)], np.uint64)
+    out = np.zeros(at.size, np.uint64)
+    for k in range(0, at.size, 512):
+        out[k : k + 512] = (_BYTES[data[at[k : k + 512, None] + np.arange(size)]] * powers).sum(axis=1)
+    return out
