@@ -12,6 +12,7 @@ from fieldtide.session import ensure_checkpoint_dir
 
 _SHIFT = 1 << 31
 _BLOCK = 256
+_EDGES = 1 << 16  # of a checkpoint's file, at least where there are as many
 
 
 def pixel_runs(mask: DataFrame, group: Sequence[str] = ("tile", "label")) -> DataFrame:
@@ -128,7 +129,9 @@ def roots(edges: DataFrame, group: Sequence[str] = ("tile", "label")) -> DataFra
     current = edges.checkpoint()
     seen = mark(current)
     while True:
-        current = _small_star(_large_star(current, group), group).checkpoint()
+        # No round makes more edges than there were, so few edges need no file for each shuffle partition.
+        files = int(seen[0]) // _EDGES + 1
+        current = _small_star(_large_star(current, group), group).coalesce(files).checkpoint()
         now = mark(current)
         if now == seen:
             return current.select(*group, F.col("v").alias("node"), F.col("u").alias("root"))
